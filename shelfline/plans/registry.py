@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 #: Common table expressions of the check SQL: name -> (names it reads, text).
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
-MODULES = ("sales", "panels")
+MODULES = ("sales", "panels", "baskets", "recommend")
 
 
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
