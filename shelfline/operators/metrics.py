@@ -113,23 +113,27 @@ def direct_horizon_backtest(
     start = start if isinstance(start, Column) else F.to_date(F.lit(str(start)))
     end = end if isinstance(end, Column) else F.to_date(F.lit(str(end)))
     history = F.avg("quantity").over(order.rowsBetween(-28, -1))
-    cases = [
-        F.struct(
-            F.lit(h).alias("horizon_days"),
-            F.sum("quantity").over(order.rowsBetween(0, h - 1)).alias("actual"),
-            (history * h).alias("predicted"),
-        )
-        for h in horizons
-    ]
-    origins = panel.select(
-        "date", F.row_number().over(order).alias("row"), F.explode(F.array(*cases)).alias("case")
-    ).where(
+    sums = {f"_s{h}": F.sum("quantity").over(order.rowsBetween(0, h - 1)) for h in horizons}
+    windowed = panel.select("date", *keys, "quantity").withColumns(
+        {"row": F.row_number().over(order), "_mean": history, **sums}
+    )
+    cases = F.array(
+        *[
+            F.struct(
+                F.lit(h).alias("horizon_days"),
+                F.col(f"_s{h}").alias("actual"),
+                (F.col("_mean") * h).alias("predicted"),
+            )
+            for h in horizons
+        ]
+    )
+    origins = windowed.select("date", "row", F.explode(cases).alias("case")).where(
         (F.col("row") > 28)
         & (F.col("date") >= start)
         & (F.col("date") <= F.date_sub(end, F.col("case.horizon_days") - 1))
     )
     rows = origins.select("case.*")
-    extra = rows.groupBy("horizon_days").agg(
+    return rows.groupBy("horizon_days").agg(
         F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"),
         F.sqrt(F.avg((F.col("predicted") - F.col("actual")) ** 2)).alias("rmse"),
         (
@@ -141,7 +145,6 @@ def direct_horizon_backtest(
         F.sum("actual").alias("actual_total"),
         F.sum("predicted").alias("predicted_total"),
     )
-    return extra
 
 
 def pinball_loss(
