@@ -15,7 +15,8 @@ ORACLES: dict[str, str] = {}
 #: Common table expressions of the check SQL: name -> (names it reads, text).
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
-MODULES = ("sales", "panels", "baskets", "recommend", "scores", "loyalty", "stock", "quality", "reports", "learning")
+MODULES = ("sales", "panels", "baskets", "recommend", "scores", "loyalty", "stock", "quality", "reports", "learning",
+           "streams")
 
 
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
