@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,55 +132,60 @@ def quantiles(
         ]
     sketch = df.agg(*aggregates).first()
 
-    out: dict[str, float | None] = {}
+    ranks, brackets = {}, {}
     for name, p in wanted.items():
-        n = sketch[f"{name}__n"]
-        if not n:
-            out[name] = None
-            continue
-        position = p * (n - 1)
-        left = math.floor(position)
-        share = position - left
-        wide = (sketch[f"{name}__min"], sketch[f"{name}__max"])
-        for low, high in (tuple(sketch[f"{name}__bracket"]), wide):
-            picked = _pick(df, name, low, high, left, small_bracket)
-            if picked is not None:
-                break
-        first, second = picked
+        if sketch[f"{name}__n"]:
+            position = p * (sketch[f"{name}__n"] - 1)
+            ranks[name] = (math.floor(position), position - math.floor(position))
+            brackets[name] = tuple(sketch[f"{name}__bracket"])
+    found = _pick(df, brackets, {n: r[0] for n, r in ranks.items()}, small_bracket)
+    missed = {n: (sketch[f"{n}__min"], sketch[f"{n}__max"]) for n in brackets if n not in found}
+    if missed:
+        found |= _pick(df, missed, {n: ranks[n][0] for n in missed}, small_bracket)
+
+    out: dict[str, float | None] = dict.fromkeys(wanted)
+    for name, (first, second) in found.items():
+        share = ranks[name][1]
         out[name] = float(first if second is None else first + (second - first) * share)
     return out
 
 
-def _pick(df, name, low, high, left, small_bracket):
-    """Values at positions ``left`` and ``left + 1``, or None when the bracket misses them."""
-    value = F.col(name)
-    inside = df.select(name).where(value.between(low, high))
-    stats = df.agg(
-        F.sum(F.when(value < low, 1).otherwise(0)).alias("below"),
-        F.sum(F.when(value.between(low, high), 1).otherwise(0)).alias("inside"),
-        F.min(F.when(value > high, value)).alias("above"),
-    ).first()
-    below, count = stats["below"] or 0, stats["inside"] or 0
-    if not below <= left < below + count:
-        return None
-    first_rank, second_rank = left - below, left - below + 1
-    if count <= small_bracket:
-        ordered = inside.groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(name).collect()
-        found, seen = {}, 0
-        for row in ordered:
-            for rank in (first_rank, second_rank):
-                if seen <= rank < seen + row["n"]:
-                    found[rank] = row[0]
-            seen += row["n"]
-    else:
-        ranked = cumulative_counts(inside, name)
-        hit = reduce(
-            lambda a, b: a | b,
-            [(F.col("before") <= r) & (F.col("before") + F.col("n") > r) for r in (first_rank, second_rank)],
-        )
-        found = {}
-        for row in ranked.where(hit).collect():
-            for rank in (first_rank, second_rank):
-                if row["before"] <= rank < row["before"] + row["n"]:
-                    found[rank] = row[name]
-    return found[first_rank], found.get(second_rank, stats["above"])
+def _pick(
+    df: DataFrame, brackets: dict[str, tuple], lefts: dict[str, int], small_bracket: int
+) -> dict[str, tuple]:
+    """Values at positions ``left`` and ``left + 1`` per column, for brackets that contain them."""
+    if not brackets:
+        return {}
+    facts = []
+    for name, (low, high) in brackets.items():
+        value = F.col(name)
+        facts += [
+            F.count(F.when(value < low, 1)).alias(f"{name}__below"),
+            F.count(F.when(value.between(low, high), 1)).alias(f"{name}__inside"),
+            F.min(F.when(value > high, value)).alias(f"{name}__above"),
+        ]
+    stats = df.agg(*facts).first()
+    out = {}
+    for name, (low, high) in brackets.items():
+        below, count = stats[f"{name}__below"], stats[f"{name}__inside"]
+        first = lefts[name] - below
+        if not 0 <= first < count:
+            continue
+        above = stats[f"{name}__above"]
+        if low == high:
+            out[name] = (low, low if first + 1 < count else above)
+            continue
+        inside = df.select(name).where(F.col(name).between(low, high))
+        if count <= small_bracket:
+            counts = inside.groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(name).collect()
+            ends, seen = [], 0
+            for row in counts:
+                ends.append((seen, seen + row["n"], row[0]))
+                seen += row["n"]
+        else:
+            holds = lambda r: (F.col("before") <= r) & (F.col("before") + F.col("n") > r)
+            rows = cumulative_counts(inside, name).where(holds(first) | holds(first + 1)).collect()
+            ends = [(r["before"], r["before"] + r["n"], r[name]) for r in rows]
+        at = {r: v for r in (first, first + 1) for low_, high_, v in ends if low_ <= r < high_}
+        out[name] = (at[first], at.get(first + 1, above))
+    return out

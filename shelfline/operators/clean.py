@@ -71,20 +71,23 @@ def clean_transactions(df: DataFrame, caps_from: DataFrame | None = None) -> Dat
 
 
 def daily_product_sales(clean: DataFrame) -> DataFrame:
-    """Units, revenue, distinct invoices and customers, latest description per day and product."""
-    return (
-        clean.where(F.col("date").isNotNull() & F.col("product_id").isNotNull())
-        .groupBy("date", "product_id")
-        .agg(
-            F.sum("quantity").alias("quantity"),
-            decimal_sum(F.col("revenue"), 6).alias("revenue"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-            F.max_by("description", F.struct("invoice_date", "invoice_no", "description")).alias(
-                "description"
-            ),
-        )
-        .withColumn("unit_price", F.col("revenue") / F.greatest("quantity", F.lit(1.0)))
+    """Units, revenue, distinct invoices and customers, latest description per day and product.
+
+    The latest description needs a text-valued buffer, which would push the whole aggregation off
+    the hash path; it is aggregated on its own and joined on the partitioning both sides share.
+    """
+    keys = ["date", "product_id"]
+    dated = clean.where(F.col("date").isNotNull() & F.col("product_id").isNotNull())
+    sums = dated.groupBy(*keys).agg(
+        F.sum("quantity").alias("quantity"),
+        decimal_sum(F.col("revenue"), 6).alias("revenue"),
+        F.count_distinct("invoice_no").alias("orders"),
+        F.count_distinct("customer_id").alias("customers"),
+    )
+    order = F.struct("invoice_date", "invoice_no", "description")
+    texts = dated.groupBy(*keys).agg(F.max_by("description", order).alias("description"))
+    return sums.join(texts, keys).withColumn(
+        "unit_price", F.col("revenue") / F.greatest("quantity", F.lit(1.0))
     )
 
 

@@ -29,3 +29,12 @@ def top_k(df: DataFrame, keys: list[str], item: str, k, score: str = "score") ->
     so a hot key costs no more than a cold one."""
     order = Window.partitionBy(*keys).orderBy(F.desc(score), item)
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def share_of_best(ranked: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """Scores of short ranked lists as shares of the list's best score.
+
+    The window reuses the partitioning :func:`top_k` left behind, so there is no further exchange.
+    """
+    best = F.max(score).over(Window.partitionBy(*keys))
+    return ranked.withColumn(score, F.col(score) / best)

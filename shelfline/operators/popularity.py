@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import row_numbers
-from .neighbours import top_k
+from .neighbours import share_of_best, top_k
 
 SMOOTHING = 25.0
 EVERYWHERE = "*"
@@ -159,10 +159,8 @@ def branch_popularity_top(units: DataFrame, k: int = 10, smoothing: float = SMOO
     unsold = _first_unsold(stats, sold.select("store_id", "product_id"), ordered, k).select(
         "store_id", "product_id", smooth(F.lit(0.0)).alias("score")
     )
-    best = top_k(sold.unionByName(unsold), ["store_id"], "product_id", k)
-    # lists hold at most k rows per branch, and the branch maximum is their first
-    top = best.where("rank = 1").select("store_id", F.col("score").alias("_max"))
-    return best.join(top, "store_id").withColumn("score", F.col("score") / F.col("_max")).drop("_max")
+    # the branch maximum is the first row of its list
+    return share_of_best(top_k(sold.unionByName(unsold), ["store_id"], "product_id", k), ["store_id"])
 
 
 def org_popularity_top(units: DataFrame, k: int = 10) -> DataFrame:

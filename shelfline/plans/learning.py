@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, models, pricing, recursion, stock
+from ..session import cut_lineage
 from ..sources import star_schema as star
 from . import panels, sales
 from . import stock as stock_plans
@@ -15,7 +16,18 @@ TREES = 10
 
 
 def stock_table(spark, folder):
-    return features.stock_features(sales.product_panel(spark, folder))
+    """Training table, written once: every boosting round and metric pass reads the copy."""
+    return cut_lineage(features.stock_features(sales.product_panel(spark, folder)), "stock-features")
+
+
+def unit_table(spark, folder):
+    return cut_lineage(star.unit_demand(spark, folder), "unit-demand")
+
+
+def revenue_table(spark, folder):
+    """(dense revenue, its features), both written once."""
+    dense = cut_lineage(panels.dense_revenue(spark, folder), "revenue")
+    return dense, cut_lineage(features.sales_features(dense), "revenue-features")
 
 
 @query("demand_model_eval")
@@ -27,7 +39,7 @@ def demand_model_eval(spark, folder):
 @query("revenue_model_eval")
 def revenue_model_eval(spark, folder):
     """Branch revenue model with early stopping and refit."""
-    table = features.sales_features(panels.dense_revenue(spark, folder))
+    _, table = revenue_table(spark, folder)
     fitted = models.fit_daily_revenue(table, max_iter=TREES, step=0.3)
     return fitted.metrics.withColumn("trees", F.lit(fitted.details["trees"]))
 
@@ -40,7 +52,7 @@ def unit_levels(table):
 
 @query("model_bakeoff")
 def model_bakeoff(spark, folder):
-    table = star.unit_demand(spark, folder)
+    table = unit_table(spark, folder)
     params = {"boosted": {"maxIter": TREES, "stepSize": 0.3}, "forest": {"numTrees": TREES}, "linear": {}}
     _, report = models.bake_off(table, params, models.UNIT_DEMAND_FEATURES, unit_levels(table))
     return rounded(report)
@@ -50,7 +62,7 @@ def model_bakeoff(spark, folder):
 def bakeoff_winner_horizons(spark, folder):
     """The winner's test metrics on the first 7, 14, 30 and all test dates, next to the mean of the
     product's store-days as baseline."""
-    table = star.unit_demand(spark, folder)
+    table = unit_table(spark, folder)
     params = {"boosted": {"maxIter": TREES, "stepSize": 0.3}, "linear": {}}
     winner, _ = models.bake_off(table, params, models.UNIT_DEMAND_FEATURES, unit_levels(table))
     mean = winner.metrics.agg(F.avg("actual")).scalar()
@@ -61,7 +73,7 @@ def bakeoff_winner_horizons(spark, folder):
 @query("unit_forecast")
 def unit_forecast(spark, folder):
     """Seven days ahead for every product type and store, total per request."""
-    table = star.unit_demand(spark, folder)
+    table = unit_table(spark, folder)
     fitted = models.fit(
         table.where("is_open = 1"), models.UNIT_DEMAND_FEATURES, "units_sold",
         models.regressor("boosted", maxIter=TREES, stepSize=0.3), levels=unit_levels(table),
@@ -105,9 +117,9 @@ def recursive_stock_plan(spark, folder):
 @query("recursive_revenue_forecast")
 def recursive_revenue_forecast(spark, folder):
     """14 recursive days of revenue per branch; Sundays are closed."""
-    dense = panels.dense_revenue(spark, folder)
+    dense, table = revenue_table(spark, folder)
     fitted = models.fit(
-        features.sales_features(dense), models.SALES_FEATURES, "daily_revenue",
+        table, models.SALES_FEATURES, "daily_revenue",
         models.regressor("boosted", maxIter=TREES, stepSize=0.3), log_target=False,
     )
     series = stock.history_series(dense, ["organization_id", "branch_id"], "daily_revenue")

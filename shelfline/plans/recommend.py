@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, hybrid, neighbours, personal, popularity
+from ..session import cut_lineage
 from ..sources import star_schema as star
 from . import baskets as basket_plans
 from .registry import cte, query, rounded, sql
@@ -83,16 +84,17 @@ FROM lineitem JOIN branch_of ON l_suppkey = s_suppkey""", "branch_of")
 
 
 def units(spark, folder):
-    return popularity.item_units(star.baskets(spark, folder))
+    """Sold units per branch and product, written once: lists, totals and ranks all read them."""
+    return cut_lineage(popularity.item_units(star.baskets(spark, folder)), "units")
 
 
 def sales(spark, folder):
-    return popularity.windowed_sales(star.baskets(spark, folder))
+    return cut_lineage(popularity.windowed_sales(star.baskets(spark, folder)), "sales")
 
 
 def index(spark, folder, signals, query_size=1):
     return hybrid.build_index(
-        star.baskets(spark, folder), star.customer_preferences(spark, folder), star.catalog(spark, folder),
+        cut_lineage(star.baskets(spark, folder), "baskets"), star.customer_preferences(spark, folder), star.catalog(spark, folder),
         min_support=SUPPORT, min_confidence=CONFIDENCE, min_lift=LIFT, query_size=query_size, signals=signals,
     )
 
@@ -137,7 +139,7 @@ def customer_preferences(spark, folder):
 @query("personalized_topk", sql("""
 SELECT customer_id, product_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM personal_lists WHERE rank <= 10""", "personal_lists"))
 def personalized_topk(spark, folder):
-    baskets = star.baskets(spark, folder)
+    baskets = cut_lineage(star.baskets(spark, folder), "baskets")
     top = personal.personal_top(
         baskets, star.customer_preferences(spark, folder), star.catalog(spark, folder),
         neighbours.item_similarity(baskets), 10,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean as ops
 from ..operators import features
+from ..session import cut_lineage
 from ..sources import star_schema as star
 from .registry import cte, query, rounded, sql
 
@@ -68,7 +69,9 @@ WHERE demand_lag_14 IS NOT NULL AND rolling_mean_28 IS NOT NULL AND price_index_
 
 
 def clean(spark, folder, names=False):
-    return ops.clean_transactions(star.transactions(spark, folder, names))
+    """Cleaned lines. The joined raw lines are written once: the caps and every user of the cleaned
+    table read that copy instead of repeating the join."""
+    return ops.clean_transactions(cut_lineage(star.transactions(spark, folder, names), "transactions"))
 
 
 def product_panel(spark, folder):
@@ -88,7 +91,8 @@ def clean_transactions(spark, folder):
 @query("outlier_caps", sql("""
 SELECT round(quantity_cap, 6) AS quantity_cap, round(price_cap, 6) AS price_cap FROM caps""", "caps"))
 def outlier_caps(spark, folder):
-    valid = ops.valid_sales(ops.typed_transactions(star.transactions(spark, folder, False)))
+    lines = cut_lineage(star.transactions(spark, folder, False), "transactions")
+    valid = ops.valid_sales(ops.typed_transactions(lines))
     caps = ops.outlier_caps(valid)
     return rounded(
         valid.limit(1).select(

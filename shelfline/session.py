@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Fallback folders of local sessions, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""
@@ -53,15 +57,19 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="shelfline-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="shelfline-checkpoint-")
+    return _LOCAL_ROOTS[application]
+
 
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several later steps read, and continue from the written copy.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a table that several later steps read."""
+    Parquet in the shared checkpoint folder survives lost executors, keeps column pruning, and gives
+    the optimizer a measured size to choose join strategies by.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint()
+    path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
