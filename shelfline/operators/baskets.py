@@ -109,7 +109,7 @@ def basket_stats(baskets: DataFrame) -> DataFrame:
     )
     per_basket = sizes.agg(
         F.sum("n").alias("n_baskets"),
-        (F.sum(F.col("units") * F.col("n")) / F.sum("n")).alias("mean_units"),
+        F.try_divide(F.sum(F.col("units") * F.col("n")), F.sum("n")).alias("mean_units"),
         F.percentile("units", F.lit(0.5), F.col("n")).alias("median_units"),
         F.min("units").alias("min_units"),
         F.max("units").alias("max_units"),

@@ -37,4 +37,4 @@ def share_of_best(ranked: DataFrame, keys: list[str], score: str = "score") -> D
     The window reuses the partitioning :func:`top_k` left behind, so there is no further exchange.
     """
     best = F.max(score).over(Window.partitionBy(*keys))
-    return ranked.withColumn(score, F.col(score) / best)
+    return ranked.withColumn(score, F.coalesce(F.try_divide(score, best), F.lit(0.0)))

@@ -132,8 +132,8 @@ def org_popularity(units: DataFrame) -> DataFrame:
     counts = units.groupBy("product_id").agg(F.sum("n").alias("n"))
     total, best = counts.agg(F.sum("n")).scalar(), counts.agg(F.max("n")).scalar()
     return counts.select(
-        "product_id", "n", (F.col("n") / total).alias("share"),
-        ((F.col("n") / total) / (best / total)).alias("score"),
+        "product_id", "n", F.try_divide("n", total).alias("share"),
+        F.try_divide(F.try_divide("n", total), F.try_divide(best, total)).alias("score"),
     )
 
 

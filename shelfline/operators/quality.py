@@ -262,11 +262,11 @@ def recommendation_checks(
                   .join(inventory.select(F.col("branch_id").alias("store_id")).distinct(), "store_id", "left_anti").agg(F.count(F.lit(1))).scalar()),
             check("reference_integrity", (F.col("products_bought") > 0) & (F.col("customers_buying") > 0),
                   products_bought=n_sold, customers_buying=scalar(baskets, F.count_distinct("customer_id")),
-                  active_catalog_coverage=n_sold / (n_catalog - scalar(inactive, F.count_distinct("product_id")))),
+                  active_catalog_coverage=F.try_divide(n_sold, n_catalog - scalar(inactive, F.count_distinct("product_id")))),
             check("tenant_consistency", catalog=foreign(catalog), customers=foreign(customers), baskets=foreign(baskets), inventory=foreign(inventory)),
             check("basket_size_distribution",
                   F.col("mean_basket_size").between(1.5, 5.0) & F.col("median_basket_size").between(1.0, 4.0) & (F.col("min_basket_size") >= 1),
-                  mean_basket_size=scalar(sizes, F.sum(F.col("units") * F.col("n")) / F.sum("n")),
+                  mean_basket_size=scalar(sizes, F.try_divide(F.sum(F.col("units") * F.col("n")), F.sum("n"))),
                   median_basket_size=scalar(sizes, F.percentile("units", F.lit(0.5), F.col("n"))),
                   min_basket_size=scalar(sizes, F.min("units")), max_basket_size=scalar(sizes, F.max("units"))),
             check("long_tail_distribution", F.col("top_20pct_volume_share") >= 0.35, top_20pct_volume_share=head),
@@ -301,7 +301,7 @@ def _head_share(counts: DataFrame) -> Column:
     total_products = counts.agg(F.count(F.lit(1))).scalar()
     head = F.greatest(F.lit(1), F.floor(total_products * 0.20))
     taken = F.least(F.greatest(head - F.col("before"), F.lit(0)), F.col("n"))
-    return ranked.agg(F.sum(taken * -F.col("m")) / F.sum(F.col("n") * -F.col("m"))).scalar()
+    return ranked.agg(F.try_divide(F.sum(taken * -F.col("m")), F.sum(F.col("n") * -F.col("m")))).scalar()
 
 
 def recommendation_summary(

@@ -56,7 +56,7 @@ def inventory_status(inventory: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def product_info(catalog: DataFrame) -> DataFrame:
     """Products, active products and mean margin per category."""
-    margin = (F.col("current_unit_price") - F.col("cost_price")) / F.col("current_unit_price") * 100
+    margin = F.try_divide(F.col("current_unit_price") - F.col("cost_price"), "current_unit_price") * 100
     return catalog.groupBy(F.col("category_level_1").alias("category")).agg(
         F.count(F.lit(1)).alias("products"),
         F.sum(F.when(F.col("is_active"), 1).otherwise(0)).alias("active_products"),
@@ -88,7 +88,7 @@ def branch_comparison(sales: DataFrame) -> DataFrame:
     total = per.agg(decimal_sum(F.col("revenue"))).scalar()
     return per.select(
         "branch_id", "revenue", "orders", (F.col("revenue") / F.col("orders")).alias("average_order_value"),
-        (F.col("revenue") / total).alias("revenue_share"),
+        F.try_divide("revenue", total).alias("revenue_share"),
     )
 
 
@@ -100,7 +100,7 @@ def business_overview(sales: DataFrame) -> DataFrame:
         F.count_distinct("order_id").alias("orders"),
     ).select(
         "revenue", "cost", "orders", (F.col("revenue") - F.col("cost")).alias("gross_profit"),
-        ((F.col("revenue") - F.col("cost")) / F.col("revenue")).alias("gross_margin"),
+        F.try_divide(F.col("revenue") - F.col("cost"), "revenue").alias("gross_margin"),
     )
 
 

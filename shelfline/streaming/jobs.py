@@ -139,8 +139,8 @@ def live_accuracy(
         .agg(F.sum(error).alias("absolute_error"), F.sum(actual).alias("actual_total"), F.count(F.lit(1)).alias("n"))
         .select(
             F.col("w.start").cast("date").alias("window_start"), "absolute_error", "actual_total", "n",
-            (F.col("absolute_error") / F.col("actual_total")).alias("wape"),
-            (F.col("absolute_error") / F.col("actual_total") > alert_above).alias("alert"),
+            F.try_divide("absolute_error", "actual_total").alias("wape"),
+            (F.try_divide("absolute_error", "actual_total") > alert_above).alias("alert"),
         )
     )
 
