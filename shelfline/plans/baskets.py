@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import baskets as ops
 from ..operators import compatibility, content, neighbours, rules
 from ..sources import star_schema as star
+from . import panels  # noqa: F401 - registers the table expressions read here
 from .registry import cte, query, rounded, sql
 
 cte("bk", """

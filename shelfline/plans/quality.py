@@ -8,6 +8,7 @@ from ..operators import quality as ops
 from ..operators import requests
 from ..sources import files
 from ..sources import star_schema as star
+from . import recommend  # noqa: F401 - registers the table expressions read here
 from .registry import cte, query, rounded, sql
 
 HEAD = [f"Brand#{i}" for i in range(1, 11)]

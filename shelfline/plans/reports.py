@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import popularity, reports
 from ..sources import star_schema as star
-from . import panels
+from . import panels, recommend  # noqa: F401 - recommend registers table expressions read here
 from .registry import cte, query, rounded, sql
 
 SINCE = "2001-01-01"
