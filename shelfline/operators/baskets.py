@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Aim for this many items per chunk of a large basket.
 CHUNK = 64
 
@@ -61,7 +63,11 @@ def pair_counts(baskets: DataFrame, min_count: int = 1) -> DataFrame:
     basket is cut into chunks of about ``CHUNK`` items and its chunk pairs become separate groups,
     so no group grows with the basket; pair counts are summed before they are shuffled.
     """
-    items = basket_items(baskets)
+    return count_pairs(cut_lineage(basket_items(baskets), "basket-items"), min_count)
+
+
+def count_pairs(items: DataFrame, min_count: int = 1) -> DataFrame:
+    """:func:`pair_counts` on distinct (transaction, product) rows, which are read several times."""
     if min_count > 1:
         frequent = item_counts(items).where(F.col("n") >= min_count)
         items = items.join(frequent.select("product_id"), "product_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import decimal_sum, require_columns, to_number
 from ..functions.ranking import quantiles
+from ..session import cut_lineage
 from ..sources.schemas import TRANSACTIONS
 
 OUTLIER_QUANTILE = 0.995
@@ -112,9 +113,10 @@ def daily_product_panel(
     best = top_products(clean, top).select("product_id")
     # at most ``top`` ids, so sending them to every task is bounded by the parameter
     chosen = clean.join(F.broadcast(best), "product_id", "left_semi")
-    daily = daily_product_sales(chosen)
-    span = chosen.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    spine = best.select(
+    # at most one row per chosen product and day, read for the range and for the join
+    daily = cut_lineage(daily_product_sales(chosen), "daily-sales")
+    span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    spine = daily.select("product_id").distinct().select(
         "product_id",
         F.explode(
             F.sequence(span.select("first").scalar(), span.select("last").scalar())

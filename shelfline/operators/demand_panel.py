@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, flag, require_columns, to_day, to_number, with_defaults
+from ..session import cut_lineage
 
 SERIES = ["organization_id", "branch_id", "product_id"]
 CELL = [*SERIES, "date"]
@@ -97,7 +98,8 @@ def build_demand_panel(
     ``attribute_fill='constant'`` gives a product one set of attributes for all days;
     ``'as_known'`` uses the last value known on the day (else the first known later).
     """
-    daily = daily_demand(records)
+    # read for the range, the series, the attributes and the join
+    daily = cut_lineage(daily_demand(records), "daily-demand")
     first = F.to_date(F.lit(str(start))) if start else daily.agg(F.min("date")).scalar()
     last = F.to_date(F.lit(str(end))) if end else daily.agg(F.max("date")).scalar()
     if start and end and str(start) > str(end):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .popularity import EVERYWHERE
+
 CUTS = (5, 10)
 
 
@@ -101,17 +103,23 @@ def ranking_metrics(
 
 def list_recommender(requests: DataFrame, lists: DataFrame, k: int = 10, everywhere: bool = True) -> DataFrame:
     """Baseline: the same top list for all requests, or the one of the request's branch, without the
-    seed item. ``lists`` has (store_id or '*', product_id, rank) and at least ``k + 1`` rows each."""
-    from .neighbours import top_k
-    from .popularity import EVERYWHERE
+    seed item. ``lists`` has (store_id or '*', product_id, rank) and at least ``k + 1`` rows each.
 
-    key = F.lit(EVERYWHERE) if everywhere else F.col("branch_id")
-    hits = (
-        requests.select("request_id", F.col("product_id").alias("seed"), key.alias("store_id"))
-        .join(lists.select("store_id", "product_id", (-F.col("rank")).alias("score")), "store_id")
-        .where(F.col("product_id") != F.col("seed"))
-    )
-    return top_k(hits, ["request_id"], "product_id", k).select("request_id", "product_id", "rank")
+    A list is short, so it travels as one array per branch; requests are not multiplied by a join.
+    """
+    short = lists.where(F.col("rank") <= k + 1)
+    packed = F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"]
+    ).alias("list")
+    asked = requests.select("request_id", F.col("product_id").alias("seed"), "branch_id")
+    if everywhere:
+        asked = asked.withColumn("list", short.where(F.col("store_id") == EVERYWHERE).agg(packed).scalar())
+    else:
+        per_branch = short.groupBy(F.col("store_id").alias("branch_id")).agg(packed)
+        asked = asked.join(per_branch, "branch_id")
+    others = F.slice(F.filter("list", lambda p: p != F.col("seed")), 1, k)
+    picked = asked.select("request_id", F.posexplode(others).alias("place", "product_id"))
+    return picked.select("request_id", "product_id", (F.col("place") + 1).alias("rank"))
 
 
 def stock_availability(recommendations: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .baskets import basket_items, item_counts, pair_counts
+from ..session import cut_lineage
+from .baskets import basket_items, count_pairs, item_counts
 
 
 def item_similarity(baskets: DataFrame, min_co_occurrences: int = 2) -> DataFrame:
     """(product_id, neighbour_id, score): baskets with both / sqrt(baskets with each)."""
-    counts = item_counts(basket_items(baskets))
-    pairs = pair_counts(baskets, min_co_occurrences)
+    items = cut_lineage(basket_items(baskets), "basket-items")
+    counts = item_counts(items)
+    pairs = count_pairs(items, min_co_occurrences)
     scored = (
         pairs.join(counts.select(F.col("product_id").alias("item_a"), F.col("n").alias("n_a")), "item_a")
         .join(counts.select(F.col("product_id").alias("item_b"), F.col("n").alias("n_b")), "item_b")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import cumulative_counts
+from ..session import cut_lineage
 from .baskets import pair_counts
 
 MIN_CORRELATION = 0.85
@@ -189,119 +191,124 @@ def demand_gates(
 # ---- recommendation tables -----------------------------------------------------------------------
 
 
-def _missing(df: DataFrame, column: str, reference: DataFrame, other: str) -> Column:
-    """Scalar: rows whose key is absent from the reference table."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    known = reference.select(F.col(other).alias("k")).distinct()
-    return values.join(known, "k", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-
-
-def _bad(df: DataFrame, condition: Column) -> Column:
-    return df.agg(_count(condition)).scalar()
-
-
 def recommendation_checks(
     catalog: DataFrame, customers: DataFrame, baskets: DataFrame, inventory: DataFrame,
     as_of=None, min_category_match: float = 0.40,
 ) -> DataFrame:
-    """Seventeen checks of the four recommendation tables."""
-    one = catalog.sparkSession.range(1)
-    dup = lambda df, *keys: duplicate_keys(df, list(keys)).scalar()
-    zero = lambda **m: reduce(lambda a, b: a & b, [F.col(n) == 0 for n in m])
-
-    def check(name: str, passed=None, **metrics: Column) -> DataFrame:
-        facts = one.select(*[c.alias(n) for n, c in metrics.items()])
-        ok = zero(**metrics) if passed is None else passed
-        return _row(facts, name, ok, **{n: F.col(n) for n in metrics})
+    """Seventeen checks of the four recommendation tables.
 
-    scalar = lambda df, c: df.agg(c).scalar()
-    n_catalog = scalar(catalog, F.count_distinct("product_id"))
-    inactive = catalog.where("not is_active").select("product_id")
-    sold_inactive = baskets.join(inactive, "product_id", "left_semi").agg(F.count(F.lit(1))).scalar()
+    Each table is read once for all row-wise facts; keys, references and distributions add one
+    aggregation each. Only those single-row facts reach the driver.
+    """
+    spark = catalog.sparkSession
+    org = catalog.agg(F.min("organization_id")).first()[0]
+    foreign = _count(F.col("organization_id") != F.lit(org)).alias("foreign")
+    last = F.to_date(F.lit(str(as_of))) if as_of else F.current_date()
+    stock = F.col("stock_quantity")
+
+    c = catalog.agg(
+        foreign, F.count_distinct("product_id").alias("products"),
+        F.count_distinct(F.when(~F.col("is_active"), F.col("product_id"))).alias("inactive"),
+        _count(~((F.col("cost_price") > 0) & (F.col("base_unit_price") > 0) & (F.col("current_unit_price") > 0))).alias("prices"),
+    ).first()
+    u = customers.agg(foreign, _count(~F.col("customer_id").rlike(r"^CUST-\d+$")).alias("bad_ids")).first()
+    b = baskets.agg(
+        foreign, _count(~(F.col("quantity") > 0)).alias("quantity"),
+        _count(~((F.col("unit_price") > 0) & (F.col("line_total") > 0))).alias("prices"),
+        _count(F.col("transaction_date").cast("date") > last).alias("future"),
+    ).first()
+    i = inventory.agg(
+        foreign, _count(~(stock >= 0)).alias("negative"), _count(F.col("is_available") != (stock > 0)).alias("inconsistent"),
+        _count(stock == 0).alias("out"), _count(stock > 0).alias("positive"),
+    ).first()
+    dup = lambda df, *keys: duplicate_keys(df, list(keys)).first()[0]
+    # lines per product and customer: the base of every reference and distribution check
+    sold = cut_lineage(baskets.groupBy("product_id", "customer_id").agg(F.count(F.lit(1)).alias("n")), "sold")
+    per_product = sold.groupBy("product_id").agg(F.sum("n").alias("n"))
+    per_customer = sold.where("customer_id is not null").groupBy("customer_id").agg(F.sum("n").alias("n"))
+    per_branch = baskets.groupBy("store_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("transaction_id").alias("n")
+    )
+    missing = lambda df, column, other, key, weight: df.join(
+        other.select(F.col(key).alias(column)).distinct(), column, "left_anti"
+    ).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("lines"), F.count(F.lit(1)).alias("keys")).first()
+    no_branch = missing(per_branch, "store_id", inventory, "branch_id", "lines")
+    stocked = inventory.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    sold_inactive = per_product.join(catalog.where("not is_active").select("product_id"), "product_id", "left_semi").agg(
+        F.coalesce(F.sum("n"), F.lit(0))
+    ).first()[0]
     sizes = (
         baskets.groupBy("transaction_id").agg(F.sum("quantity").alias("units"))
         .groupBy("units").agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.try_divide(F.sum(F.col("units") * F.col("n")), F.sum("n")).alias("mean"),
+             F.percentile("units", F.lit(0.5), F.col("n")).alias("median"), F.min("units").alias("low"), F.max("units").alias("high"))
+        .first()
     )
-    counts = baskets.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    n_sold = counts.agg(F.count(F.lit(1))).scalar()
-    head = _head_share(counts)
-    pairs = pair_counts(baskets)
-    pair_facts = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.max("n").alias("best"))
-    lines = (
-        baskets.where("customer_id is not null")
-        .groupBy("customer_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
-        .join(catalog.select("product_id", "category_level_1"), "product_id")
+    bought = per_product.agg(F.count(F.lit(1))).first()[0]
+    buyers = per_customer.agg(F.count(F.lit(1))).first()[0]
+    pairs = pair_counts(baskets).agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("best")).first()
+    matched = (
+        sold.join(catalog.select("product_id", "category_level_1"), "product_id")
         .join(customers.select("customer_id", "preferred_categories").where(F.size("preferred_categories") > 0), "customer_id")
+        .agg(F.coalesce(F.sum(F.when(F.array_contains("preferred_categories", F.col("category_level_1")), F.col("n")).otherwise(0)), F.lit(0)).alias("hit"),
+             F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+        .first()
     )
-    matches = lines.agg(
-        F.sum(F.when(F.array_contains("preferred_categories", F.col("category_level_1")), F.col("n")).otherwise(0)).alias("hit"),
-        F.sum("n").alias("all"),
-    )
-    volume = baskets.groupBy("store_id").agg(F.count_distinct("transaction_id").alias("n"))
-    day = F.col("transaction_date").cast("date")
-    last = F.to_date(F.lit(str(as_of))) if as_of else F.current_date()
-    org = catalog.agg(F.min("organization_id")).scalar()
-    foreign = lambda df: _bad(df, F.col("organization_id") != org)
-    suspicious = [c for c in customers.columns if any(w in c.lower() for w in ("email", "phone", "name", "address", "ssn"))]
-
-    return _union(
-        [
-            check("primary_keys_unique", catalog=dup(catalog, "product_id"), customers=dup(customers, "customer_id"),
-                  basket_lines=dup(baskets, "transaction_id", "line_item_id"), inventory=dup(inventory, "branch_id", "product_id")),
-            check("foreign_keys_valid", basket_products=_missing(baskets, "product_id", catalog, "product_id"),
-                  basket_customers=_missing(baskets, "customer_id", customers, "customer_id"),
-                  basket_branches=_missing(baskets, "store_id", inventory, "branch_id"),
-                  inventory_products=_missing(inventory, "product_id", catalog, "product_id")),
-            check("quantities_valid", basket_quantity=_bad(baskets, ~(F.col("quantity") > 0)),
-                  stock_quantity=_bad(inventory, ~(F.col("stock_quantity") >= 0))),
-            check("prices_valid",
-                  catalog_prices=_bad(catalog, ~((F.col("cost_price") > 0) & (F.col("base_unit_price") > 0) & (F.col("current_unit_price") > 0))),
-                  basket_prices=_bad(baskets, ~((F.col("unit_price") > 0) & (F.col("line_total") > 0)))),
-            check("no_inactive_products_sold", inactive_sold_count=sold_inactive),
-            check("valid_branch_assignment", invalid_branch_count=baskets.select("store_id").distinct()
-                  .join(inventory.select(F.col("branch_id").alias("store_id")).distinct(), "store_id", "left_anti").agg(F.count(F.lit(1))).scalar()),
-            check("reference_integrity", (F.col("products_bought") > 0) & (F.col("customers_buying") > 0),
-                  products_bought=n_sold, customers_buying=scalar(baskets, F.count_distinct("customer_id")),
-                  active_catalog_coverage=F.try_divide(n_sold, n_catalog - scalar(inactive, F.count_distinct("product_id")))),
-            check("tenant_consistency", catalog=foreign(catalog), customers=foreign(customers), baskets=foreign(baskets), inventory=foreign(inventory)),
-            check("basket_size_distribution",
-                  F.col("mean_basket_size").between(1.5, 5.0) & F.col("median_basket_size").between(1.0, 4.0) & (F.col("min_basket_size") >= 1),
-                  mean_basket_size=scalar(sizes, F.try_divide(F.sum(F.col("units") * F.col("n")), F.sum("n"))),
-                  median_basket_size=scalar(sizes, F.percentile("units", F.lit(0.5), F.col("n"))),
-                  min_basket_size=scalar(sizes, F.min("units")), max_basket_size=scalar(sizes, F.max("units"))),
-            check("long_tail_distribution", F.col("top_20pct_volume_share") >= 0.35, top_20pct_volume_share=head),
-            check("co_purchase_signals", (F.col("n_pairs") >= 5) & (F.col("best_pair") >= 10),
-                  n_pairs=pair_facts.select("n_pairs").scalar(), best_pair=pair_facts.select("best").scalar()),
-            check("customer_preference_influence", F.col("match_ratio") >= min_category_match,
-                  match_ratio=matches.select(F.coalesce("hit", F.lit(0)) / F.greatest(F.coalesce("all", F.lit(0)), F.lit(1))).scalar()),
-            check("branch_behavior_differences", (F.col("std_branch_txns") > 0) & (F.col("branch_count") > 1),
-                  branch_count=scalar(volume, F.count(F.lit(1))), min_branch_txns=scalar(volume, F.min("n")),
-                  max_branch_txns=scalar(volume, F.max("n")), std_branch_txns=scalar(volume, F.stddev_samp("n"))),
-            check("compatibility_relationships", F.col("unique_tags") >= 10,
-                  unique_tags=catalog.select(F.explode("compatibility_tags").alias("t")).agg(F.count_distinct("t")).scalar()),
-            check("inventory_validity", (F.col("inconsistent") == 0) & (F.col("out_of_stock") > 0) & (F.col("in_stock") > 0),
-                  inconsistent=_bad(inventory, F.col("is_available") != (F.col("stock_quantity") > 0)),
-                  out_of_stock=_bad(inventory, F.col("stock_quantity") == 0), in_stock=_bad(inventory, F.col("stock_quantity") > 0)),
-            check("no_pii_exists", bad_ids=_bad(customers, ~F.col("customer_id").rlike(r"^CUST-\d+$")), suspicious_columns=F.lit(len(suspicious))),
-            check("temporal_consistency", future_rows=_bad(baskets, day > last)),
-        ]
-    )
-
-
-def _head_share(counts: DataFrame) -> Column:
+    volume = per_branch.agg(
+        F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"), F.stddev_samp("n").alias("std")
+    ).first()
+    tags = catalog.select(F.explode("compatibility_tags").alias("t")).agg(F.count_distinct("t")).first()[0]
+    head = _head_share(per_product, bought)
+    suspicious = [n for n in customers.columns if any(w in n.lower() for w in ("email", "phone", "name", "address", "ssn"))]
+    selling = c["products"] - c["inactive"]
+    ratio = matched["hit"] / max(matched["all"], 1)
+    none = lambda **m: (all(v == 0 for v in m.values()), m)
+
+    report = {
+        "primary_keys_unique": none(catalog=dup(catalog, "product_id"), customers=dup(customers, "customer_id"),
+                                    basket_lines=dup(baskets, "transaction_id", "line_item_id"), inventory=dup(inventory, "branch_id", "product_id")),
+        "foreign_keys_valid": none(basket_products=missing(per_product, "product_id", catalog, "product_id", "n")["lines"],
+                                   basket_customers=missing(per_customer, "customer_id", customers, "customer_id", "n")["lines"],
+                                   basket_branches=no_branch["lines"],
+                                   inventory_products=missing(stocked, "product_id", catalog, "product_id", "n")["lines"]),
+        "quantities_valid": none(basket_quantity=b["quantity"], stock_quantity=i["negative"]),
+        "prices_valid": none(catalog_prices=c["prices"], basket_prices=b["prices"]),
+        "no_inactive_products_sold": none(inactive_sold_count=sold_inactive),
+        "valid_branch_assignment": none(invalid_branch_count=no_branch["keys"]),
+        "reference_integrity": (bought > 0 and buyers > 0, {"products_bought": bought, "customers_buying": buyers,
+                                "active_catalog_coverage": bought / selling if selling else None}),
+        "tenant_consistency": none(catalog=c["foreign"], customers=u["foreign"], baskets=b["foreign"], inventory=i["foreign"]),
+        "basket_size_distribution": (
+            sizes["low"] is not None and 1.5 <= sizes["mean"] <= 5.0 and 1.0 <= sizes["median"] <= 4.0 and sizes["low"] >= 1,
+            {"mean_basket_size": sizes["mean"], "median_basket_size": sizes["median"], "min_basket_size": sizes["low"], "max_basket_size": sizes["high"]}),
+        "long_tail_distribution": (head is not None and head >= 0.35, {"top_20pct_volume_share": head}),
+        "co_purchase_signals": (pairs["n"] >= 5 and pairs["best"] >= 10, {"n_pairs": pairs["n"], "best_pair": pairs["best"]}),
+        "customer_preference_influence": (ratio >= min_category_match, {"match_ratio": ratio}),
+        "branch_behavior_differences": (volume["n"] > 1 and volume["std"] > 0, {"branch_count": volume["n"], "min_branch_txns": volume["low"],
+                                        "max_branch_txns": volume["high"], "std_branch_txns": volume["std"]}),
+        "compatibility_relationships": (tags >= 10, {"unique_tags": tags}),
+        "inventory_validity": (i["inconsistent"] == 0 and i["out"] > 0 and i["positive"] > 0,
+                               {"inconsistent": i["inconsistent"], "out_of_stock": i["out"], "in_stock": i["positive"]}),
+        "no_pii_exists": none(bad_ids=u["bad_ids"], suspicious_columns=len(suspicious)),
+        "temporal_consistency": none(future_rows=b["future"]),
+    }
+    rows = [
+        (name, bool(passed), {m: None if v is None else float(v) for m, v in metrics.items()})
+        for name, (passed, metrics) in report.items()
+    ]
+    return spark.createDataFrame(rows, "check string, passed boolean, metrics map<string,double>")
+
+
+def _head_share(counts: DataFrame, n_products: int) -> float | None:
     """Share of lines held by the most sold fifth of the products.
 
     Ties at the edge do not matter: equal counts add the same. Products collapse to distinct counts
     first, so the running position is taken over few rows.
     """
-    from ..functions.ranking import cumulative_counts
-
-    negative = counts.select((-F.col("n")).alias("m"))
-    ranked = cumulative_counts(negative, "m")
-    total_products = counts.agg(F.count(F.lit(1))).scalar()
-    head = F.greatest(F.lit(1), F.floor(total_products * 0.20))
-    taken = F.least(F.greatest(head - F.col("before"), F.lit(0)), F.col("n"))
-    return ranked.agg(F.try_divide(F.sum(taken * -F.col("m")), F.sum(F.col("n") * -F.col("m")))).scalar()
+    ranked = cumulative_counts(counts.select((-F.col("n")).alias("m")), "m")
+    head = max(1, int(n_products * 0.20))
+    taken = F.least(F.greatest(F.lit(head) - F.col("before"), F.lit(0)), F.col("n"))
+    return ranked.agg(F.try_divide(F.sum(taken * -F.col("m")), F.sum(F.col("n") * -F.col("m")))).first()[0]
 
 
 def recommendation_summary(

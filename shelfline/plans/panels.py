@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..operators import demand_panel as panel_ops
 from ..operators import features, splits
+from ..session import cut_lineage
 from ..sources import star_schema as star
 from .registry import cte, query, rounded, sql
 
@@ -87,15 +88,20 @@ HOLIDAY_SQL = f"""
 
 
 def demand_panel(spark, folder):
-    records = star.demand_records(spark, folder)
+    records = cut_lineage(star.demand_records(spark, folder), "demand-records")
     closed = records.where(F.weekday("date") == 6)
     daily = panel_ops.daily_demand(records)
     stockouts = daily.where("quantity >= 80").withColumn("date", F.date_add("date", 1))
     return panel_ops.build_demand_panel(records, closed_days=closed, out_of_stock_days=stockouts)
 
 
+def revenue_days(spark, folder):
+    """Observed branch-days, written once: one row per branch and day."""
+    return cut_lineage(star.branch_revenue(spark, folder), "revenue-days")
+
+
 def dense_revenue(spark, folder):
-    return features.dense_branch_days(star.branch_revenue(spark, folder))
+    return features.dense_branch_days(revenue_days(spark, folder))
 
 
 @query("demand_panel", sql("""
@@ -223,7 +229,7 @@ def _split_sql(first: str, second: str) -> str:
                                        "greatest(2, CAST(floor(n * (0.7 + 0.15)) AS INTEGER))"),
        dates=("first_date", "last_date"))
 def split_by_fraction(spark, folder):
-    df = star.branch_revenue(spark, folder)
+    df = revenue_days(spark, folder)
     return splits.split_summary(splits.label_split(df, splits.fraction_cutoffs(df)))
 
 
@@ -231,13 +237,13 @@ def split_by_fraction(spark, folder):
                                     "CAST(floor(n * 0.7) AS INTEGER) + CAST(floor(n * 0.15) AS INTEGER)"),
        dates=("first_date", "last_date"))
 def split_by_count(spark, folder):
-    df = star.branch_revenue(spark, folder)
+    df = revenue_days(spark, folder)
     return splits.split_summary(splits.label_split(df, splits.count_cutoffs(df)))
 
 
 @query("split_last_days", _split_sql("n - 60", "n - 30"), dates=("first_date", "last_date"))
 def split_last_days(spark, folder):
-    df = star.branch_revenue(spark, folder)
+    df = revenue_days(spark, folder)
     return splits.split_summary(splits.label_split(df, splits.tail_cutoffs(df)))
 
 
@@ -246,7 +252,7 @@ SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_dates, min(date) AS
 FROM (SELECT date, CASE WHEN date < DATE '2000-01-01' THEN 'train' WHEN date < DATE '2001-01-01' THEN 'validation' ELSE 'test' END AS split
       FROM revenue_days) GROUP BY split""", "revenue_days"), dates=("first_date", "last_date"))
 def split_fixed_dates(spark, folder):
-    df = star.branch_revenue(spark, folder)
+    df = revenue_days(spark, folder)
     return splits.split_summary(splits.label_fixed(df, "2000-01-01", "2001-01-01", "date"))
 
 
@@ -257,7 +263,7 @@ FROM (SELECT daily_revenue, date - (SELECT min(date) FROM revenue_days) AS d FRO
 JOIN (VALUES (1, 180), (2, 210), (3, 240), (4, 270)) f(fold, n) ON d < n + 30
 GROUP BY ALL""", "revenue_days"))
 def expanding_folds(spark, folder):
-    folds = splits.expanding_folds(star.branch_revenue(spark, folder))
+    folds = splits.expanding_folds(revenue_days(spark, folder))
     return folds.groupBy("fold", "split").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.col("daily_revenue").cast("decimal(28,2)")).cast("double").alias("revenue"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as ops
 from ..operators import requests
+from ..session import cut_lineage
 from ..sources import files
 from ..sources import star_schema as star
 from . import recommend  # noqa: F401 - registers the table expressions read here
@@ -28,6 +29,11 @@ SELECT store_id, date, sum(units_sold) AS total_units, max(customers) AS custome
 FROM ud GROUP BY store_id, date""", "ud")
 
 
+def unit_table(spark, folder):
+    """Unit demand, written once: a gate reads it several times."""
+    return cut_lineage(star.unit_demand(spark, folder), "unit-demand")
+
+
 def gate(*checks):
     """One query: the checks' metrics in long form."""
     return rounded(ops.long_metrics(ops._union(list(checks))), 6)
@@ -68,32 +74,32 @@ G5 = rows_sql("panel_feasibility", "d = 0 AND broken = 0 AND n >= 100",
 
 @query("gate_physical_integrity", sql(G1, "ud"))
 def gate_1(spark, folder):
-    return gate(ops.physical_integrity(star.unit_demand(spark, folder)))
+    return gate(ops.physical_integrity(unit_table(spark, folder)))
 
 
 @query("gate_behavioural_correlation", sql(G2, "ud_days"))
 def gate_2(spark, folder):
-    return gate(ops.behavioural_correlation(star.unit_demand(spark, folder)))
+    return gate(ops.behavioural_correlation(unit_table(spark, folder)))
 
 
 @query("gate_promotional_effects", sql(G3, "ud"))
 def gate_3(spark, folder):
-    return gate(ops.promotional_effects(star.unit_demand(spark, folder), ELASTIC, STAPLE))
+    return gate(ops.promotional_effects(unit_table(spark, folder), ELASTIC, STAPLE))
 
 
 @query("gate_catalogue_velocity", sql(G4, "ud"))
 def gate_4(spark, folder):
-    return gate(ops.catalogue_velocity(star.unit_demand(spark, folder), HEAD, TAIL, STAPLE))
+    return gate(ops.catalogue_velocity(unit_table(spark, folder), HEAD, TAIL, STAPLE))
 
 
 @query("gate_panel_feasibility", sql(G5, "ud"))
 def gate_5(spark, folder):
-    return gate(ops.panel_feasibility(star.unit_demand(spark, folder)))
+    return gate(ops.panel_feasibility(unit_table(spark, folder)))
 
 
 @query("demand_gates", sql(" UNION ALL ".join([G1, G2, G3, G4, G5]), "ud", "ud_days"))
 def demand_gates(spark, folder):
-    report = ops.demand_gates(star.unit_demand(spark, folder), ELASTIC, STAPLE, HEAD, TAIL)
+    report = ops.demand_gates(unit_table(spark, folder), ELASTIC, STAPLE, HEAD, TAIL)
     return rounded(ops.long_metrics(report), 6)
 
 
@@ -101,7 +107,7 @@ def demand_gates(spark, folder):
 SELECT CAST(day_of_week AS INTEGER) AS day_of_week, round(avg(total_units), 6) AS mean_units, round(avg(customers), 6) AS mean_customers
 FROM ud_days WHERE is_open = 1 GROUP BY day_of_week""", "ud_days"))
 def weekday_profile(spark, folder):
-    return rounded(ops.weekday_profile(star.unit_demand(spark, folder)))
+    return rounded(ops.weekday_profile(unit_table(spark, folder)))
 
 
 @query("promotion_lift", sql("""
@@ -109,19 +115,20 @@ SELECT product_id, round(p, 6) AS promo, round(q, 6) AS regular, round(p / great
 SELECT product_id, coalesce(avg(CASE WHEN is_promo = 1 THEN units_sold END), 0) AS p, coalesce(avg(CASE WHEN is_promo = 0 THEN units_sold END), 0) AS q
 FROM ud WHERE is_open = 1 GROUP BY product_id)""", "ud"))
 def promotion_lift(spark, folder):
-    return rounded(ops.promotion_lift(star.unit_demand(spark, folder)))
+    return rounded(ops.promotion_lift(unit_table(spark, folder)))
 
 
 def rec_tables(spark, folder):
     """Catalogue, customers (with preferences and totals), baskets, inventory."""
     from ..operators.baskets import customer_totals
 
-    baskets = star.baskets(spark, folder)
+    baskets = cut_lineage(star.baskets(spark, folder), "baskets")
     customers = star.table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("customer_id"), F.lit(star.ORGANIZATION).alias("organization_id")
     )
     customers = customer_totals(baskets, customers).join(star.customer_preferences(spark, folder), "customer_id", "left")
-    return star.catalog(spark, folder), customers, baskets, star.inventory(spark, folder)
+    stock = cut_lineage(star.inventory(spark, folder), "inventory")
+    return star.catalog(spark, folder), cut_lineage(customers, "customers"), baskets, stock
 
 
 cte("inv", """

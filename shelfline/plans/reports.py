@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import popularity, reports
+from ..session import cut_lineage
 from ..sources import star_schema as star
 from . import panels, recommend  # noqa: F401 - recommend registers table expressions read here
 from .registry import cte, query, rounded, sql
@@ -117,7 +118,7 @@ SELECT branch_id, recent_revenue, CAST(ntile(3) OVER (ORDER BY recent_revenue, b
 SELECT branch_id, CAST(sum(CAST(daily_revenue AS DECIMAL(28,2))) AS DOUBLE) AS recent_revenue FROM revenue_days
 WHERE date > (SELECT max(date) FROM revenue_days) - 90 GROUP BY branch_id)""", "revenue_days"))
 def volume_tier(spark, folder):
-    return reports.volume_tier(star.branch_revenue(spark, folder))
+    return reports.volume_tier(panels.revenue_days(spark, folder))
 
 
 cte("units_days", """
@@ -151,4 +152,4 @@ SELECT product_id, CASE WHEN (l - s) * 0.25 > 0 THEN s / ((l - s) * 0.25::DOUBLE
 SELECT product_id, CAST(sum(CASE WHEN transaction_date > top - 7 THEN quantity ELSE 0 END) AS DOUBLE) AS s, CAST(sum(CASE WHEN transaction_date > top - 28 THEN quantity ELSE 0 END) AS DOUBLE) AS l
 FROM bk, (SELECT max(transaction_date) AS top FROM bk) GROUP BY product_id)""", "bk"))
 def velocity_variant(spark, folder):
-    return reports.velocity_variant(popularity.windowed_sales(star.baskets(spark, folder), None, 7, 28))
+    return reports.velocity_variant(popularity.windowed_sales(cut_lineage(star.baskets(spark, folder), "baskets"), None, 7, 28))
