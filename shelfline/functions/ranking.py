@@ -15,15 +15,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SAMPLE_SIZE = 4096
 SKETCH_ACCURACY = 10000
 
 
 def range_bounds(df: DataFrame, column: str, buckets: int = 64) -> list:
-    """At most ``buckets - 1`` cut values from a fixed-size hash sample of the column."""
+    """At most ``buckets - 1`` cut values from a fixed-size hash sample of the column.
+
+    Tables far above the sample size are thinned by hash first, so that tasks do not each offer a
+    full sample.
+    """
+    known = df.select(column).where(F.col(column).isNotNull())
+    share = min(1.0, 16 * SAMPLE_SIZE / max(known.count(), 1))
+    if share < 1.0:
+        known = known.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = (
-        df.select(column)
-        .where(F.col(column).isNotNull())
+        known
         .orderBy(F.xxhash64(column), column)
         .limit(SAMPLE_SIZE)
         .collect()
@@ -61,8 +70,9 @@ def cumulative_counts(
 ) -> DataFrame:
     """One row per (keys, value): ``n`` rows hold it, ``before`` rows are smaller."""
     keys = list(keys)
-    counts = (
-        df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(
+        df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n")),
+        "counts",
     )
     bounds = range_bounds(counts, column, buckets)
     bucketed = counts.withColumn("_bucket", bucket_of(F.col(column), bounds))
@@ -83,6 +93,7 @@ def row_numbers(
 ) -> DataFrame:
     """``row_number`` by ``column`` (unique within keys) where a key may hold most of the rows."""
     keys = list(keys)
+    df = cut_lineage(df, "numbered")
     bounds = range_bounds(df, column, buckets)
     bucketed = df.withColumn("_bucket", bucket_of(F.col(column), bounds))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(column)

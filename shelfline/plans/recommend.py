@@ -93,10 +93,11 @@ def sales(spark, folder):
 
 
 def index(spark, folder, signals, query_size=1):
-    return hybrid.build_index(
+    built = hybrid.build_index(
         cut_lineage(star.baskets(spark, folder), "baskets"), star.customer_preferences(spark, folder), star.catalog(spark, folder),
         min_support=SUPPORT, min_confidence=CONFIDENCE, min_lift=LIFT, query_size=query_size, signals=signals,
     )
+    return hybrid.materialised(built)
 
 
 @query("trending_velocity", sql("SELECT product_id, round(score, 9) AS score FROM trend", "trend"))
@@ -335,7 +336,13 @@ cte("eval_truth", """
 SELECT request_id, product_id, seed FROM eval_items JOIN eval_seeds USING (request_id) WHERE product_id <> seed""", "eval_items", "eval_seeds")
 
 
-def eval_sql(lists: str, key: str) -> str:
+def list_recs(lists: str, key: str) -> str:
+    return f"""SELECT request_id, product_id, rank FROM (
+   SELECT s.request_id, l.product_id, row_number() OVER (PARTITION BY s.request_id ORDER BY l.rank, l.product_id) AS rank
+   FROM eval_seeds s JOIN {lists} l ON l.store_id = {key} WHERE l.product_id <> s.seed) WHERE rank <= 10"""
+
+
+def eval_sql(recs: str) -> str:
     parts = []
     for k in (5, 10):
         hits = f"sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END)"
@@ -349,9 +356,7 @@ def eval_sql(lists: str, key: str) -> str:
                   f"round(avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END), 9) AS hit_rate_at_{k}", f"round(avg(n{k}), 9) AS ndcg_at_{k}",
                   f"round(avg(m{k}), 9) AS map_at_{k}"]
     return sql(f"""
-, recs AS (SELECT request_id, product_id, rank FROM (
-   SELECT s.request_id, l.product_id, row_number() OVER (PARTITION BY s.request_id ORDER BY l.rank, l.product_id) AS rank
-   FROM eval_seeds s JOIN {lists} l ON l.store_id = {key} WHERE l.product_id <> s.seed) WHERE rank <= 10)
+, recs AS ({recs})
 , marked AS (SELECT r.*, CAST(t.product_id IS NOT NULL AS INTEGER) AS hit, p_type AS cat FROM recs r
    LEFT JOIN eval_truth t USING (request_id, product_id) LEFT JOIN part ON CAST(p_partkey AS VARCHAR) = r.product_id)
 , counted AS (SELECT *, sum(hit) OVER (PARTITION BY request_id ORDER BY rank) AS seen FROM marked)
@@ -370,31 +375,37 @@ def _baseline(spark, folder, lists, everywhere):
     return rounded(evaluation.ranking_metrics(recs, truth, star.catalog(spark, folder)), 9)
 
 
-@query("baseline_popular_eval", eval_sql("pop_lists", "'*'"))
+@query("baseline_popular_eval", eval_sql(list_recs("pop_lists", "'*'")))
 def baseline_popular_eval(spark, folder):
     return _baseline(spark, folder, popularity.org_popularity_top(units(spark, folder), 25), True)
 
 
-@query("baseline_branch_eval", eval_sql("pop_lists", "s.store_id"))
+@query("baseline_branch_eval", eval_sql(list_recs("pop_lists", "s.store_id")))
 def baseline_branch_eval(spark, folder):
     return _baseline(spark, folder, popularity.branch_popularity_top(units(spark, folder), 25, 20.0), False)
 
 
-@query("baseline_trending_eval", eval_sql("trend_lists", "'*'"))
+@query("baseline_trending_eval", eval_sql(list_recs("trend_lists", "'*'")))
 def baseline_trending_eval(spark, folder):
     return _baseline(spark, folder, popularity.trending_top(sales(spark, folder), 25), True)
 
 
-@query("ranking_metrics")
+EVAL_REQUESTS = """SELECT request_id, 'PRODUCT' AS context, any_value(customer_id) AS customer_id, [seed] AS product_ids, any_value(s.store_id) AS branch_id
+FROM eval_seeds s JOIN (SELECT DISTINCT transaction_id || '|' || store_id || '|' || customer_id AS request_id, customer_id FROM bk) USING (request_id)
+GROUP BY request_id, seed"""
+
+
+@query("ranking_metrics", eval_sql(f"SELECT request_id, product_id, rank FROM (\n{hybrid_sql(EVAL_REQUESTS)}\n)"))
 def ranking_metrics(spark, folder):
     """Hybrid PRODUCT answers for every product, judged on all multi-item baskets of its seed."""
-    requests, truth = evaluation.evaluation_requests(star.baskets(spark, folder))
+    requests, truth = evaluation.evaluation_requests(cut_lineage(star.baskets(spark, folder), "baskets"))
     asked = requests.select(
         "request_id", F.lit("PRODUCT").alias("context"), "product_id", "branch_id", "customer_id",
         F.lit(star.ORGANIZATION).alias("organization_id"),
     )
-    recs = hybrid.recommend_batch(asked, index(spark, folder, hybrid.SIGNALS), star.catalog(spark, folder), star.inventory(spark, folder))
-    return rounded(evaluation.ranking_metrics(recs.select("request_id", "product_id", "rank"), truth, star.catalog(spark, folder)), 9)
+    answers = hybrid.recommend_batch(asked, index(spark, folder, hybrid.SIGNALS), star.catalog(spark, folder), star.inventory(spark, folder))
+    recs = cut_lineage(answers.select("request_id", "product_id", "rank"), "answers")
+    return rounded(evaluation.ranking_metrics(recs, truth, star.catalog(spark, folder)), 9)
 
 
 @query("substitutes", sql("""
