@@ -53,7 +53,7 @@ def sql(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered)
     return f"WITH {head}\n{body}" if head else body
 
 
