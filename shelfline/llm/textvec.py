@@ -48,10 +48,15 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
 
 
+def strings(array: pa.Array) -> list[str]:
+    """Python strings of an array without nulls."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 def hashes(distinct: pa.Array) -> np.ndarray:
     """64-bit hash of each word."""
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return np.fromiter((digest(w) for w in strings(distinct)), np.uint64, len(distinct))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
