@@ -121,6 +121,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
         ((hit > 0) & (100 * hit >= percent * F.col("n_words"))).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                      item_column: str = "item_id", item_text_column: str = "text", percent: int = 5, **method) -> DataFrame:
+    """The rows and columns of ``docs`` that are not contaminated; cases as in ``decontaminate``."""
+    words, hits = shared_spans(docs, items, id_column=id_column, text_column=text_column, item_column=item_column,
+                               item_text_column=item_text_column, **method)
+    covered = hits.select("id", "row_key", F.explode(F.expr(
+        "array_distinct(flatten(transform(starts, s -> sequence(s, s + span - 1))))")).alias("place")).distinct()
+    n_hit = covered.groupBy("id", "row_key").agg(F.count(F.lit(1)).alias("n_hit"))
+    counts = words.select(F.col("row_key").alias("_key"), F.col("id").alias("_id"), F.size("words").alias("n_words")).distinct()
+    bad = n_hit.join(counts, (F.col("row_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).where(
+        100 * F.col("n_hit") >= percent * F.col("n_words")).select("_key", "_id")
+    key = F.xxhash64(F.col(id_column), text_or_empty(text_column))
+    return docs.join(cut_lineage(bad, "contaminated"), (key == F.col("_key")) & F.col(id_column).eqNullSafe(F.col("_id")), "left_anti")
+
+
 SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
