@@ -9,8 +9,9 @@ Weak parts (fewer than two shingles) say little, and unrelated texts agree in th
 than needed; as long as a text has no more weak parts than those to spare, it can leave them out and still meets every
 partner: what an untouched part holds is the same on both sides, so it is weak for both or for neither.
 
-Groups of near copies are not expanded into pairs: every part compares its members with one pivot, linked texts become
-one component, and only members of different components are compared in full, in blocks.
+Groups of near copies are not expanded into pairs: every part compares its members with a pivot, the text with most
+company first, linked texts become one component, and only members of different components are compared in full, in
+blocks. Only pairs with near sketches leave a task and are verified.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from .registry import query, table
 WIDTH, PERCENT = 4, 85
 #: Bits of a part of a sketch, as a power of two; only the hash of a part travels.
 PART_BITS = 20
-#: Texts of a part that are compared in one task.
-BLOCK = 512
-PIVOT_ROUNDS = 3
+#: Texts of a part that are compared with each other at once, rows of the parts that share a bin, turns with pivots.
+BLOCK, BIN_ROWS = 512, 20_000
+PIVOT_ROUNDS = 1
 
 
 def band_ends(largest: int, percent: int) -> np.ndarray:
@@ -217,30 +218,76 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("id", "comp")
 
 
-def _close_pairs(percent: int):
-    """Pairs of a part that belong to different components and whose sketches are near enough."""
+def _limit(bucket: int, percent: int) -> int:
+    """Largest distance of sketches of a bucket whose sets can be linked."""
+    ends = band_ends(2, percent)
+    while len(ends) <= bucket:
+        ends = band_ends(int(ends[-1]) + 1, percent)
+    return int(most_different(ends[bucket], percent))
+
+
+def _compare(percent: int, star: bool):
+    """Candidate pairs of the parts in a bin, by sketch distance.
+
+    ``star``: a member is compared with one pivot after another until it is near one. Else all members of different
+    components are compared.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["slot"].iloc[0]) >> 22
-        ends = band_ends(2, percent)
-        while len(ends) <= bucket:
-            ends = band_ends(int(ends[-1]) + 1, percent)
-        limit = int(most_different(ends[bucket], percent))
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        ids, comps, sizes = (pdf[c].to_numpy() for c in ("id", "comp", "size"))
-        a, b = [], []
-        for i in range(len(pdf) - 1):
-            other = np.flatnonzero((comps[i + 1:] != comps[i]) & (100 * np.minimum(sizes[i + 1:], sizes[i])
-                                                                  >= percent * np.maximum(sizes[i + 1:], sizes[i]))) + i + 1
-            if len(other):
-                near = other[(sketch[other] != sketch[i]).sum(axis=1) <= limit]
-                a.append(np.minimum(ids[near], ids[i]))
-                b.append(np.maximum(ids[near], ids[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": [], "b": []}).astype("int64")
+        pdf = pdf.sort_values(["key", "i", "j", "weight", "id"], ascending=[True, True, True, False, True])
+        keys, ids, comps, sizes, slots = (pdf[c].to_numpy() for c in ("key", "id", "comp", "size", "slot"))
+        tiles = pdf[["i", "j"]].to_numpy()
+        sketches = pdf["sketch"].to_numpy()
+        new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1]).any(axis=1))))
+        limits: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+        for a, b in zip(new, np.append(new[1:], len(pdf)), strict=True):
+            bucket = int(slots[a]) >> 22
+            if bucket not in limits:
+                limits[bucket] = _limit(bucket, percent)
+            rows = np.frombuffer(b"".join(sketches[a:b]), np.uint8).reshape(b - a, -1)
+            size, comp, own = sizes[a:b], comps[a:b], ids[a:b]
+            waiting = np.ones(b - a, bool)
+            for i in range(b - a - 1):
+                if star and not waiting[i]:
+                    continue
+                other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+                if star:
+                    other = other[waiting[other]]
+                if not len(other):
+                    continue
+                fits = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
+                near = other[fits]
+                near = near[(rows[near] != rows[i]).sum(axis=1) <= limits[bucket]]
+                waiting[near] = False
+                out += [(min(x, own[i]), max(x, own[i])) for x in own[near]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
 
     return run
 
 
+def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Candidate pairs between different components, from all parts that still hold several."""
+    placed = met.join(comps, "id")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+    open_keys = cut_lineage(open_keys.where("low < high").select(
+        "key", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
+    bins = max(1, (open_keys.agg(F.sum("members")).first()[0] or 0) // BIN_ROWS)
+    bucket = F.shiftright("slot", 22)
+    sketch = F.when(F.col("band") == bucket, F.col("own")).when(F.col("band") + 1 == bucket, F.col("next"))
+    rows = placed.join(open_keys, "key").join(sets.select("id", "size", "band", "own", "next"), "id").select(
+        "key", "slot", "id", "comp", "weight", "size", sketch.alias("sketch"), "blocks",
+        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).where("sketch is not null")
+    if star:  # each block has its own pivots
+        tiles = rows.withColumns({"i": F.col("block"), "j": F.col("block")})
+    else:
+        other = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        tiles = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    # small parts share a bin, and blocks of a large part fall into different bins
+    dealt = tiles.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInPandas(_compare(percent, star), "a long, b long").distinct()
+
+
 def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id``.
@@ -269,31 +316,10 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
     comps = cut_lineage(weight.withColumn("comp", F.col("id")), "components")
-    for turn in range(PIVOT_ROUNDS):
-        # first the text with most company, an original among its copies; later others by chance
-        rank = F.col("weight") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        placed = met.join(comps, "id")
-        pivots = placed.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.struct(rank, -F.col("id"))).alias("p"),
-                                           F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        star = placed.join(pivots.select("key", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "key") \
-            .where("comp != pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        comps, grown = _merged(comps, verified(star, sets, percent))
-        if not grown:
-            break
-
-    placed = met.join(comps.select("id", "comp"), "id")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-    open_keys = open_keys.where("low < high").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    bucket = F.shiftright("slot", 22)
-    sketch = F.when(F.col("band") == bucket, F.col("own")).otherwise(F.col("next"))
-    mine = placed.join(open_keys, "key").join(sets.select("id", "size", "band", "own", "next"), "id").select(
-        "key", "slot", "id", "comp", "size", sketch.alias("sketch"), "blocks",
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    mine = mine.where((F.col("band") == bucket) | (F.col("band") + 1 == bucket))
-    tiles = mine.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "key", "slot", "id", "comp", "size", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    close = tiles.groupBy("key", "i", "j").applyInPandas(_close_pairs(percent), "a long, b long").distinct()
-    comps, _ = _merged(comps, verified(cut_lineage(close, "close"), sets, percent))
+    for turn in range(PIVOT_ROUNDS + 1):
+        # stars join what is alike at the cost of one comparison a member; the last turn leaves no pair out
+        pairs = _candidates(met, comps, sets, percent, star=turn < PIVOT_ROUNDS)
+        comps, _ = _merged(comps, verified(cut_lineage(pairs, "pairs"), sets, percent))
 
     # rows of one id, rows of one set, and linked sets: together
     bridges = summary.where("set_key is not null and id is not null").join(classes, "set_key").select(
