@@ -92,7 +92,7 @@ class Sets:
     def sketches(self, take: np.ndarray, shift: int, percent: int):
         """Sketches of the rows ``take`` in their own band (``shift`` 0) or the next (1).
 
-        Returns (row of each sketch, bucket, parts, first part of each, hash of each part, shingles in each part).
+        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 16 bits of each part).
         """
         ends = band_ends(int(self.sizes.max()) * 100 // percent + 2 if len(self.sizes) else 1, percent)
         bucket = np.searchsorted(ends, self.sizes[take]) + shift
@@ -109,12 +109,14 @@ class Sets:
         # flipping a bit twice leaves the part as it was, and so does its hash
         flips = textvec.mix(bits + np.uint64(0x5851F42D4C957F2D))
         total = int(parts.sum())
-        held, counts = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+        held, counts, short = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros(total, np.uint16)
         if len(slot):
             runs = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             held[slot[runs]] = np.bitwise_xor.reduceat(flips, runs)
             counts[slot[runs]] = np.diff(np.append(runs, len(slot)))
-        return bucket, parts, first, held, counts
+            one = np.uint16(1) << (bits & np.uint64(15)).astype(np.uint16)
+            short[slot[runs]] = np.bitwise_xor.reduceat(one, runs)
+        return bucket, parts, first, held, counts, short
 
 
 def _summaries(width: int):
@@ -142,7 +144,7 @@ def _parts(width: int, percent: int):
             if not len(take):
                 continue
             for shift in (0, 1):
-                bucket, parts, first, held, counts = sets.sketches(take, shift, percent)
+                bucket, parts, first, held, counts, _ = sets.sketches(take, shift, percent)
                 owner = np.repeat(np.arange(len(take)), parts)
                 weak = counts < 2
                 spare = parts - (most_different(band_ends(int(sets.sizes.max()) * 100 // percent + 2, percent)[bucket], percent) + 1)
@@ -157,7 +159,7 @@ def _parts(width: int, percent: int):
 
 
 def _blobs(width: int, percent: int):
-    """Sets and one-byte sketches of candidate texts."""
+    """Sets and bit sketches (16 bits a part) of candidate texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textvec.pieces(batches):
@@ -169,9 +171,8 @@ def _blobs(width: int, percent: int):
             blob = [sets.values[sets.starts[i]: sets.starts[i] + sets.sizes[i]].tobytes() for i in take]
             columns = [piece.column("id").take(pa.array(take)), pa.array(sets.sizes[take]), pa.array(blob, pa.binary()),
                        pa.array(made[0][0].astype(np.int32))]
-            for _, parts, first, held, _ in made:
-                low = held.astype(np.uint8)
-                columns.append(pa.array([low[a: a + n].tobytes() for a, n in zip(first, parts, strict=True)], pa.binary()))
+            for _, parts, first, _, _, short in made:
+                columns.append(pa.array([short[a: a + n].tobytes() for a, n in zip(first, parts, strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "size", "members", "band", "own", "next"])
 
     return run
@@ -218,14 +219,6 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("id", "comp")
 
 
-def _limit(bucket: int, percent: int) -> int:
-    """Largest distance of sketches of a bucket whose sets can be linked."""
-    ends = band_ends(2, percent)
-    while len(ends) <= bucket:
-        ends = band_ends(int(ends[-1]) + 1, percent)
-    return int(most_different(ends[bucket], percent))
-
-
 def _compare(percent: int, star: bool):
     """Candidate pairs of the parts in a bin, by sketch distance.
 
@@ -235,17 +228,13 @@ def _compare(percent: int, star: bool):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "i", "j", "weight", "id"], ascending=[True, True, True, False, True])
-        keys, ids, comps, sizes, slots = (pdf[c].to_numpy() for c in ("key", "id", "comp", "size", "slot"))
+        keys, ids, comps, sizes = (pdf[c].to_numpy() for c in ("key", "id", "comp", "size"))
         tiles = pdf[["i", "j"]].to_numpy()
         sketches = pdf["sketch"].to_numpy()
         new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1]).any(axis=1))))
-        limits: dict[int, int] = {}
         out: list[tuple[int, int]] = []
         for a, b in zip(new, np.append(new[1:], len(pdf)), strict=True):
-            bucket = int(slots[a]) >> 22
-            if bucket not in limits:
-                limits[bucket] = _limit(bucket, percent)
-            rows = np.frombuffer(b"".join(sketches[a:b]), np.uint8).reshape(b - a, -1)
+            rows = np.frombuffer(b"".join(sketches[a:b]), np.uint16).reshape(b - a, -1)
             size, comp, own = sizes[a:b], comps[a:b], ids[a:b]
             waiting = np.ones(b - a, bool)
             for i in range(b - a - 1):
@@ -258,7 +247,9 @@ def _compare(percent: int, star: bool):
                     continue
                 fits = 100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])
                 near = other[fits]
-                near = near[(rows[near] != rows[i]).sum(axis=1) <= limits[bucket]]
+                # two linked sets differ in no more members than this, and their sketches in no more bits
+                most = (size[near] + size[i]) * (100 - percent) // (100 + percent)
+                near = near[np.bitwise_count(rows[near] ^ rows[i]).sum(axis=1) <= most]
                 waiting[near] = False
                 out += [(min(x, own[i]), max(x, own[i])) for x in own[near]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
