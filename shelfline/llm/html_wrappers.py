@@ -37,6 +37,8 @@ ARTICLE = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
 small span strike strong sub sup time tt u var""".split())
+#: Single blocks of a text; an article is what holds them.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption ul ol dl figure table tbody tr td th".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                "th": {"td", "th"}, "option": {"option"}}
@@ -291,7 +293,7 @@ def article_path(wrapper: Node, share: float = 0.6) -> tuple[str, ...]:
     everything = weight(wrapper, (), False)
     if marked and max(marked)[0] > 0:
         return max(marked, key=lambda x: (x[0], [-len(x[1])]))[1]
-    fitting = [p for p, w in weights.items() if everything and w >= share * everything]
+    fitting = [p for p, w in weights.items() if everything and w >= share * everything and not (p and p[-1].split(".")[0] in BLOCKS)]
     return max(fitting, key=lambda p: (len(p), weights[p], p), default=())
 
 

@@ -301,7 +301,7 @@ def _score(state: dict):
         n = total(np.ones(len(item), np.int64))
         score = total(logs.astype(np.float64)[item])
         return pd.DataFrame({
-            "id": pd.array(np.where(missing > 0, 0, ids), "Int64").astype(object).where(missing == 0, None) if missing.any() else ids,
+            "id": pd.arrays.IntegerArray(ids.copy(), missing > 0),
             "held_out": learn == 0, "n_tokens": n, "n_known": total((counts[item] > 0).astype(np.int64)),
             "train_tokens": np.full(len(n), state["tokens"]), "base_score": total(base[item]), "score": score,
             "perplexity": np.power(10.0, np.minimum(-score / n, 300.0))})
