@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions.columns import clip, finite, flag, forbid_columns, require_columns, with_defaults
+from ..functions.columns import clip, finite, forbid_columns, require_columns, with_defaults
 from ..sources.schemas import (
     DEMAND_FEATURES,
     DEMAND_FORBIDDEN,
@@ -162,25 +162,3 @@ def sales_features(
         }
     )
     return out.where(F.col("_row") > min_history_days).drop("_row")
-
-
-def price_text_features(df: DataFrame) -> DataFrame:
-    """Promotion price: up to a quarter off the base price on promotion days."""
-    cut = F.least(F.lit(0.25), F.lit(0.15) * F.col("elasticity") / 0.7)
-    base = F.col("base_unit_price")
-    return df.withColumn(
-        "unit_price", F.when(F.col("is_promo") == 1, F.round(base * (1 - cut), 2)).otherwise(base)
-    )
-
-
-def expected_footfall_demand(df: DataFrame) -> DataFrame:
-    """Expected units from customer counts, product weight, store depth and day effects."""
-    return df.withColumn(
-        "expected_units",
-        F.when(F.col("is_open") == 0, 0.0).otherwise(
-            F.col("customers") * 0.35 * F.col("weight") * F.col("depth")
-            * (1 + F.col("elasticity") * F.col("is_promo"))
-            * (1 + F.col("weekend_effect") * flag(F.col("day_of_week") == 6))
-            * (1 + F.col("holiday_effect") * flag(F.col("school_holiday") == 1))
-        ),
-    )
