@@ -31,7 +31,7 @@ SELECT user_id, CAST(sum(CASE WHEN CAST(ts AS DATE) > top - 7 THEN CAST(value AS
   CAST(sum(CASE WHEN CAST(ts AS DATE) > top - 30 THEN CAST(value AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS s_long
 FROM events, (SELECT max(CAST(ts AS DATE)) AS top FROM events) GROUP BY user_id)""")
 def stream_velocity(spark, folder):
-    daily = jobs.sliding_velocity(events(spark, folder), "ts", "user_id", F.col("value").cast(MONEY))
+    daily = jobs.daily_totals(events(spark, folder), "ts", ["user_id"], F.col("value").cast(MONEY))
     days = jobs.latest(jobs.changed_groups(daily, "velocity"), ["date", "user_id"])
     sums = jobs.velocity_from_days(days, "user_id")
     exact = sums.select("user_id", F.col("s_short").cast("double"), F.col("s_long").cast("double"))
@@ -81,8 +81,9 @@ SELECT CAST(o_custkey AS VARCHAR) AS customer_id, count(*) AS orders, CAST(sum(C
 def stream_customer_totals(spark, folder):
     stream = jobs.event_time(jobs.file_stream(spark, folder, "orders"), "o_orderdate")
     named = stream.withColumn("customer_id", F.col("o_custkey").cast("string"))
-    totals = jobs.running_totals(named, "customer_id", "o_orderkey", F.col("o_totalprice").cast(MONEY), "o_orderdate")
-    out = jobs.latest(jobs.changed_groups(totals, "customers"), ["customer_id"])
+    per_order = jobs.order_totals(named, "customer_id", "o_orderkey", F.col("o_totalprice").cast(MONEY), "o_orderdate")
+    orders = jobs.latest(jobs.changed_groups(per_order, "customers"), ["customer_id", "o_orderkey"])
+    out = jobs.running_totals(orders, "customer_id", "o_orderkey")
     return out.withColumn("spend", F.col("spend").cast("double"))
 
 

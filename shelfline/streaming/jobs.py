@@ -2,7 +2,8 @@
 
 Aggregations run in update mode: every micro-batch writes only the groups it changed to its own
 folder, named by batch id, so a replayed batch overwrites itself. :func:`latest` folds the folders
-to the newest row per group. Event time must be TIMESTAMP (a watermark rejects TIMESTAMP_NTZ).
+to the newest row per group. No aggregation has a watermark: files may arrive in any order, and no
+row is too late to count. State holds one row per group, as many as the result.
 """
 
 from __future__ import annotations
@@ -12,19 +13,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of the Parquet files of one table in a folder; the schema comes from the files' own
-    footer once, not from each batch."""
+    """Stream of one table, a single Parquet file or a directory of part files; the schema comes from
+    the files' own footer once, not from each batch."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
+    # a pattern, because a stream does not start from a path that is a plain file
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(folder)
+        .parquet(f"{folder}/{table}.parque[t]")
     )
 
 
@@ -36,6 +38,13 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _result_table(spark: SparkSession, folder: str, schema: T.StructType, *parts: str) -> Callable[[], DataFrame]:
+    """Reader of the batch folders, with ``batch_id``; a stream without rows gives an empty table."""
+    spark.createDataFrame([], schema).write.partitionBy(*parts).parquet(f"{folder}/table/batch_id=-1")
+    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return lambda: spark.read.schema(whole).option("basePath", f"{folder}/table").parquet(f"{folder}/table")
+
+
 def run_available(
     df: DataFrame, write: Callable[[DataFrame, int], None], mode: str, checkpoint: str
 ) -> None:
@@ -54,18 +63,13 @@ def changed_groups(df: DataFrame, name: str) -> DataFrame:
     """Run an aggregation in update mode and return all changed rows with their ``batch_id``."""
     spark = df.sparkSession
     folder = _folder(spark, name)
+    result = _result_table(spark, folder, df.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
 
     run_available(df, write, "update", f"{folder}/checkpoint")
-    return spark.read.schema(_with_batch(df)).parquet(f"{folder}/table")
-
-
-def _with_batch(df: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
+    return result()
 
 
 def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,31 +80,22 @@ def latest(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def daily_totals(
-    df: DataFrame, time: str, keys: list[str], value: Column, delay: str = "2 days", every: str = "1 day"
+    df: DataFrame, time: str, keys: list[str], value: Column, every: str = "1 day"
 ) -> DataFrame:
     """Streaming sum and count per key and window (tumbling by default)."""
     return (
-        df.withWatermark(time, delay)
-        .groupBy(F.window(time, every).alias("w"), *keys)
+        df.groupBy(F.window(time, every).alias("w"), *keys)
         .agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").cast("date").alias("date"), *keys, "total", "n")
     )
 
 
-def sliding_velocity(
-    df: DataFrame, time: str, key: str, value: Column, short_days: int = 7, long_days: int = 30,
-    delay: str = "2 days",
-) -> DataFrame:
-    """Streaming daily totals feed both sliding windows.
+def velocity_from_days(days: DataFrame, key: str, short_days: int = 7, long_days: int = 30) -> DataFrame:
+    """(key, s_short, s_long, velocity) as of the last day in the streamed :func:`daily_totals`.
 
     A 30-day window sliding by a day would copy each event 30 times into state; daily totals are kept
-    once, and the sliding sums are taken over those few rows per key.
+    once, and both sliding sums are taken over those few rows per key.
     """
-    return daily_totals(df, time, [key], value, delay)
-
-
-def velocity_from_days(days: DataFrame, key: str, short_days: int = 7, long_days: int = 30) -> DataFrame:
-    """(key, s_short, s_long, velocity) as of the last day in the daily totals."""
     last = days.agg(F.max("date")).scalar()
     within = lambda n: F.sum(F.when(F.col("date") > F.date_sub(last, n), F.col("total")).otherwise(0))
     sums = days.groupBy(key).agg(within(short_days).alias("s_short"), within(long_days).alias("s_long"))
@@ -119,20 +114,21 @@ def split_late(df: DataFrame, event: str, arrival: str, allowed_days: int, name:
     folder = _folder(spark, name)
     late = F.datediff(F.col(arrival), F.col(event)) > allowed_days
     marked = df.withColumn("is_late", F.when(late, "late").otherwise("on_time"))
+    result = _result_table(spark, folder, marked.schema, "is_late")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").partitionBy("is_late").parquet(f"{folder}/table/batch_id={batch_id}")
 
     run_available(marked, write, "append", f"{folder}/checkpoint")
-    return spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table").drop("batch_id")
+    return result().drop("batch_id")
 
 
 def live_accuracy(
     actuals: DataFrame, forecasts: DataFrame, keys: list[str], time: str, actual: str, forecast: str,
-    alert_above: float, every: str = "7 days", delay: str = "7 days",
+    alert_above: float, every: str = "7 days",
 ) -> DataFrame:
     """Streaming WAPE per window of actuals joined to a static forecast table, with an alert flag."""
-    joined = actuals.withWatermark(time, delay).join(forecasts, keys)
+    joined = actuals.join(forecasts, keys)
     error = F.abs(F.col(actual) - F.col(forecast))
     return (
         joined.groupBy(F.window(time, every).alias("w"))
@@ -145,10 +141,15 @@ def live_accuracy(
     )
 
 
-def running_totals(df: DataFrame, key: str, order_id: str, amount: Column, time: str) -> DataFrame:
-    """Streaming per-customer orders, spend and last day; state is one row per customer."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("orders"), F.sum(amount).alias("spend"), F.max(time).cast("date").alias("last_day")
+def order_totals(df: DataFrame, key: str, order_id: str, amount: Column, time: str) -> DataFrame:
+    """Streaming spend and last day per customer and order; an order's lines may come in any batch."""
+    return df.groupBy(key, order_id).agg(F.sum(amount).alias("spend"), F.max(time).cast("date").alias("last_day"))
+
+
+def running_totals(orders: DataFrame, key: str, order_id: str) -> DataFrame:
+    """Orders, spend and last day per customer from the newest rows of :func:`order_totals`."""
+    return orders.groupBy(key).agg(
+        F.count(order_id).alias("orders"), F.sum("spend").alias("spend"), F.max("last_day").alias("last_day")
     )
 
 
@@ -158,9 +159,10 @@ def score_batches(
     """Score each micro-batch of request rows with static index tables; results per batch folder."""
     spark = df.sparkSession
     folder = _folder(spark, name)
+    result = _result_table(spark, folder, recommend(spark.createDataFrame([], df.schema)).schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         recommend(batch).write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
 
     run_available(df, write, "append", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/table").drop("batch_id")
+    return result().drop("batch_id")

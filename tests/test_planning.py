@@ -282,3 +282,34 @@ def test_stream_replays_and_updates(spark, tmp_path):
     assert changes.count() == 3  # 'a' was written by both batches
     got = {(str(r.date), r.k): (r.total, r.n) for r in jobs.latest(changes, ["date", "k"]).collect()}
     assert got == {("2024-01-01", "a"): (3.0, 2), ("2024-01-02", "b"): (5.0, 1)}
+
+
+def test_streams_count_late_files_and_read_directories(spark, tmp_path):
+    """Part files in a table directory, the newest day first: every row counts, in every job."""
+    folder = tmp_path / "in"
+    for day in (20, 11, 2, 1):
+        rows = [(f"2024-01-{day:02d} 10:00:00", "a", 7, 2.0), (f"2024-01-{day:02d} 11:00:00", "a", day, 1.0)]
+        df = spark.createDataFrame(rows, "ts string, k string, order_id int, v double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(folder / "t.parquet"))
+    stream = jobs.file_stream(spark, str(folder), "t", files_per_trigger=1)
+    days = jobs.latest(jobs.changed_groups(jobs.daily_totals(stream, "ts", ["k"], F.col("v")), "days"), ["date", "k"])
+    assert sorted((r.date.day, r.total, r.n) for r in days.collect()) == [(d, 3.0, 2) for d in (1, 2, 11, 20)]
+    orders = jobs.latest(jobs.changed_groups(jobs.order_totals(stream, "k", "order_id", F.col("v"), "ts"), "orders"), ["k", "order_id"])
+    total = jobs.running_totals(orders, "k", "order_id").first()
+    assert (total.orders, total.spend, total.last_day.day) == (5, 12.0, 20)  # order 7 has lines in four batches
+    arrived = stream.withColumn("seen", F.lit("2024-01-14").cast("date"))
+    split = jobs.split_late(arrived, "ts", "seen", 3).groupBy("is_late").count()
+    assert {tuple(r) for r in split.collect()} == {("late", 4), ("on_time", 4)}
+    forecasts = spark.createDataFrame([("a", 1.0)], "k string, f double")
+    weeks = jobs.latest(jobs.changed_groups(
+        jobs.live_accuracy(stream, forecasts, ["k"], "ts", "v", "f", 0.5), "weeks"), ["window_start"])
+    assert weeks.agg(F.sum("n")).first()[0] == 8
+
+
+def test_streams_without_rows_give_empty_tables(spark, tmp_path):
+    empty = spark.createDataFrame([], "ts timestamp, k string, seen date, v double")
+    empty.write.parquet(str(tmp_path / "t.parquet"))
+    stream = jobs.file_stream(spark, str(tmp_path), "t")
+    assert jobs.changed_groups(jobs.daily_totals(stream, "ts", ["k"], F.col("v")), "none").count() == 0
+    assert jobs.split_late(stream, "ts", "seen", 3).select("is_late", "k").count() == 0
+    assert jobs.score_batches(stream, lambda batch: batch.select("k", F.col("v").alias("score"))).columns == ["k", "score"]
