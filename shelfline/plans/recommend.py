@@ -229,7 +229,7 @@ def _answers(spark, folder, requests, signals, query_size=1):
     out = hybrid.recommend_batch(
         requests, index(spark, folder, signals, query_size), star.catalog(spark, folder), star.inventory(spark, folder)
     )
-    return out.drop("reason", "is_available", "signal_breakdown")
+    return out.drop("organization_id", "reason", "is_available", "signal_breakdown")
 
 
 @query("hybrid_recommend_product", hybrid_sql(PRODUCT_REQUESTS))
@@ -419,4 +419,4 @@ def substitutes(spark, folder):
     from ..operators import content
 
     catalog = star.catalog(spark, folder)
-    return hybrid.substitutes(content.content_neighbours(catalog, 10), catalog, star.inventory(spark, folder))
+    return hybrid.substitutes(content.content_neighbours(catalog, 10), catalog, star.inventory(spark, folder)).drop("organization_id")

@@ -251,7 +251,11 @@ def shop(spark):
     frame = spark.createDataFrame(rows, "transaction_id string, organization_id string, store_id string, customer_id string, transaction_date string, product_id string, quantity int")
     frame = frame.withColumn("transaction_date", F.to_date("transaction_date"))
     catalog = catalog_frame(spark, *[(p, p, "Cat", "Brand", 10.0, None, [], p != "P_OFF") for p in ("P_QUERY", "P_IN", "P_OUT", "P_OFF")])
-    stock = spark.createDataFrame([("B1", "P_IN", 10, True), ("B1", "P_OUT", 0, False), ("B1", "P_QUERY", 5, True)], "branch_id string, product_id string, stock_quantity int, is_available boolean")
+    # another tenant has a branch of the same code, and other stock there
+    stock = spark.createDataFrame(
+        [("org", "B1", "P_IN", 10, True), ("org", "B1", "P_OUT", 0, False), ("org", "B1", "P_QUERY", 5, True),
+         ("other", "B1", "P_IN", 3, True), ("other", "B1", "P_OUT", 8, True), ("other", "B2", "P_IN", 1, True)],
+        "organization_id string, branch_id string, product_id string, stock_quantity int, is_available boolean")
     customers = spark.createDataFrame([("CUST-1", [], [])], "customer_id string, preferred_categories array<string>, affinity_brands array<string>")
     return hybrid.build_index(frame, customers, catalog, min_support=0.1, min_confidence=0.1), catalog, stock
 
@@ -304,6 +308,22 @@ def test_serve_enriches_and_ignores_unknown_branches(spark, shop):
     assert row.stock_quantity == 999 and row.category == "Cat" and row.price == 10.0
 
 
+def test_tenants_with_equal_codes_stay_apart(spark, shop):
+    index, catalog, stock = shop
+    both = catalog.union(catalog.withColumns({"organization_id": F.lit("other"), "name": F.lit("theirs")}).select(*catalog.columns))
+    frame = spark.createDataFrame(
+        [("r", "PRODUCT", None, "P_QUERY", "B1", "org"), ("s", "PRODUCT", None, "P_QUERY", "B2", "org")], REQUEST)
+    rows = hybrid.serve(frame, index, both, stock).orderBy("request_id", "rank").collect()
+    # one row a product; the branch that only the other tenant has counts as none
+    assert [(r.request_id, r.product_id, r.name, r.stock_quantity) for r in rows if r.request_id == "r"] == [("r", "P_IN", "P_IN", 10)]
+    assert {(r.product_id, r.name, r.stock_quantity) for r in rows if r.request_id == "s"} == {
+        ("P_IN", "P_IN", 999), ("P_OUT", "P_OUT", 999)}
+    near = spark.createDataFrame([("P_OUT", "P_IN", 0.5)], "product_id string, candidate_id string, score double")
+    found = hybrid.substitutes(near, both, stock.where("not (organization_id = 'org' and product_id = 'P_IN')"))
+    assert found.isEmpty()  # the only stock of the substitute is the other tenant's
+    assert [tuple(r)[:4] for r in hybrid.substitutes(near, both, stock).collect()] == [("org", "B1", "P_OUT", "P_IN")]
+
+
 def test_index_survives_saving(spark, shop, tmp_path):
     index, catalog, stock = shop
     hybrid.save(index, str(tmp_path))
