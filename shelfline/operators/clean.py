@@ -103,17 +103,16 @@ def top_products(clean: DataFrame, n: int = 200) -> DataFrame:
 
 
 def daily_product_panel(
-    clean: DataFrame, top: int = 200, fallback_price: float | None = None
+    clean: DataFrame, top: int | None = None, fallback_price: float | None = None
 ) -> DataFrame:
-    """Dense product-by-day panel of the top products over the common date range.
+    """Dense product-by-day panel of all products, or of the ``top`` ones, over the common date range.
 
     Each product expands to its own date sequence (no product-by-date join), sales are joined on
     the product key the expansion already has, and the two fills run over at most one row per day.
     """
-    best = top_products(clean, top).select("product_id")
-    # at most ``top`` ids, so sending them to every task is bounded by the parameter
-    chosen = clean.join(F.broadcast(best), "product_id", "left_semi")
-    # at most one row per chosen product and day, read for the range and for the join
+    # the optimizer knows the size of a limited list, and sends it to every task only if it is small
+    chosen = clean if top is None else clean.join(top_products(clean, top).select("product_id"), "product_id", "left_semi")
+    # at most one row per product and day, read for the range and for the join
     daily = cut_lineage(daily_product_sales(chosen), "daily-sales")
     span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     spine = daily.select("product_id").distinct().select(

@@ -119,4 +119,4 @@ def expanding_folds(
 def first_stores(df: DataFrame, n: int, column: str = "store_id") -> DataFrame:
     """Rows of the ``n`` smallest store ids (a sampling operator; the id list has ``n`` rows)."""
     chosen = df.select(column).distinct().orderBy(column).limit(n)
-    return df.join(F.broadcast(chosen), column, "left_semi")
+    return df.join(chosen, column, "left_semi")

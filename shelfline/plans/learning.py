@@ -60,14 +60,16 @@ def model_bakeoff(spark, folder):
 
 @query("bakeoff_winner_horizons")
 def bakeoff_winner_horizons(spark, folder):
-    """The winner's test metrics on the first 7, 14, 30 and all test dates, next to the mean of the
-    product's store-days as baseline."""
+    """The winner's test metrics on the first 7, 14, 30 and all test dates, next to the units of the
+    same product and store a week before (none sold: zero) as baseline."""
     table = unit_table(spark, folder)
-    params = {"boosted": {"maxIter": TREES, "stepSize": 0.3}, "linear": {}}
-    winner, _ = models.bake_off(table, params, models.UNIT_DEMAND_FEATURES, unit_levels(table))
-    mean = winner.metrics.agg(F.avg("actual")).scalar()
-    rows = winner.metrics.withColumn("baseline", F.when(F.col("is_open") == 0, 0.0).otherwise(mean))
-    return rounded(metrics.horizon_metrics(rows))
+    before = table.select(
+        F.date_add("date", 7).alias("date"), "product_id", "store_id", F.col("units_sold").alias("demand_lag_7")
+    )
+    lagged = cut_lineage(table.join(before, ["date", "product_id", "store_id"], "left").na.fill(0, ["demand_lag_7"]), "lagged")
+    params = {"boosted": {"maxIter": TREES, "stepSize": 0.3}, "forest": {"numTrees": TREES}, "linear": {}}
+    winner, _ = models.bake_off(lagged, params, models.UNIT_DEMAND_FEATURES, unit_levels(table))
+    return rounded(metrics.horizon_metrics(winner.metrics.withColumn("baseline", metrics.lag7_baseline())))
 
 
 @query("unit_forecast")

@@ -48,8 +48,8 @@ def rows_sql(check: str, passed: str, source: str, **metrics: str) -> str:
 
 
 G1 = rows_sql("physical_integrity", "lo >= 0 AND bad = 0",
-    "SELECT min(units_sold) AS lo, sum(CASE WHEN is_open = 0 THEN 1 ELSE 0 END) AS closed, sum(CASE WHEN is_open = 0 AND units_sold <> 0 THEN 1 ELSE 0 END) AS bad FROM ud",
-    min_units="lo", is_integer_type="1", closed_store_rows="closed", non_zero_closed_units="bad",
+    "SELECT min(units_sold) AS lo, sum(CASE WHEN is_open = 0 THEN 1 ELSE 0 END) AS closed, sum(CASE WHEN is_open = 0 AND units_sold <> 0 THEN 1 ELSE 0 END) AS bad, min(CASE WHEN units_sold = floor(units_sold) THEN 1 ELSE 0 END) AS whole FROM ud",
+    min_units="lo", is_integer_type="whole", closed_store_rows="closed", non_zero_closed_units="bad",
     closed_day_compliance="CASE WHEN closed = 0 THEN 1 ELSE (closed - bad) / closed END")
 G2 = rows_sql("behavioural_correlation", "n >= 10 AND r >= 0.85",
     "SELECT corr(customers, total_units) AS r, count(*) AS n FROM ud_days WHERE is_open = 1",
@@ -67,7 +67,8 @@ G4 = rows_sql("catalogue_velocity", "share BETWEEN 0.70 AND 0.82 AND tail > 0.20
  coalesce(avg(CASE WHEN is_open = 1 AND product_id = '{STAPLE}' THEN CASE WHEN units_sold = 0 THEN 1.0 ELSE 0.0 END END), 0) AS staple FROM ud""",
     top_share="share", long_tail_zero_demand_pct="tail", top_staple_zero_demand_pct="staple")
 G5 = rows_sql("panel_feasibility", "d = 0 AND broken = 0 AND n >= 100",
-    """SELECT count(*) AS rows_, count(*) - count(DISTINCT (product_id, store_id, date)) AS d, 0 AS broken, count(DISTINCT date) AS n FROM ud""",
+    """SELECT count(*) AS rows_, count(*) - count(DISTINCT (product_id, store_id, date)) AS d,
+ (SELECT count(*) FROM (SELECT 1 FROM ud GROUP BY product_id, store_id HAVING count(*) > count(units_sold))) AS broken, count(DISTINCT date) AS n FROM ud""",
     total_rows="rows_", duplicate_keys="d", series_without_lags="broken", total_dates="n", train_dates_count="floor(n * 0.70::DOUBLE)",
     val_dates_count="floor(n * 0.85::DOUBLE) - floor(n * 0.70::DOUBLE)", test_dates_count="n - floor(n * 0.85::DOUBLE)")
 

@@ -75,7 +75,7 @@ def clean(spark, folder, names=False):
 
 
 def product_panel(spark, folder):
-    return ops.daily_product_panel(clean(spark, folder, names=True))
+    return ops.daily_product_panel(clean(spark, folder, names=True), top=200)
 
 
 @query("clean_transactions", sql("""
