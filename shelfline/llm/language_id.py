@@ -38,21 +38,26 @@ def plain(text: str) -> str:
 
 def dictionaries(training: DataFrame, lang: str = "lang", text: str = "text", texts: int = SAMPLE_TEXTS,
                  excerpt: int = EXCERPT_CHARS, most: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
-    """Raw-content dictionaries: per language the same texts each time, chosen by the hash of the text.
+    """Raw-content dictionaries: per language the same texts each time, those with the lowest hashes.
 
     The sample is bounded by ``texts`` excerpts for each of at most ``languages`` languages; rows without language or
-    text are left out. Equal texts count once in the sample.
+    text are left out. Equal texts count once in the sample. Hashes that are too high for the sample, going by the
+    number of different texts of the language, are dropped where they are read: what is ranked does not grow with the
+    corpus.
     """
     rows = training.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("order").alias("different")).orderBy(
+        F.desc("n"), "lang").limit(languages).select("lang", "different")
+    share = F.col("order").cast("double") / 2.0**64 + 0.5
     # an excerpt from the middle, away from headings; short texts are taken whole
     start = F.greatest(F.lit(1), F.floor((F.length("text") - excerpt) / 2).cast("int"))
-    rows = rows.join(common, "lang").select("lang", "order", F.substring(F.col("text"), start, F.lit(excerpt)).alias("text"))
+    rows = rows.join(common, "lang").where(share * F.col("different") <= 2.0 * texts).select(
+        "lang", "order", F.substring(F.col("text"), start, F.lit(excerpt)).alias("text")).dropDuplicates()
     first = Window.partitionBy("lang").orderBy("order", "text")
     chosen = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= texts)
     found: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "order", "text").dropDuplicates().orderBy("lang", "order", "text").collect():
+    for row in chosen.select("lang", "order", "text").orderBy("lang", "order", "text").collect():
         found.setdefault(row["lang"], []).append(row["text"])
     # the same length for every language: a longer dictionary is no advantage
     joined = {k: "\n".join(map(plain, v)).encode() for k, v in found.items()}
