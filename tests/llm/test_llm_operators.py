@@ -395,3 +395,40 @@ def test_pipeline_stages(spark):
     assert docs.join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id", "left_semi").count() == docs.count()
     packed = corpus_pipeline.run(spark, folder)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_near_duplicates(spark):
+    """Planted copies on both sides of 80 % of 5-word shingles, against all pairs."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = {}
+    for n in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        texts[100 * n] = " ".join(base)
+        for k, size in enumerate([40, 75, 85, 95, 103, 115, 130]):  # one block of other words
+            at = rng.randrange(10, 980 - size)
+            texts[100 * n + 1 + k] = " ".join(base[:at] + [f"x{rng.randrange(10**6)}" for _ in range(size)] + base[at + size:])
+        for k, changes in enumerate([10, 21, 22, 30]):  # words here and there
+            own = list(base)
+            for at in range(20, 20 + 40 * changes, 40) if changes < 25 else range(20, 980, 32):
+                own[at] = f"y{rng.randrange(10**6)}"
+            texts[100 * n + 20 + k] = " ".join(own)
+    sets = {}
+    for i, t in texts.items():
+        w = words(t.lower())
+        sets[i] = {tuple(w[k: k + 5]) for k in range(len(w) - 4)}
+    label, changed = {i: i for i in sets}, True
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(label[a], label[b])
+            changed |= (label[a], label[b]) != (low, low)
+            label[a] = label[b] = low
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == set(label.values())
+    assert kept.columns == docs.columns
+    assert {0, 6, 7} <= set(label.values()) and not {3, 4, 5, 21, 22} & set(label.values())
