@@ -1,15 +1,14 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-The root restaurant seats words; every context, the word before, has a restaurant of its own below the root if it makes
-up at least a given share of the training tokens (there are then at most ``1 / share`` of them), and the customers of
-rarer contexts sit in the root itself. Each table of a context restaurant is a customer of the root, so contexts share
-what they know. Gibbs sweeps draw the seatings again and again given all others; the predictive probabilities of several
-sweeps are averaged.
+The root restaurant seats words; every context seen in training, the word before, has a restaurant of its own below the
+root. Each table of a context restaurant is a customer of the root, so contexts share what they know. Gibbs sweeps draw
+the seatings again and again given all others; the predictive probabilities of several sweeps are averaged.
 
 How the work lies on the cluster: words are dealt by hash into parts; a part holds everything about its words, so that
-sweeps need no shuffle, only the table totals of the contexts, which are summed between passes. Texts are read in chunks.
-A chunk sends each part its different (word, context) items with their training counts once, as packed arrays, and gets
-probabilities back.
+sweeps need no shuffle, only the totals of the contexts its words follow. These are summed between passes: each part
+sends its share of every context to the place the context is dealt to by hash, and gets the total back. Texts are read
+in chunks. A chunk sends each part its different (word, context) items with their training counts once, as packed
+arrays, and gets probabilities back.
 """
 
 from __future__ import annotations
@@ -29,15 +28,13 @@ from ..session import cut_lineage
 from . import textvec
 from .registry import query, table
 
-#: Share of the training tokens from which a word has a restaurant for what follows it.
-CONTEXT_SHARE = 1 / 1024
 #: Concentration of root and contexts; sweeps before the totals are taken, before the first sample, and samples.
 STRENGTH, SETTLE, BURN_IN, SAMPLES, TOTAL_PASSES = 1.0, 2, 2, 3, 2
 #: Tokens for each part of the vocabulary.
 PART_TOKENS = 2_500_000
 #: A section seats its first customers one by one, later ones in groups that grow with it.
 ONE_BY_ONE = 32
-#: Hash of the end of a text: no word holds a line feed.
+#: Hash of the end of a text, no word holds a line feed; it is also the context of first words.
 END_HASH = textvec.hashes(pa.array(["\n"]))[0]
 
 
@@ -60,31 +57,24 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _frequent(share: float):
-    """Per piece its tokens (of all rows, of training rows) and the training words with a fourth of the share."""
+def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each word or context."""
+    return (hashes >> np.uint64(16)).astype(np.int64) % parts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textvec.pieces(batches):
-            offsets, flat = textvec.words(piece.column("text"))
-            learn = piece.column("learn").to_numpy(zero_copy_only=False)
-            n = np.diff(offsets)
-            codes, distinct = textvec.coded(flat)
-            counts = np.bincount(codes[np.repeat(learn, n)], minlength=len(distinct))
-            total = int((n[learn] + 1).sum())
-            often = np.flatnonzero((counts > 0) & (counts >= total * share / 4))
-            hashes = textvec.hashes(distinct.take(pa.array(often)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *hashes.view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64()),
-                 pa.array([int((n + 1).sum()), *[0] * len(often)], pa.int64())], ["word", "learned", "tokens"])
 
-    return run
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per piece its tokens: of training rows, of all rows."""
+    for piece in textvec.pieces(batches):
+        n = np.diff(textvec.words(piece.column("text"))[0]) + 1
+        learn = piece.column("learn").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n[learn].sum())]), pa.array([int(n.sum())])], ["learned", "tokens"])
 
 
-def _chunks(contexts: np.ndarray, parts: int):
+def _chunks(parts: int):
     """Per chunk one row with its texts (part -1) and one for each part with items: word, context, training count.
 
     Items of a chunk are numbered by part, word and context; texts are sorted lists of item numbers with counts.
-    Context 0 is the start of a text, -1 a word without a restaurant.
+    A part gets the hashes of its words and contexts, and items refer to contexts by number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,18 +87,15 @@ def _chunks(contexts: np.ndarray, parts: int):
             n, docs = np.diff(offsets), piece.num_rows
             tokens = np.insert(codes, offsets[1:], len(distinct))
             doc = np.repeat(np.arange(docs), n + 1)
-            place = np.searchsorted(contexts, words)
-            is_context = contexts[np.minimum(place, max(len(contexts) - 1, 0))] == words if len(contexts) else np.zeros(len(words), bool)
-            context_of = np.where(is_context, place + 1, -1)
             context = np.empty(len(tokens), np.int64)
-            context[1:] = context_of[tokens[:-1]]
-            context[offsets[:-1] + np.arange(docs)] = 0
-            part_of = (words >> np.uint64(16)).astype(np.int64) % parts
+            context[1:] = tokens[:-1]
+            context[offsets[:-1] + np.arange(docs)] = len(distinct)
+            part_of = _dealt(words, parts)
             order = np.lexsort((words, part_of))
             rank = np.empty(len(words), np.int64)
             rank[order] = np.arange(len(words))
-            width = len(contexts) + 2
-            items, inverse = np.unique(rank[tokens] * width + context + 1, return_inverse=True)
+            width = len(words)
+            items, inverse = np.unique(rank[tokens] * width + rank[context], return_inverse=True)
             learn = piece.column("learn").to_numpy(zero_copy_only=False)
             learned = np.bincount(inverse, weights=learn[doc], minlength=len(items)).astype(np.uint32)
             lines, repeats = np.unique(doc * len(items) + inverse, return_counts=True)
@@ -126,7 +113,8 @@ def _chunks(contexts: np.ndarray, parts: int):
             for part in np.unique(item_part):
                 own = slice(*np.searchsorted(item_part, [part, part + 1]))
                 ranks, held = np.unique(word_rank[own], return_counts=True)
-                rows.append((int(part), pack(words[order][ranks], held.astype(np.uint16), item_context[own].astype(np.uint16), learned[own])))
+                used, number = np.unique(item_context[own], return_inverse=True)
+                rows.append((int(part), pack(words[order][ranks], held.astype(np.uint32), words[order][used], number.astype(np.uint32), learned[own])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
                  pa.array([r[1] for r in rows], pa.binary())], ["chunk", "part", "blob"])
@@ -135,38 +123,95 @@ def _chunks(contexts: np.ndarray, parts: int):
     return run
 
 
-def _build(n_contexts: int):
-    """One row a part: what chunks asked for, and the counts of its words and contexts."""
+def _build(parts: int):
+    """One row a part: what chunks asked for, the counts of its words, and its share of each of their contexts.
+
+    Contexts are numbered from 1, in the order of the parts they are dealt to; 0 is the root.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         got = [unpack(b) for b in pdf["blob"]]
-        words, held, contexts, learned = (np.concatenate(x) for x in zip(*got, strict=True))
-        asked = pack(pdf["chunk"].to_numpy(np.int64), np.array([len(g[0]) for g in got], np.int64),
-                     np.array([len(g[2]) for g in got], np.int64), words, held, contexts)
-        width = n_contexts + 2
+        n_words, n_names, n_items = (np.array([len(g[i]) for g in got], np.int64) for i in (0, 2, 3))
+        words, held, names, numbers, learned = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        numbers += np.repeat((np.cumsum(n_names) - n_names).astype(np.uint32), n_items)
+        names, at = np.unique(names, return_inverse=True)
+        order = np.argsort(_dealt(names, parts), kind="stable")
+        names, rank = names[order], np.empty(len(order), np.uint32)
+        rank[order] = np.arange(1, len(order) + 1)
+        contexts = rank[at][numbers]
+        del at, numbers, order, rank
+        asked = pack(pdf["chunk"].to_numpy(np.int64), n_words, n_items, words, held, contexts)
+        width = len(names) + 1
         vocabulary, code = np.unique(words, return_inverse=True)
-        key = np.repeat(code, held) * width + contexts
-        seen = learned > 0
-        keys, at = np.unique(key[seen], return_inverse=True)
-        counts = np.bincount(at, weights=learned[seen], minlength=len(keys)).astype(np.int64)
+        key = (np.repeat(code, held) * width + contexts)[learned > 0]
+        learned = learned[learned > 0]
+        del words, held, contexts, code
+        order = np.argsort(key)
+        key, learned = key[order], learned[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        keys, counts = key[starts], np.add.reduceat(learned.astype(np.int64), starts) if len(key) else np.zeros(0, np.int64)
+        del order, key, learned, starts
         known, per_word = np.unique(keys // width, return_counts=True)
         of_word = np.add.reduceat(counts, np.cumsum(per_word) - per_word) if len(known) else counts
         context = keys % width
-        pairs = counts[context > 0]
-        model = pack(vocabulary[known], per_word.astype(np.uint16), context.astype(np.uint16), counts)
+        model = pack(vocabulary[known], per_word.astype(np.uint32), context.astype(np.uint32), counts)
+        share = pack(np.bincount(context, weights=counts, minlength=width)[1:].astype(np.int64),
+                     np.bincount(context, minlength=width)[1:].astype(np.int64))
         return pd.DataFrame({
-            "part": pdf["part"].iloc[:1].to_numpy(), "asked": [asked], "model": [model], "tokens": [int(counts.sum())],
-            "words": [len(known)], "word_1": [int((of_word == 1).sum())], "word_2": [int((of_word == 2).sum())],
-            "pair_1": [int((pairs == 1).sum())], "pair_2": [int((pairs == 2).sum())],
-            "customers": [np.bincount(context, weights=counts, minlength=width).astype(np.int64).tolist()],
-            "tables": [np.bincount(context, minlength=width).tolist()]})
+            "part": pdf["part"].iloc[:1].to_numpy(), "asked": [asked], "model": [model], "names": [pack(names)], "share": [share],
+            "tokens": [int(counts.sum())], "words": [len(known)], "pairs": [len(keys)],
+            "word_1": [int((of_word == 1).sum())], "word_2": [int((of_word == 2).sum())],
+            "pair_1": [int((counts == 1).sum())], "pair_2": [int((counts == 2).sum())]})
+
+    return run
+
+
+BUILT = ("part int, asked binary, model binary, names binary, share binary, tokens long, words long, pairs long, "
+         "word_1 long, word_2 long, pair_1 long, pair_2 long")
+
+
+def _send(parts: int):
+    """Shares of contexts, to the place each context is dealt to."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for part, names, share in zip(pdf["part"], pdf["names"], pdf["share"], strict=True):
+                (names,), values = unpack(names), unpack(share)
+                place = _dealt(names, parts)
+                for to in np.unique(place):
+                    own = slice(*np.searchsorted(place, [to, to + 1]))
+                    out.append((int(to), int(part), pack(names[own], *[v[own] for v in values])))
+            yield pd.DataFrame(out, columns=["place", "part", "blob"])
 
     return run
 
 
-BUILT = ("part int, asked binary, model binary, tokens long, words long, word_1 long, word_2 long, pair_1 long, pair_2 long, "
-         "customers array<long>, tables array<long>")
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Totals of the contexts of one place, for each part that has a share in them."""
+    pdf = pdf.sort_values("part")
+    got = [unpack(b) for b in pdf["blob"]]
+    names, *values = (np.concatenate(x) for x in zip(*got, strict=True))
+    ends = np.cumsum([len(g[0]) for g in got])
+    _, at = np.unique(names, return_inverse=True)
+    totals = [np.bincount(at, weights=v)[at].astype(np.int64) for v in values]
+    return pdf[["place", "part"]].assign(
+        blob=[pack(*[t[a:b] for t in totals]) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)])
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Totals from all places in the order of the part's own numbers."""
+    blobs = [unpack(b) for b in pdf.sort_values("place")["blob"]]
+    return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "totals": [pack(*[np.concatenate(x) for x in zip(*blobs, strict=True)])]})
+
+
+def context_totals(shares: DataFrame, parts: int) -> DataFrame:
+    """(part, totals): the sums over all parts of what ``shares`` (part, names, share) holds by context."""
+    sent = shares.select("part", "names", "share").mapInPandas(_send(parts), "place int, part int, blob binary")
+    summed = sent.groupBy("place").applyInPandas(_sum, "place int, part int, blob binary")
+    return summed.groupBy("part").applyInPandas(_gather, "part int, totals binary")
 
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -199,7 +244,9 @@ class Part:
     def __init__(self, blob: bytes, state: dict, seed: int):
         self.words, per_word, context, counts = unpack(blob)
         self.per_word = per_word.astype(np.int64)
-        self.context, self.counts = context.astype(np.int64), counts
+        self.numbers, self.counts = context.astype(np.int64), counts
+        # contexts without a restaurant
+        self.context = np.where(state["rare"][self.numbers], 0, self.numbers) if "rare" in state else self.numbers
         self.word = np.repeat(np.arange(len(self.words)), self.per_word)
         self.below = self.context > 0
         self.state, self.rng = state, np.random.default_rng(seed)
@@ -208,7 +255,7 @@ class Part:
         self._root()
 
     def _root(self) -> None:
-        """Customers of the root: words after rare contexts, and a customer for each table below."""
+        """Customers of the root: words after contexts without a restaurant, and a customer for each table below."""
         self.root = np.bincount(self.word, weights=np.where(self.below, self.tables, self.counts), minlength=len(self.words))
 
     def word_probability(self, root: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -229,55 +276,77 @@ class Part:
         self.root_tables = seat(self.root.astype(np.int64), weight, s["d0"], self.rng)
 
 
-def _totals(state: dict):
+def _local(state: dict, totals: bytes) -> dict:
+    """The state with the customers and tables of the part's own contexts; number 0 is the root."""
+    customers, *tables = (np.append(0.0, v) for v in unpack(totals))
+    rare = customers < state["least"]
+    return {**state, "customers": customers, "tables": tables[0], "samples": tables, "rare": rare}
+
+
+def _draw(state: dict, burn_in: int, samples: int):
+    """Per part the sums of the root and its share of tables by context for each of the last sweeps, and these seatings."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
-            for part, blob in zip(pdf["part"], pdf["model"], strict=True):
-                own = Part(blob, state, 1000 * state["pass"] + int(part))
-                for _ in range(SETTLE):
+            for part, blob, totals, names, share in zip(*[pdf[c] for c in ("part", "model", "totals", "names", "share")], strict=True):
+                own = Part(blob, _local(state, totals), 1000 * state["pass"] + int(part))
+                width = len(own.state["tables"])
+                root, root_tables, by_context, seatings = [], [], [], []
+                for turn in range(burn_in + samples):
                     own.sweep()
-                tables = np.bincount(own.context, weights=own.tables, minlength=len(state["tables"]))
-                out.append((float(own.root.sum()), float(own.root_tables.sum()), tables.tolist()))
-            yield pd.DataFrame(out, columns=["root", "root_tables", "tables"])
+                    if turn < burn_in:
+                        continue
+                    root.append(float(own.root.sum()))
+                    root_tables.append(float(own.root_tables.sum()))
+                    by_context.append(np.bincount(own.context, weights=own.tables, minlength=width)[1:].astype(np.int64))
+                    seatings += [own.tables.astype(np.uint32), own.root_tables.astype(np.uint32)]
+                out.append((part, names, pack(unpack(share)[0], *by_context), root, root_tables, pack(*seatings) if samples > 1 else None))
+            yield pd.DataFrame(out, columns=["part", "names", "share", "root", "root_tables", "seatings"])
 
     return run
 
 
-def _answer(state: dict):
-    """Per part and chunk: log10 of the averaged probability and the training count of the word, item by item."""
+DRAWN = "part int, names binary, share binary, root array<double>, root_tables array<double>, seatings binary"
+
+
+def _answer(state: dict, roots: list[dict]):
+    """Per part and chunk: log10 of the averaged probability and the training count of the word, item by item.
+
+    Each sample is scored with its own totals, so that its probabilities sum to one in every context.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = state
-        width = len(s["tables"])
         for pdf in frames:
-            for part, asked, blob in zip(pdf["part"], pdf["asked"], pdf["model"], strict=True):
-                own = Part(blob, s, 1000 * 999 + int(part))
+            for part, asked, blob, totals, seatings in zip(*[pdf[c] for c in ("part", "asked", "model", "totals", "seatings")], strict=True):
+                s = _local(state, totals)
+                width, customers = len(s["tables"]), s["customers"]
+                own = Part(blob, s, 0)
                 chunks, n_words, n_items, words, held, contexts = unpack(asked)
                 total = np.bincount(own.word, weights=own.counts, minlength=len(own.words)).astype(np.int64)
                 at = np.searchsorted(own.words, words)
                 at = np.where((at < len(own.words)) & (own.words[np.minimum(at, max(len(own.words) - 1, 0))] == words)
                               if len(own.words) else np.zeros(len(words), bool), at, -1)
                 word, context = np.repeat(at, held), contexts.astype(np.int64)
-                keys = own.word * width + own.context
+                keys = own.word * width + own.numbers
                 key = word * width + context
+                below = ~s["rare"][context]
                 pair = np.searchsorted(keys, key)
-                hit = (word >= 0) & (pair < len(keys)) & (context > 0)
+                hit = (word >= 0) & (pair < len(keys)) & below
                 hit[hit] = keys[pair[hit]] == key[hit]
-                below = context > 0
-                customers = np.array(s["customers"], np.float64)
-                share = own.opening() / (s["strength"] + customers)
+                drawn = unpack(seatings)
                 average = np.zeros(len(word))
-                for turn in range(BURN_IN + SAMPLES):
-                    own.sweep()
-                    if turn < BURN_IN:
-                        continue
+                for turn, root in enumerate(roots):
+                    own.state = {**s, **root, "tables": s["samples"][turn]}
+                    own.tables, own.root_tables = drawn[2 * turn].astype(np.float64), drawn[2 * turn + 1].astype(np.float64)
+                    own._root()
+                    share = own.opening() / (s["strength"] + customers)
                     p = np.append(own.word_probability(own.root, own.root_tables),
                                   own.word_probability(np.zeros(1), np.zeros(1)))[word]
                     seen = np.zeros(len(word))
                     seen[hit] = ((own.counts - s["d1"] * own.tables)[pair[hit]]) / (s["strength"] + customers[context[hit]])
                     average += np.where(below, seen + share[context] * p, p)
-                logs = np.log10(average / SAMPLES).astype(np.float32)
+                logs = np.log10(average / len(roots)).astype(np.float32)
                 counts = np.where(word >= 0, np.append(total, 0)[word], 0)
                 ends = np.cumsum(n_items)
                 yield pd.DataFrame({
@@ -310,50 +379,44 @@ def _score(state: dict):
 
 
 def score_texts(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text",
-                context_share: float = CONTEXT_SHARE, strength: float = STRENGTH) -> DataFrame:
+                context_share: float = 0.0, strength: float = STRENGTH) -> DataFrame:
     """Score every text with a model of the rows for which ``learn`` holds.
 
     Returns the id, ``held_out``, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score``
     (add-a-half unigram), ``score`` (log10 probability of the text) and ``perplexity``. Tokens are words between ASCII
     white space with A-Z in lower case, then one end. A null text is empty: the end alone. A null ``learn`` is false.
+    Contexts with less than ``context_share`` of the training tokens have no restaurant; by default all have one.
     Repeated rows count and are scored each; without training rows every word is unknown; an empty table gives no rows;
     ids are whole numbers or null; other columns stay aside.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"),
                        F.translate(F.coalesce(F.col(text_column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    often = cut_lineage(rows.select("learn", "text").mapInArrow(_frequent(context_share), "word long, learned long, tokens long"), "frequent")
-    totals = often.where("word is null").agg(F.sum("learned").alias("learned"), F.sum("tokens").alias("tokens")).first()
+    totals = rows.select("learn", "text").mapInArrow(_sizes, "learned long, tokens long").agg(
+        F.sum("learned").alias("learned"), F.sum("tokens").alias("tokens")).first()
     learned, tokens = totals["learned"] or 0, totals["tokens"] or 0
-    # no more than 1 / context_share words can reach the share
-    contexts = often.where("word is not null").groupBy("word").agg(F.sum("learned").alias("n")).where(
-        F.col("n") >= max(1.0, learned * context_share)).select("word").collect()
-    contexts = np.sort(np.array([r[0] for r in contexts], np.int64).view(np.uint64))
     parts = max(1, -(-tokens // PART_TOKENS))
-    chunks = cut_lineage(rows.mapInArrow(_chunks(contexts, parts), "chunk long, part int, blob binary"), "chunks")
-    built = cut_lineage(chunks.where("part >= 0").groupBy("part").applyInPandas(_build(len(contexts)), BUILT), "built")
-    sums = built.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "word_1", "word_2", "pair_1", "pair_2")]).first()
-
-    def by_context(df: DataFrame, *columns: str) -> dict[str, list]:
-        """Sums of array columns, place by place: one row for each context."""
-        placed = df.select(F.posexplode(F.arrays_zip(*columns)).alias("at", "v")).groupBy("at").agg(*[F.sum(f"v.{c}").alias(c) for c in columns])
-        found = {r["at"]: r for r in placed.collect()}
-        return {c: [float(found[i][c]) if i in found else 0.0 for i in range(len(contexts) + 2)] for c in columns}
+    chunks = cut_lineage(rows.mapInArrow(_chunks(parts), "chunk long, part int, blob binary"), "chunks")
+    built = cut_lineage(chunks.where("part >= 0").groupBy("part").applyInPandas(_build(parts), BUILT), "built")
+    sums = built.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "pairs", "word_1", "word_2", "pair_1", "pair_2")]).first()
 
     def discount(once: int | None, twice: int | None) -> float:
         """Share of mass set aside, from the numbers of sections with one and with two customers."""
         return min(0.95, max(0.05, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
 
-    first = by_context(built, "customers", "tables")
     state = {"d0": discount(sums["word_1"], sums["word_2"]), "d1": discount(sums["pair_1"], sums["pair_2"]), "strength": strength,
              "tokens": sums["tokens"] or 0, "words": sums["words"] or 0, "base": 1.0 / ((sums["words"] or 0) + 1),
-             "customers": first["customers"], "tables": first["tables"],
-             "root_tables": float(sums["words"] or 0), "root": first["customers"][0] + sum(first["tables"][1:]), "pass": 0}
-    for turn in range(TOTAL_PASSES):
-        drawn = cut_lineage(built.select("part", "model").mapInPandas(
-            _totals({**state, "pass": turn}), "root double, root_tables double, tables array<double>"), "totals")
-        root = drawn.agg(F.sum("root").alias("root"), F.sum("root_tables").alias("root_tables")).first()
-        state |= {"root": root["root"] or 0.0, "root_tables": root["root_tables"] or 0.0, "tables": by_context(drawn, "tables")["tables"]}
-    answers = built.select("part", "asked", "model").mapInPandas(_answer(state), "chunk long, part int, blob binary")
+             "least": learned * context_share, "root_tables": float(sums["words"] or 0), "root": float(sums["pairs"] or 0)}
+    drawn = built.select("part", "names", "share")
+    for turn in range(TOTAL_PASSES + 1):
+        last = turn == TOTAL_PASSES
+        burn_in, samples = (BURN_IN, SAMPLES) if last else (SETTLE - 1, 1)
+        known = built.select("part", "model", "names", "share").join(context_totals(drawn, parts), "part")
+        drawn = cut_lineage(known.mapInPandas(_draw({**state, "pass": turn}, burn_in, samples), DRAWN), "totals")
+        found = drawn.agg(*[F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c in ("root", "root_tables") for i in range(samples)]).first()
+        roots = [{c: found[f"{c}_{i}"] or 0.0 for c in ("root", "root_tables")} for i in range(samples)]
+        state |= roots[-1]
+    answers = built.select("part", "asked", "model").join(drawn.select("part", "seatings"), "part").join(
+        context_totals(drawn, parts), "part").mapInPandas(_answer(state, roots), "chunk long, part int, blob binary")
     scored = chunks.where("part < 0").union(answers).groupBy("chunk").applyInPandas(
         _score(state), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scored.withColumnRenamed("id", id_column)

@@ -379,6 +379,34 @@ def test_predictive_probabilities_sum_to_one():
     assert (part.tables[part.below] <= part.counts[part.below]).all()
 
 
+def test_every_context_has_a_restaurant(spark, monkeypatch):
+    """3000 contexts of four training tokens each, with one follower: far below any share of the corpus."""
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 5000)  # several parts
+    rng = random.Random(9)
+    pairs = [f"a{i} b{i}" for i in range(3000)]
+    rows = [(k, " ".join(rng.sample(pairs, 100))) for k in range(120)]
+    asked = list(range(0, 3000, 60))
+    rows += [(1000 + i, f"a{i} b{i}") for i in asked] + [(5000 + i, f"a{i} b{i + 1}") for i in asked]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs, F.col("doc_id") < 1000).collect()}
+    gain = [got[1000 + i] - got[5000 + i] for i in asked if f"a{i} b{i}" in " ".join(rows[k][1] for k in range(120))]
+    assert np.median(gain) > 1.5 and min(gain) > 0
+
+
+def test_context_totals_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows, sums = [], Counter()
+    for part in range(4):
+        names = rng.choice(np.arange(1, 200, dtype=np.uint64) << np.uint64(16), 60, replace=False)
+        names = names[np.lexsort((names, lm_scoring._dealt(names, 4)))]
+        values = rng.integers(0, 50, 60)
+        sums.update(dict(zip(names.tolist(), values.tolist(), strict=True)))
+        rows.append((part, names, values))
+    shares = spark.createDataFrame([(p, lm_scoring.pack(n), lm_scoring.pack(v)) for p, n, v in rows], "part int, names binary, share binary")
+    got = {r["part"]: lm_scoring.unpack(bytes(r["totals"]))[0].tolist() for r in lm_scoring.context_totals(shares, 4).collect()}
+    assert got == {p: [sums[n] for n in names.tolist()] for p, names, _ in rows}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
