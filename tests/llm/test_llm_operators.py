@@ -290,6 +290,27 @@ def test_language(spark, nothing):
     assert {r["lang_pred"] for r in language_id.identify(test, {}).collect()} == {"und"}
 
 
+def test_language_beside_rare_ones(spark):
+    """A language of one short text, one of punctuation only, and one with a tenth of the texts beside two large ones."""
+    rng = random.Random(11)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["str", "ung", "ich"], "cc": ["eau", "ois", "ent"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 4))) for _ in range(n))
+
+    train = [(i, text(lang, 60), lang) for i, lang in enumerate((["aa", "bb"] * 10 + ["cc"]) * 6)]
+    train += [(900, text("aa", 2), "one"), (901, "?! ...", "none"), (902, "", "none")]
+    contents = language_id.dictionaries(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    held = {k: len(v.lstrip(b"\0")) for k, v in contents.items()}
+    assert sorted(held) == ["aa", "bb", "cc", "one"]
+    assert min(held["aa"], held["bb"]) > 10_000 > held["cc"] > 1_000 > held["one"] > 0
+    rows = [(i, text(lang, rng.randint(8, 80)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), contents).collect()}
+    for wanted in syllables:
+        assert np.mean([got[i]["lang_pred"] == wanted for i, _, lang in rows if lang == wanted]) > 0.9, wanted
+    assert np.mean([r["rejected"] for r in got.values()]) < 0.2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {n}</title><script>var a="</p>";</script></head><body><header>Site {n}</header>
 <div class="cookie-notice">We use cookies</div><nav><ul>{menu}</ul></nav><{box}><h2>Head &amp; {n}</h2>{body}<div class="ad">Buy {n}</div></{end}>
 <aside>Other</aside><div id="comments"><p>I disagree {n}</p></div><form>Search</form><footer>&copy; x</footer></body></html>"""
