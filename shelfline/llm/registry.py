@@ -13,7 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("sharding", "lm_scoring", "quality_rules", "decontamination", "packing", "language_id", "html_wrappers",
-           "toxicity", "substring_dedup", "ngram_join")
+           "toxicity", "substring_dedup", "ngram_join", "conversation_repair",
+           "token_alignment")
 
 
 def query(name: str, sql: str | None = None):
