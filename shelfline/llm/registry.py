@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = ("sharding", "lm_scoring", "quality_rules", "decontamination", "packing", "language_id", "html_wrappers",
            "toxicity", "substring_dedup", "ngram_join", "conversation_repair",
-           "token_alignment")
+           "token_alignment", "license_scan")
 
 
 def query(name: str, sql: str | None = None):
