@@ -50,7 +50,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own; on a cluster a missing setting is
-    an error, because a machine-local folder would not survive the loss of that machine.
+    an error, because a machine-local folder would not survive the loss of that machine. Whether a
+    folder that the setting names is shared is for the cluster to say.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -72,4 +73,19 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more: what was made from them has been written.
+
+    Frames that it did not make are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
