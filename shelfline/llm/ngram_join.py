@@ -7,7 +7,8 @@ their symmetric difference to some ``d``, and a sketch of more than ``d`` parts
 
 Weak parts (fewer than two shingles) say little, and unrelated texts agree in them. A sketch has a quarter more parts
 than needed; as long as a text has no more weak parts than those to spare, it can leave them out and still meets every
-partner: what an untouched part holds is the same on both sides, so it is weak for both or for neither.
+partner: what an untouched part holds is the same on both sides, so it is weak for both or for neither. Of its strong
+parts as many meet the partner as it has left to spare, and one: a text of which fewer meet anything has no partner.
 
 Groups of near copies are not expanded into pairs: every part compares its members with a pivot, the text with most
 company first, linked texts become one component, and only members of different components are compared in full, in
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from . import textvec
 from .registry import query, table
 
@@ -35,6 +36,8 @@ PART_BITS = 20
 #: Texts of a part that are compared with each other at once, rows of the parts that share a bin, turns with pivots.
 BLOCK, BIN_ROWS = 512, 20_000
 PIVOT_ROUNDS = 1
+#: Low bits of a slot; a larger need is taken as the largest that they hold, which only keeps more.
+NEED_BITS = 14
 
 
 def band_ends(largest: int, percent: int) -> np.ndarray:
@@ -92,7 +95,7 @@ class Sets:
     def sketches(self, take: np.ndarray, shift: int, percent: int):
         """Sketches of the rows ``take`` in their own band (``shift`` 0) or the next (1).
 
-        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 16 bits of each part).
+        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 8 bits of each part).
         """
         ends = band_ends(int(self.sizes.max()) * 100 // percent + 2 if len(self.sizes) else 1, percent)
         bucket = np.searchsorted(ends, self.sizes[take]) + shift
@@ -109,12 +112,12 @@ class Sets:
         # flipping a bit twice leaves the part as it was, and so does its hash
         flips = textvec.mix(bits + np.uint64(0x5851F42D4C957F2D))
         total = int(parts.sum())
-        held, counts, short = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros(total, np.uint16)
+        held, counts, short = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros(total, np.uint8)
         if len(slot):
             runs = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             held[slot[runs]] = np.bitwise_xor.reduceat(flips, runs)
             counts[slot[runs]] = np.diff(np.append(runs, len(slot)))
-            one = np.uint16(1) << (bits & np.uint64(15)).astype(np.uint16)
+            one = np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8)
             short[slot[runs]] = np.bitwise_xor.reduceat(one, runs)
         return bucket, parts, first, held, counts, short
 
@@ -130,7 +133,10 @@ def _summaries(width: int):
 
 
 def _parts(width: int, percent: int):
-    """(hash, slot, id): the strong parts of every different set of the piece; slot: bucket and part number."""
+    """(hash, slot, id): the strong parts of every different set of the piece.
+
+    ``slot`` holds the bucket above ``NEED_BITS`` and how many of the text's parts have to meet a partner's there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textvec.pieces(batches):
@@ -148,18 +154,20 @@ def _parts(width: int, percent: int):
                 owner = np.repeat(np.arange(len(take)), parts)
                 weak = counts < 2
                 spare = parts - (most_different(band_ends(int(sets.sizes.max()) * 100 // percent + 2, percent)[bucket], percent) + 1)
-                send = ~weak | (np.add.reduceat(weak.astype(np.int64), first) > spare)[owner]
-                slot = (bucket[owner] << 22) | (np.arange(len(owner)) - first[owner])
-                key = textvec.mix(held + textvec.mix(slot.astype(np.uint64)))
+                left = spare - np.add.reduceat(weak.astype(np.int64), first)
+                send = ~weak | (left < 0)[owner]
+                slot = (bucket << NEED_BITS) | np.clip(left + 1, 1, (1 << NEED_BITS) - 1)
+                number = np.arange(len(owner)) - first[owner]
+                key = textvec.mix(held + textvec.mix(textvec.mix(bucket.astype(np.uint64))[owner] + number.astype(np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[send].view(np.int64)), pa.array(slot[send].astype(np.int32)),
+                    [pa.array(key[send].view(np.int64)), pa.array(slot[owner][send].astype(np.int32)),
                      pa.array(ids[take][owner[send]], pa.int64())], ["key", "slot", "id"])
 
     return run
 
 
 def _blobs(width: int, percent: int):
-    """Sets and bit sketches (16 bits a part) of candidate texts."""
+    """Sets and bit sketches (8 bits a part) of candidate texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textvec.pieces(batches):
@@ -208,15 +216,19 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select(
-            "id", F.col("comp").alias("before"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
-        step = cut_lineage(step, "step")
+        step = cut_lineage(labels.join(near, F.col("id") == F.col("a"), "left").select(
+            "id", F.col("comp").alias("before"), F.least("comp", F.coalesce("near", "comp")).alias("comp")), "step")
+        discard(labels)
         jump = step.select(F.col("id").alias("root"), F.col("comp").alias("further"))
-        labels = cut_lineage(step.join(jump, F.col("comp") == F.col("root"), "left").select(
+        moved = cut_lineage(step.join(jump, F.col("comp") == F.col("root"), "left").select(
             "id", "before", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
-        if labels.where("before != comp").isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+        discard(step)
+        done = moved.where("before != comp").isEmpty()
+        labels = cut_lineage(moved.select("id", "comp"), "labels")
+        discard(moved)
+        if done:
+            discard(edges)
+            return labels
 
 
 def _compare(percent: int, star: bool):
@@ -234,7 +246,7 @@ def _compare(percent: int, star: bool):
         new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1]).any(axis=1))))
         out: list[tuple[int, int]] = []
         for a, b in zip(new, np.append(new[1:], len(pdf)), strict=True):
-            rows = np.frombuffer(b"".join(sketches[a:b]), np.uint16).reshape(b - a, -1)
+            rows = np.frombuffer(b"".join(sketches[a:b]), np.uint8).reshape(b - a, -1)
             size, comp, own = sizes[a:b], comps[a:b], ids[a:b]
             waiting = np.ones(b - a, bool)
             for i in range(b - a - 1):
@@ -258,13 +270,13 @@ def _compare(percent: int, star: bool):
 
 
 def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Candidate pairs between different components, from all parts that still hold several."""
+    """Candidate pairs between different components, from all parts that still hold several; written."""
     placed = met.join(comps, "id")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
     open_keys = cut_lineage(open_keys.where("low < high").select(
         "key", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
     bins = max(1, (open_keys.agg(F.sum("members")).first()[0] or 0) // BIN_ROWS)
-    bucket = F.shiftright("slot", 22)
+    bucket = F.shiftright("slot", NEED_BITS)
     sketch = F.when(F.col("band") == bucket, F.col("own")).when(F.col("band") + 1 == bucket, F.col("next"))
     rows = placed.join(open_keys, "key").join(sets.select("id", "size", "band", "own", "next"), "id").select(
         "key", "slot", "id", "comp", "weight", "size", sketch.alias("sketch"), "blocks",
@@ -276,7 +288,9 @@ def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
         tiles = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     # small parts share a bin, and blocks of a large part fall into different bins
     dealt = tiles.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInPandas(_compare(percent, star), "a long, b long").distinct()
+    found = cut_lineage(dealt.groupBy("bin").applyInPandas(_compare(percent, star), "a long, b long").distinct(), "pairs")
+    discard(open_keys)
+    return found
 
 
 def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
@@ -298,19 +312,27 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     by_key = Window.partitionBy("key")
     parts = known.mapInArrow(_parts(width, percent), "key long, slot int, id long")
     met = parts.withColumns({"low": F.min("id").over(by_key), "high": F.max("id").over(by_key)}).where("low < high")
-    met = cut_lineage(met.select("key", "slot", "id").join(reps, "id", "left_semi").distinct(), "met")
-    met = cut_lineage(met.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1"), "parts")
+    met = met.select("key", "slot", "id").join(reps, "id", "left_semi").distinct()
+    # a text of which too few parts meet anything has no partner
+    by_text = Window.partitionBy("id", F.shiftright("slot", NEED_BITS))
+    met = met.withColumn("meet", F.count(F.lit(1)).over(by_text)).where(
+        F.col("meet") >= F.col("slot").bitwiseAND(F.lit((1 << NEED_BITS) - 1)))
+    met = cut_lineage(met.select("key", "slot", "id", F.count(F.lit(1)).over(by_key).alias("n")).where("n > 1"), "parts")
     wanted = met.select("id").distinct()
-    sets = cut_lineage(known.join(wanted, "id", "left_semi").mapInArrow(
-        _blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary").dropDuplicates(
-        ["id", "members"]), "sets")
+    sets = known.join(wanted, "id", "left_semi").mapInArrow(
+        _blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary")
+    if not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["id", "members"])
+    sets = cut_lineage(sets, "sets")
 
     weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
     comps = cut_lineage(weight.withColumn("comp", F.col("id")), "components")
     for turn in range(PIVOT_ROUNDS + 1):
         # stars join what is alike at the cost of one comparison a member; the last turn leaves no pair out
         pairs = _candidates(met, comps, sets, percent, star=turn < PIVOT_ROUNDS)
-        comps, _ = _merged(comps, verified(cut_lineage(pairs, "pairs"), sets, percent))
+        comps = _merged(comps, verified(pairs, sets, percent))
+        discard(pairs)
+    discard(met, sets)
 
     # rows of one id, rows of one set, and linked sets: together
     bridges = summary.where("set_key is not null and id is not null").join(classes, "set_key").select(
@@ -330,27 +352,32 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
         F.col("id").alias(id_column), "n_shingles", F.coalesce("comp", "id").alias("component_id"))
 
 
-def _merged(comps: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """Components after new links, and whether any were joined."""
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after new links."""
     left = comps.select(F.col("id").alias("a"), F.col("comp").alias("comp_a"))
     right = comps.select(F.col("id").alias("b"), F.col("comp").alias("comp_b"))
     bridges = cut_lineage(links.join(left, "a").join(right, "b").where("comp_a != comp_b").select(
         F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "bridges")
     if bridges.isEmpty():
-        return comps, False
-    moved = components(bridges).withColumnsRenamed({"id": "was", "comp": "now"})
-    return cut_lineage(comps.join(moved, F.col("comp") == F.col("was"), "left").select(
-        "id", "weight", F.coalesce("now", "comp").alias("comp")), "components"), True
+        discard(bridges)
+        return comps
+    joined = components(bridges)
+    moved = joined.withColumnsRenamed({"id": "was", "comp": "now"})
+    after = cut_lineage(comps.join(moved, F.col("comp") == F.col("was"), "left").select(
+        "id", "weight", F.coalesce("now", "comp").alias("comp")), "components")
+    discard(bridges, joined, comps)
+    return after
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **method) -> DataFrame:
-    """The input rows without all but one row of each class of linked texts: the one with the smallest id stays.
+    """The input rows without all but one document of each class of linked texts: the one with the smallest id stays.
 
-    Rows that share this id all stay if their texts differ; of rows with equal id and text one stays.
+    Rows that share an id are one document and stay or go together; rows with a null id stay. Null and empty texts are
+    linked with nothing and stay. All columns are kept; an empty table gives no rows.
     """
     found = similarity_classes(docs, id_column, text_column, **method)
-    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column).cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("gone")).distinct()
+    return docs.alias("kept").join(gone.alias("left_out"), F.col(f"kept.{id_column}").cast("long") == F.col("left_out.gone"), "left_anti")
 
 
 SQL = r"""
