@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,7 +96,7 @@ class Sets:
     def sketches(self, take: np.ndarray, shift: int, percent: int):
         """Sketches of the rows ``take`` in their own band (``shift`` 0) or the next (1).
 
-        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 8 bits of each part).
+        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 4 bits of each part).
         """
         ends = band_ends(int(self.sizes.max()) * 100 // percent + 2 if len(self.sizes) else 1, percent)
         bucket = np.searchsorted(ends, self.sizes[take]) + shift
@@ -117,7 +118,7 @@ class Sets:
             runs = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             held[slot[runs]] = np.bitwise_xor.reduceat(flips, runs)
             counts[slot[runs]] = np.diff(np.append(runs, len(slot)))
-            one = np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8)
+            one = np.uint8(1) << (bits & np.uint64(3)).astype(np.uint8)
             short[slot[runs]] = np.bitwise_xor.reduceat(one, runs)
         return bucket, parts, first, held, counts, short
 
@@ -166,11 +167,41 @@ def _parts(width: int, percent: int):
     return run
 
 
+def _halved(short: np.ndarray) -> bytes:
+    """Two parts of 4 bits in a byte."""
+    even = np.append(short, np.uint8(0)) if len(short) % 2 else short
+    return (even[0::2] | even[1::2] << np.uint8(4)).tobytes()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way through a shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for piece in textvec.pieces(batches):
+        packed = [None if t is None else pack(t.encode()) for t in piece.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(packed, pa.binary())], ["id", "text"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts again, some megabytes at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for key, packed in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids.append(key)
+            texts.append(None if packed is None else unpack(packed).decode())
+            size += len(texts[-1] or "")
+            if size > textvec.PIECE_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+                ids, texts, size = [], [], 0
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+
+
 def _blobs(width: int, percent: int):
-    """Sets and bit sketches (8 bits a part) of candidate texts."""
+    """Sets and bit sketches (4 bits a part) of candidate texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textvec.pieces(batches):
+        for piece in _unpacked(batches):
             sets = Sets(piece.column("text"), width)
             take = np.flatnonzero(sets.sizes)
             if not len(take):
@@ -180,7 +211,7 @@ def _blobs(width: int, percent: int):
             columns = [piece.column("id").take(pa.array(take)), pa.array(sets.sizes[take]), pa.array(blob, pa.binary()),
                        pa.array(made[0][0].astype(np.int32))]
             for _, parts, first, _, _, short in made:
-                columns.append(pa.array([short[a: a + n].tobytes() for a, n in zip(first, parts, strict=True)], pa.binary()))
+                columns.append(pa.array([_halved(short[a: a + n]) for a, n in zip(first, parts, strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["id", "size", "members", "band", "own", "next"])
 
     return run
@@ -293,6 +324,14 @@ def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     return found
 
 
+def _met_enough(met: DataFrame) -> DataFrame:
+    """Rows (key, slot, id) of texts of which enough parts meet something, with the rows ``n`` of their key; ``n`` > 1."""
+    by_text = Window.partitionBy("id", F.shiftright("slot", NEED_BITS))
+    enough = met.withColumn("meet", F.count(F.lit(1)).over(by_text)).where(
+        F.col("meet") >= F.col("slot").bitwiseAND(F.lit((1 << NEED_BITS) - 1)))
+    return enough.select("key", "slot", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).where("n > 1")
+
+
 def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id``.
@@ -313,14 +352,14 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     parts = known.mapInArrow(_parts(width, percent), "key long, slot int, id long")
     met = parts.withColumns({"low": F.min("id").over(by_key), "high": F.max("id").over(by_key)}).where("low < high")
     met = met.select("key", "slot", "id").join(reps, "id", "left_semi").distinct()
-    # a text of which too few parts meet anything has no partner
-    by_text = Window.partitionBy("id", F.shiftright("slot", NEED_BITS))
-    met = met.withColumn("meet", F.count(F.lit(1)).over(by_text)).where(
-        F.col("meet") >= F.col("slot").bitwiseAND(F.lit((1 << NEED_BITS) - 1)))
-    met = cut_lineage(met.select("key", "slot", "id", F.count(F.lit(1)).over(by_key).alias("n")).where("n > 1"), "parts")
+    met = _met_enough(met)
+    # what has lost its company leaves too, and so may others
+    again = cut_lineage(met, "met")
+    met = cut_lineage(_met_enough(again.drop("n")), "parts")
+    discard(again)
     wanted = met.select("id").distinct()
-    sets = known.join(wanted, "id", "left_semi").mapInArrow(
-        _blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary")
+    texts = known.mapInArrow(_packed, "id long, text binary").join(wanted, "id", "left_semi")
+    sets = texts.mapInArrow(_blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary")
     if not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         sets = sets.dropDuplicates(["id", "members"])
     sets = cut_lineage(sets, "sets")
