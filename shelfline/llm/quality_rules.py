@@ -1,10 +1,12 @@
 """Quality rules under weak supervision.
 
-Every rule votes good, votes bad or abstains. Rows with equal votes are counted, and expectation-maximisation over
-those counts estimates how each rule votes on good and on bad texts and how many texts are bad. A row is kept if the
-posterior probability that it is good is at least one half: a single weak alarm does not reject it, and an alarm of an
-accurate rule does. Only column expressions: no Python in tasks. The driver sees vote patterns, at most 3 to the power
-of the number of rules, whatever the input.
+Every rule votes good, votes bad or abstains. Rules that look for one kind of damage are correlated and cast one vote
+together: bad if one of them says so, good if all do. A text is good or has one kind of damage; expectation-maximisation
+over counted vote patterns estimates how many texts have which, and how often a vote is an alarm on texts that have its
+kind of damage and on others. Both rates have a prior whose weight grows with the number of texts, and an alarm is never
+taken as a sign of quality. An abstention says nothing. A row is kept if the posterior probability that it is good is at
+least one half. Only column expressions: no Python in tasks. The driver sees vote patterns, at most 3 to the power of the
+number of rules, whatever the input.
 """
 
 from __future__ import annotations
@@ -32,8 +34,16 @@ RULES: dict[str, tuple[str, float, float]] = {
     "long_words": ("word_chars / greatest(n_words, 1)", 12.0, 20.0),
     "short_text": ("20 / greatest(n_words, 1)", 0.5, 1.0),
 }
-#: Where expectation-maximisation starts: share of good texts, and votes (bad, none, good) on bad and on good texts.
-START_GOOD, START_ON_BAD, START_ON_GOOD = 0.85, (0.3, 0.1, 0.6), (0.01, 0.04, 0.95)
+#: Rules that look for the same kind of damage.
+KINDS: dict[str, tuple[str, ...]] = {
+    "symbols": ("symbols", "few_letters"),
+    "repetition": ("repeated_windows", "repeated_lines", "same_words"),
+    "shouting": ("capitals", "exclamations"),
+    "fragment": ("long_words", "short_text"),
+}
+#: Where expectation-maximisation starts: share of good texts, rates of alarms among votes on texts with and without the
+#: damage; the rates are also the means of their priors, which weigh as much as this share of all texts.
+START_GOOD, START_ON_BAD, START_ON_GOOD, PRIOR_SHARE = 0.85, 0.8, 0.01, 0.05
 ROUNDS = 100
 
 
@@ -83,52 +93,88 @@ def votes(rows: DataFrame, rules: dict[str, tuple[str, float, float]]) -> DataFr
     return rows.withColumn("pattern", F.concat(*digits))
 
 
-def fit_rules(patterns: list[tuple[str, int]], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list, dict[str, float]]:
+def together(pattern: str, groups: list[list[int]]) -> str:
+    """The vote of each group of rules: bad if one says bad, good if all say good, else none."""
+    out = ""
+    for group in groups:
+        digits = {pattern[i] for i in group}
+        out += "0" if "0" in digits else "2" if digits == {"2"} else "1"
+    return out
+
+
+def fit_rules(patterns: list[tuple[str, int]], n_rules: int, rounds: int = ROUNDS,
+              kinds: list[tuple[int, ...]] | None = None) -> tuple[float, list, dict[str, float]]:
     """Expectation-maximisation over counted vote patterns.
 
-    Returns the share of good texts, per rule the vote probabilities on (bad, good) texts, and the posterior
-    probability of good per pattern. Patterns are taken in order, so equal counts give equal results.
+    ``kinds`` lists the rules that alarm on each kind of damage; by default there is one kind, which all rules look for.
+    Returns the share of good texts, per rule the rates of alarms on texts (with, without) what it looks for, and the
+    posterior probability of good per pattern. Patterns are taken in order, so equal counts give equal results.
     """
     patterns = sorted(patterns)
-    share, tables = START_GOOD, [(list(START_ON_BAD), list(START_ON_GOOD)) for _ in range(n_rules)]
-
-    def posterior(pattern: str) -> float:
-        bad, good = math.log(1 - share), math.log(share)
-        for digit, (on_bad, on_good) in zip(pattern, tables, strict=True):
-            bad += math.log(on_bad[int(digit)])
-            good += math.log(on_good[int(digit)])
-        return 1 / (1 + math.exp(min(700.0, bad - good)))
+    kinds = kinds or [tuple(range(n_rules))]
+    looks = [[k for k, rules in enumerate(kinds) if r in rules] for r in range(n_rules)]
+    every = sum(n for _, n in patterns)
+    prior = max(1.0, PRIOR_SHARE * every)
+    shares = [START_GOOD] + [(1 - START_GOOD) / len(kinds)] * len(kinds)
+    rates = [(START_ON_BAD, START_ON_GOOD)] * n_rules
+
+    def posterior(pattern: str) -> list[float]:
+        """Probability of good, and of each kind of damage."""
+        plain = [0.0 if d == "1" else math.log(on_good if d == "0" else 1 - on_good)
+                 for d, (_, on_good) in zip(pattern, rates, strict=True)]
+        logs = [math.log(shares[0]) + sum(plain)]
+        for share, rules in zip(shares[1:], kinds, strict=True):
+            moved = sum(0.0 if pattern[r] == "1" else math.log(rates[r][0] if pattern[r] == "0" else 1 - rates[r][0]) - plain[r] for r in rules)
+            logs.append(math.log(share) + sum(plain) + moved)
+        most = max(logs)
+        weights = [math.exp(x - most) for x in logs]
+        return [w / sum(weights) for w in weights]
 
     for _ in range(rounds):
-        # add-one counts in the proportions of the start keep every probability inside (0, 1)
-        counts = [([*START_ON_BAD], [*START_ON_GOOD]) for _ in range(n_rules)]
-        all_good, every = START_GOOD, 1.0
+        totals = list(shares)  # one text in the proportions so far keeps every share above zero
+        alarms = [[START_ON_BAD * prior, START_ON_GOOD * prior] for _ in range(n_rules)]
+        voted = [[prior, prior] for _ in range(n_rules)]
         for pattern, n in patterns:
-            good = posterior(pattern)
-            all_good, every = all_good + n * good, every + n
-            for digit, (on_bad, on_good) in zip(pattern, counts, strict=True):
-                on_bad[int(digit)] += n * (1 - good)
-                on_good[int(digit)] += n * good
-        share = min(max(all_good / every, 1e-6), 1 - 1e-6)
-        tables = [tuple([v / sum(side) for v in side] for side in rule) for rule in counts]
-    return share, tables, {p: posterior(p) for p, _ in patterns}
+            found = posterior(pattern)
+            totals = [t + n * p for t, p in zip(totals, found, strict=True)]
+            for r, digit in enumerate(pattern):
+                if digit != "1":
+                    bad = sum(found[k + 1] for k in looks[r])
+                    for side, weight in enumerate((n * bad, n * (1 - bad))):
+                        voted[r][side] += weight
+                        alarms[r][side] += weight if digit == "0" else 0.0
+        shares = [t / sum(totals) for t in totals]
+        # an alarm is at least as frequent on what the rule looks for as elsewhere
+        rates = [(max(a[0] / v[0], a[1] / v[1]), a[1] / v[1]) for a, v in zip(alarms, voted, strict=True)]
+    return shares[0], rates, {p: posterior(p)[0] for p, _ in patterns}
 
 
 def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-            rules: dict[str, tuple[str, float, float]] | None = None, least_good: float = 0.5) -> DataFrame:
+            rules: dict[str, tuple[str, float, float]] | None = None, kinds: dict[str, tuple[str, ...]] | None = None,
+            least_good: float = 0.5) -> DataFrame:
     """Per row: the measures, ``base_failed``, the votes, ``p_good`` and ``kept``.
 
     ``base_failed`` (fewer than 20 words, or over 30 % of the words in repeated windows) always rejects; else the
-    posterior decides. A null or empty text has no words and fails. Repeated rows are judged alike, each on its own;
+    posterior decides. ``kinds`` names the rules that look for the same damage; rules that none names are a kind each. A
+    null or empty text has no words and fails. Repeated rows are judged alike, each on its own;
     an empty table gives no rows; other columns stay aside.
     """
+    kinds = kinds if kinds is not None else KINDS if rules is None else {}
     rules = rules or RULES
+    names = list(rules)
+    groups = [[names.index(r) for r in kind] for kind in kinds.values()]
+    groups += [[i] for i, r in enumerate(names) if not any(r in kind for kind in kinds.values())]
     rows = cut_lineage(votes(measures(docs, id_column, text_column), rules), "votes")
     counted = rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
-    _, _, posterior = fit_rules([(r["pattern"], r["n"]) for r in counted], len(rules))
-    found = docs.sparkSession.createDataFrame(sorted(posterior.items()), "pattern string, p_good double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    grouped: dict[str, int] = {}
+    for r in counted:
+        vote = together(r["pattern"], groups)
+        grouped[vote] = grouped.get(vote, 0) + r["n"]
+    _, _, posterior = fit_rules(list(grouped.items()), len(groups), kinds=[(i,) for i in range(len(groups))])
+    found = docs.sparkSession.createDataFrame(
+        sorted((r["pattern"], posterior[together(r["pattern"], groups)]) for r in counted), "pattern string, p_good double")
     # one row for each vote pattern, at most 3 ** rules
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return rows.join(F.broadcast(found), "pattern", "left").withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= least_good))
 

@@ -132,6 +132,45 @@ def test_rules_learn_which_votes_to_trust():
     assert p["202"] > 0.5 > p["020"] and p["222"] > 0.5 > p["000"]
 
 
+def test_correlated_rules_and_two_kinds_of_damage():
+    # rules 0-2 see junk, all of them or none; rules 3-4 see shouting; rule 4 also alarms on one good text in a hundred
+    rng = random.Random(4)
+    patterns, truth = Counter(), defaultdict(list)
+    for _ in range(20_000):
+        kind = rng.choices(["good", "junk", "loud"], [0.9, 0.07, 0.03])[0]
+        junk, loud = kind == "junk" and rng.random() < 0.95, kind == "loud" and rng.random() < 0.95
+        found = ("000" if junk else rng.choice(["222", "222", "221"])) + ("0" if loud else "2") + (
+            "0" if loud or (kind == "good" and rng.random() < 0.001) else "2")
+        patterns[found] += 1
+        truth[found].append(kind == "good")
+    groups = [[0, 1, 2], [3, 4]]
+    merged = Counter()
+    for p, n in patterns.items():
+        merged[quality_rules.together(p, groups)] += n
+    share, rates, p_good = quality_rules.fit_rules(list(merged.items()), 2, kinds=[(0,), (1,)])
+    assert 0.85 < share < 0.95
+    assert all(on_bad > on_good for on_bad, on_good in rates)
+    judged = [(p_good[quality_rules.together(p, groups)] >= 0.5, good) for p, all_ in truth.items() for good in all_]
+    assert sum(k for k, good in judged if good) / sum(good for _, good in judged) > 0.98
+    assert sum(not k for k, good in judged if not good) / sum(not good for _, good in judged) > 0.9
+
+
+def test_alarms_are_never_a_sign_of_quality():
+    # most texts that alarm on rule 1 are otherwise fine, and few of the damaged do
+    share, rates, p = quality_rules.fit_rules([("22", 900), ("20", 60), ("02", 40)], 2)
+    assert all(on_bad >= on_good for on_bad, on_good in rates)
+    assert p["20"] <= p["22"] and p["02"] <= p["22"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="tables not present")
+def test_quality_against_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    judged = quality_rules.quality(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed").join(
+        spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in judged}
+    assert kept[0] <= 0.1 and kept[1] >= 0.98, kept
+
+
 def test_decontamination(spark, docs, nothing, texts):
     passage = texts[70].split("\n")[1].split("  ")[0].split()
     items = spark.createDataFrame([(1, " ".join(passage[10:30]).upper()), (2, "unseen words only here"), (3, "one TWO"), (3, "one TWO"),
