@@ -34,6 +34,8 @@ NEAR = 4
 #: Look-alikes that stand for letters in obfuscated spellings.
 LOOKALIKES = str.maketrans("0134578@$!|+", "oieastbasiit")
 ROUNDS, DEPTH, STEP, SEED = 30, 3, 0.2, 7
+#: Bytes of text that are described at once.
+DESCRIBED = 2_000_000
 FEATURES = ["hits", "density", "strongest", "total", "beginnings", "near_second", "second_density", "capitals",
             "marks", "symbols", "obfuscated", "obfuscated_hits", "length"]
 
@@ -109,7 +111,7 @@ def _describe(lexicon: dict[str, float], carried: list[str]):
         return max((lexicon.get(k, 0.0) for k in entries(word)[1:]), default=0.0), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in textvec.pieces(batches):
+        for piece in textvec.pieces(batches, most=DESCRIBED):
             offsets, flat = textvec.words(piece.column("text"))
             codes, distinct = textvec.coded(flat)
             table_ = np.zeros((len(distinct), 9))
@@ -237,8 +239,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows and columns of ``docs`` whose score stays below the threshold; learned as in ``toxicity``."""
     model = fit(training_rows(docs, labels, ~held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return model.score(rows, ["row"]).where(F.col("score") < threshold).select("row.*")
+    # the text comes by once, beside the other columns
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text") if others else docs.select(F.lit(0).alias("row"), "text")
+    kept = model.score(rows, ["row", "text"]).where(F.col("score") < threshold)
+    return kept.select(*["text" if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 @query("op8_boosted_toxicity")
