@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import metrics, rules
 from ..sources import star_schema as star
 from ..streaming import jobs
 from . import baskets as basket_plans
@@ -39,6 +39,22 @@ def stream_velocity(spark, folder):
     return rounded(exact.withColumn("velocity", velocity), 9, only=("velocity",))
 
 
+@query("stream_product_branch_days", """
+SELECT CAST(o_orderdate AS DATE) AS date, CAST(l_partkey AS VARCHAR) AS product_id, n_name AS branch_id,
+  CAST(sum(CAST(l_quantity AS DECIMAL(28,2))) AS DOUBLE) AS total, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""", dates=("date",))
+def stream_product_branch_days(spark, folder):
+    """Daily units per product and branch under a watermark, with the late rows merged back."""
+    lines = jobs.file_stream(spark, folder, "lineitem")
+    orders = star.table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        star.branches(spark, folder), F.col("l_suppkey") == F.col("s_suppkey")
+    ).select(F.col("l_partkey").cast("string").alias("product_id"), "branch_id", "o_orderdate", "l_quantity")
+    keys = ["product_id", "branch_id"]
+    tables = jobs.event_days(joined, "o_orderdate", keys, F.col("l_quantity").cast(MONEY))
+    return jobs.merged_days(*tables, keys).withColumn("total", F.col("total").cast("double"))
+
+
 @query("stream_late_split", """
 SELECT is_late, branch_id, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,2))) AS DOUBLE) AS amount FROM (
 SELECT CASE WHEN CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) > 60 THEN 'late' ELSE 'on_time' END AS is_late, n_name AS branch_id, l_extendedprice
@@ -58,7 +74,10 @@ def stream_late_split(spark, folder):
 @query("stream_live_accuracy", """
 SELECT CAST(TIMESTAMP '1970-01-01' + INTERVAL 7 DAY * CAST(floor(epoch(o_orderdate) / 604800) AS INTEGER) AS DATE) AS window_start,
   CAST(sum(abs(a - f)) AS DOUBLE) AS absolute_error, CAST(sum(a) AS DOUBLE) AS actual_total, count(*) AS n,
-  round(CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(a) AS DOUBLE), 9) AS wape, CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(a) AS DOUBLE) > 0.5 AS alert FROM (
+  round(CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(a) AS DOUBLE), 9) AS wape, CAST(sum(abs(a - f)) AS DOUBLE) / CAST(sum(a) AS DOUBLE) > 0.5 AS alert,
+  round(CAST(sum(abs(a - f)) AS DOUBLE) / count(*) / (SELECT avg(abs(v - before)) FROM (
+    SELECT v, lag(v, 7) OVER (PARTITION BY o_orderpriority ORDER BY d) AS before FROM (
+      SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS d, CAST(sum(CAST(o_totalprice AS DECIMAL(28,2))) AS DOUBLE) AS v FROM orders GROUP BY ALL))), 6) AS mase FROM (
 SELECT o_orderdate, CAST(o_totalprice AS DECIMAL(28,2)) AS a, f FROM orders JOIN (
   SELECT o_orderpriority, CAST(round(avg(o_totalprice), 0) AS DECIMAL(28,2)) AS f FROM orders GROUP BY o_orderpriority) USING (o_orderpriority)) GROUP BY 1""",
        dates=("window_start",))
@@ -72,7 +91,11 @@ def stream_live_accuracy(spark, folder):
     out = jobs.latest(jobs.changed_groups(accuracy.drop("wape", "alert"), "accuracy"), ["window_start"])
     out = out.withColumns({c: F.col(c).cast("double") for c in ("absolute_error", "actual_total")})
     ratio = F.col("absolute_error") / F.col("actual_total")
-    return rounded(out.withColumns({"wape": ratio, "alert": ratio > 0.5}), 9, only=("wape",))
+    daily = star.table(spark, folder, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("d")).agg(
+        F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("v"))
+    scale = metrics.seasonal_scale(daily, "v", "d", ["o_orderpriority"]).first()["scale"]
+    out = out.withColumns({"wape": ratio, "alert": ratio > 0.5, "mase": jobs.mase(scale)})
+    return rounded(out, 9, only=("wape", "mase"), mase=6)
 
 
 @query("stream_customer_totals", """
@@ -80,11 +103,10 @@ SELECT CAST(o_custkey AS VARCHAR) AS customer_id, count(*) AS orders, CAST(sum(C
   max(CAST(o_orderdate AS DATE)) AS last_day FROM orders GROUP BY o_custkey""", dates=("last_day",))
 def stream_customer_totals(spark, folder):
     stream = jobs.event_time(jobs.file_stream(spark, folder, "orders"), "o_orderdate")
-    named = stream.withColumn("customer_id", F.col("o_custkey").cast("string"))
-    per_order = jobs.order_totals(named, "customer_id", "o_orderkey", F.col("o_totalprice").cast(MONEY), "o_orderdate")
-    orders = jobs.latest(jobs.changed_groups(per_order, "customers"), ["customer_id", "o_orderkey"])
-    out = jobs.running_totals(orders, "customer_id", "o_orderkey")
-    return out.withColumn("spend", F.col("spend").cast("double"))
+    named = stream.withColumns({"customer_id": F.col("o_custkey").cast("string"),
+                                "cents": F.round(F.col("o_totalprice").cast(MONEY) * 100).cast("long")})
+    out = jobs.customer_totals(named, "customer_id", "o_orderkey", "cents", "o_orderdate")
+    return out.withColumn("spend", (F.col("spend") / 100).cast("double"))
 
 
 @query("stream_cart_scoring", sql("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -89,3 +90,12 @@ def discard(*tables: DataFrame) -> None:
             context = table.sparkSession.sparkContext
             folder = context._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes shuffle files of plans that are done with.
+
+    Spark does so by itself, but only when the driver's heap happens to fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

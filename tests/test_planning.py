@@ -306,6 +306,38 @@ def test_streams_count_late_files_and_read_directories(spark, tmp_path):
     assert weeks.agg(F.sum("n")).first()[0] == 8
 
 
+def test_event_days_lose_nothing(spark, tmp_path):
+    """Eight files, the newest days first: late rows stand apart, the open days stay few, and all rows are counted."""
+    folder = tmp_path / "in"
+    rng = np.random.default_rng(3)
+    every = [(D0 + timedelta(int(d)), f"p{rng.integers(3)}", f"b{rng.integers(2)}", float(rng.integers(1, 9)))
+             for d in range(64) for _ in range(4)]
+    for part in reversed(range(8)):
+        rows = [r for r in every if (r[0] - D0).days // 8 == part] + [(D0 + timedelta(60), "p0", "b0", 1.0)]
+        spark.createDataFrame(rows, "day date, p string, b string, v double").withColumn("ts", F.col("day").cast("timestamp")).coalesce(
+            1).write.mode("append").parquet(str(folder / "t.parquet"))
+    stream = jobs.file_stream(spark, str(folder), "t", files_per_trigger=1)
+    closed, still_open, late = jobs.event_days(stream, "ts", ["p", "b"], F.col("v"), allowed_days=7)
+    got = {tuple(r) for r in jobs.merged_days(closed, still_open, late, ["p", "b"]).collect()}
+    batch = spark.read.parquet(str(folder / "t.parquet")).groupBy("day", "p", "b").agg(F.sum("v"), F.count(F.lit(1)))
+    assert got == {tuple(r) for r in batch.collect()}
+    assert late.count() > 0
+    newest = D0 + timedelta(63)
+    assert all(r.date >= newest - timedelta(7) for r in still_open.collect())
+    assert not {tuple(r)[:3] for r in closed.collect()} & {tuple(r)[:3] for r in still_open.collect()}
+
+
+def test_customer_state_counts_an_order_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    lines = [("a", 7, 200, 20), ("a", 7, 100, 3), ("b", 1, 50, 5), ("a", 8, 10, 1), ("a", None, 5, 2), ("b", 1, 50, 6)]
+    for start in (0, 2, 4):
+        spark.createDataFrame([(c, o, x, D0 + timedelta(d)) for c, o, x, d in lines[start: start + 2]],
+                              "k string, order_id int, cents long, day date").coalesce(1).write.mode("append").parquet(str(folder / "t.parquet"))
+    stream = jobs.file_stream(spark, str(folder), "t", files_per_trigger=1)
+    got = {r.k: (r.orders, r.spend, (r.last_day - D0).days) for r in jobs.customer_totals(stream, "k", "order_id", "cents", "day").collect()}
+    assert got == {"a": (2, 315, 20), "b": (1, 100, 6)}
+
+
 def test_streams_without_rows_give_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], "ts timestamp, k string, seen date, v double")
     empty.write.parquet(str(tmp_path / "t.parquet"))
