@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, discard
+from ..session import cut_lineage, discard, release
 from . import textvec
 from .registry import query, table
 
@@ -341,6 +341,7 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     and stays alone. Rows that share an id are one document with several texts. A row with a null id has no component.
     Equal sets are compared once. Empty tables give no rows; other columns stay aside.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     summary = cut_lineage(rows.mapInArrow(_summaries(width), "id long, n_shingles long, set_key binary"), "summary")
     known = rows.where("id is not null")
@@ -357,12 +358,14 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     again = cut_lineage(met, "met")
     met = cut_lineage(_met_enough(again.drop("n")), "parts")
     discard(again)
+    release(spark)  # the parts themselves, by far the largest shuffle
     wanted = met.select("id").distinct()
     texts = known.mapInArrow(_packed, "id long, text binary").join(wanted, "id", "left_semi")
     sets = texts.mapInArrow(_blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary")
     if not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         sets = sets.dropDuplicates(["id", "members"])
     sets = cut_lineage(sets, "sets")
+    release(spark)
 
     weight = met.groupBy("id").agg(F.sum("n").alias("weight"))
     comps = cut_lineage(weight.withColumn("comp", F.col("id")), "components")
@@ -371,6 +374,7 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
         pairs = _candidates(met, comps, sets, percent, star=turn < PIVOT_ROUNDS)
         comps = _merged(comps, verified(pairs, sets, percent))
         discard(pairs)
+        release(spark)
     discard(met, sets)
 
     # rows of one id, rows of one set, and linked sets: together
