@@ -12,10 +12,11 @@ host meet in salted groups first, so a host with a third of all pages sends few
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,13 @@ APART_WORDS = frozenset("""ad ads advert advertisement advertising sponsor spons
 consent gdpr notice alert popup modal sidebar side menu nav navbar navigation breadcrumb breadcrumbs comment comments
 disqus reply replies share sharing social related recommended newsletter subscribe signup login search footer header
 masthead toolbar widget widgets pagination pager skip""".split())
+#: Of these, words of reader comments and lists of other articles: they hold article elements that are not the article.
+FOREIGN_WORDS = frozenset("comment comments disqus reply replies related recommended newsletter ad ads advert".split())
+#: A name that begins or ends so tells how a box is laid out, not what it is: "no-sidebar", "page-header" inside an article.
+LAYOUT_WORDS = frozenset("has no with without is".split())
+HEAD_WORDS = frozenset("header masthead".split())
+ENTRY_WORDS = frozenset("post entry article story content".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 #: Elements without an end tag, elements that do not break a line, and starts that end an open element of the same kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,28 +53,34 @@ IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 #: A start tag of these ends an open paragraph.
 ENDS_PARAGRAPH = frozenset("""address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main
 nav ol p pre section table ul""".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*+\"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z)|[\"'])*+)(>|\Z)", re.S)
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Longest run of different elements that is looked for as a repeated group, and pages a partial wrapper may have before
-#: places of its texts count as known to be constant.
+#: Longest run of different elements that is looked for as a repeated group, and groups that partial wrappers of a host meet in.
 PERIOD, SALTS = 3, 32
+#: Texts from this length on are kept in a wrapper as their beginning and a digest of the whole.
+SHOWN = 80
 
 
 class Node:
     """An element or a text (``sig`` "#") of a page or a wrapper."""
 
-    __slots__ = ("sig", "kids", "text", "optional", "repeated", "chars", "links", "pages")
+    __slots__ = ("sig", "kids", "text", "optional", "repeated", "chars", "links", "pages", "inside", "holds")
 
     def __init__(self, sig: str, text: str | None = None):
         self.sig, self.text, self.kids = sig, text, []
         self.optional = self.repeated = False
-        self.chars = self.links = 0
-        self.pages = 1
+        self.chars = self.links = self.inside = 0
+        self.pages, self.holds = 1, False
 
 
 def signature(tag: str, attributes: str) -> str:
-    """Tag and the sorted words of its class, id and role."""
-    words = sorted({w.lower() for m in NAME.finditer(attributes) for w in re.split(r"[^A-Za-z]+", m[1] or m[2] or m[3] or "") if w})
+    """Tag and the sorted words of its class, id and role; names that only tell the layout are one word each ("no_sidebar")."""
+    words: set[str] = set()
+    for found in NAME.finditer(attributes):
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            words.update(["_".join(parts)] if parts and parts[0] in LAYOUT_WORDS else parts)
+    words = sorted(words)
     return f"{tag}.{'.'.join(words)}" if words and tag not in ARTICLE | {"body", "html"} else tag
 
 
@@ -146,22 +160,46 @@ def clean(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def run(steps: Generator):
+    """The result of steps that yield the steps whose result they wait for: trees of any depth, without deep calls."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            inner = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(inner)
+            value = None
+    return value
+
+
+def shown(text: str) -> str:
+    """A text as a wrapper keeps it: whole, or its beginning and a digest, so different long texts stay different."""
+    return text if len(text) < SHOWN else f"{text[:SHOWN // 2]}… {hashlib.sha1(text.encode('utf-8', 'replace')).hexdigest()}"
+
+
 def learn(node: Node) -> Node:
     """The wrapper of one page: texts cleaned and counted, runs folded."""
+    return run(_learn(node))
+
+
+def _learn(node: Node) -> Generator:
     kids = []
     for kid in node.kids:
         if kid.sig == "#":
             text = clean(kid.text)
             if text:
-                kid.text, kid.chars = text[:80], len(text)
+                kid.text, kid.chars = shown(text), len(text)
                 kids.append(kid)
         else:
-            kids.append(learn(kid))
-    node.kids = fold(kids)
+            kids.append((yield _learn(kid)))
+    node.kids = yield _fold(kids)
     return node
 
 
-def fold(kids: list[Node]) -> list[Node]:
+def _fold(kids: list[Node]) -> Generator:
     """Runs of equal neighbours become repeated nodes, runs of up to ``PERIOD`` different ones repeated groups."""
     out, i = [], 0
     while i < len(kids):
@@ -174,12 +212,13 @@ def fold(kids: list[Node]) -> list[Node]:
                 if period == 1:
                     node = kids[i]
                     for other in kids[i + 1: end]:
-                        node = merge(node, other, same_page=True)
+                        node = yield _merge(node, other, True)
                 else:
                     node = Node(f"({'+'.join(sigs)})")
                     node.kids = kids[i: i + period]
                     for j in range(i + period, end, period):
-                        node.kids = [merge(a, b, same_page=True) for a, b in zip(node.kids, kids[j: j + period], strict=True)]
+                        for place in range(period):
+                            node.kids[place] = yield _merge(node.kids[place], kids[j + place], True)
                 node.repeated = True
                 out.append(node)
                 i = end
@@ -192,79 +231,151 @@ def fold(kids: list[Node]) -> list[Node]:
 
 def merge(a: Node, b: Node, same_page: bool = False) -> Node:
     """Two nodes of one signature as one; ``same_page``: they repeat in a page."""
+    return run(_merge(a, b, same_page))
+
+
+def _merge(a: Node, b: Node, same_page: bool) -> Generator:
     out = Node(a.sig, a.text if a.text == b.text else None)
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     out.chars, out.links = a.chars + b.chars, a.links + b.links
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    out.kids = align(a.kids, b.kids, same_page)
+    out.kids = yield _align(a.kids, b.kids, same_page)
     return out
 
 
-def align(x: list[Node], y: list[Node], same_page: bool = False) -> list[Node]:
-    """Longest common stream; what only one side has is optional."""
-    n, m = len(x), len(y)
-    if [k.sig for k in x] == [k.sig for k in y]:
-        return [merge(a, b, same_page) for a, b in zip(x, y, strict=True)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if x[i].sig == y[j].sig else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i].sig == y[j].sig:
-            out.append(merge(x[i], y[j], same_page))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            x[i].optional = True
-            out.append(x[i])
-            i += 1
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Equal ends are set aside; a row of lengths is one whole number of bits."""
+    head, end, stop = 0, min(len(x), len(y)), 0
+    while head < end and x[head] == y[head]:
+        head += 1
+    while stop < end - head and x[-1 - stop] == y[-1 - stop]:
+        stop += 1
+    a, b = x[head: len(x) - stop], y[head: len(y) - stop]
+    places: dict[str, int] = {}
+    for j, sig in enumerate(b):
+        places[sig] = places.get(sig, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows, row = [], full
+    for sig in a:
+        met = row & places.get(sig, 0)
+        row = ((row + met) | (row - met)) & full
+        rows.append(row)
+    i, j, middle = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
         else:
-            y[j].optional = True
-            out.append(y[j])
-            j += 1
-    return fold_equal(out)
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                middle.append((head + i, head + j))
+    pairs = [(k, k) for k in range(head)] + middle[::-1]
+    return pairs + [(len(x) - k, len(y) - k) for k in range(stop, 0, -1)]
 
 
-def fold_equal(kids: list[Node]) -> list[Node]:
-    """Neighbours of one signature that an alignment has brought together, as one repeated node."""
+def _align(x: list[Node], y: list[Node], same_page: bool) -> Generator:
+    """Longest common stream; what only one side has is optional. Neighbours of one signature that this brings together
+    become one repeated node."""
     out: list[Node] = []
-    for kid in kids:
-        if out and out[-1].sig == kid.sig:
-            out[-1] = merge(out[-1], kid, same_page=True)
-            out[-1].repeated = True
-        else:
-            out.append(kid)
+    i = j = 0
+    pairs = common([k.sig for k in x], [k.sig for k in y])
+    matched = len(pairs) == len(x) == len(y)
+    for p, q in [*pairs, (len(x), len(y))]:
+        for alone in [*x[i:p], *y[j:q]]:
+            alone.optional = True
+            if out and out[-1].sig == alone.sig:
+                out[-1] = yield _merge(out[-1], alone, True)
+                out[-1].repeated = True
+            else:
+                out.append(alone)
+        i, j = p + 1, q + 1
+        if p < len(x):
+            node = yield _merge(x[p], y[q], same_page)
+            if not matched and out and out[-1].sig == node.sig:
+                node = yield _merge(out[-1], node, True)
+                node.repeated = True
+                out[-1] = node
+            else:
+                out.append(node)
     return out
 
 
 def pack(node: Node) -> list:
-    return [node.sig, node.text, int(node.optional), int(node.repeated), node.chars, node.links, node.pages, [pack(k) for k in node.kids]]
+    """A wrapper as rows from the root on, each followed by its kids."""
+    rows, stack = [], [node]
+    while stack:
+        node = stack.pop()
+        rows.append([node.sig, node.text, int(node.optional), int(node.repeated), node.chars, node.links, node.pages, len(node.kids)])
+        stack.extend(reversed(node.kids))
+    return rows
 
 
-def unpack(row: list) -> Node:
-    node = Node(row[0], row[1])
-    node.optional, node.repeated, node.chars, node.links, node.pages = bool(row[2]), bool(row[3]), *row[4:7]
-    node.kids = [unpack(k) for k in row[7]]
-    return node
+def unpack(rows: list) -> Node:
+    nodes: list[Node] = []
+    for sig, text, optional, repeated, chars, links, pages, kids in reversed(rows):
+        node = Node(sig, text)
+        node.optional, node.repeated, node.chars, node.links, node.pages = bool(optional), bool(repeated), chars, links, pages
+        node.kids = [nodes.pop() for _ in range(kids)]
+        nodes.append(node)
+    return nodes.pop()
 
 
 def expression(node: Node) -> str:
     """The wrapper as a regular expression over tags; ``#`` is a text slot."""
-    inside = " ".join(expression(k) for k in node.kids)
-    if node.sig == "#":
-        body = "#" if node.text is None else json.dumps(node.text, ensure_ascii=False)
-    elif node.sig.startswith("("):
-        body = inside
-    else:
-        body = f"<{node.sig}> {inside} </>" if node.sig else inside
-    marks = "+" * node.repeated + "?" * node.optional
-    return f"( {body} ){marks}" if marks else body
+    words: list[str] = []
+    stack: list[Node | str] = [node]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            words.append(part)
+            continue
+        marks = "+" * part.repeated + "?" * part.optional
+        if marks:
+            words.append("(")
+            stack.append(f"){marks}")
+        if part.sig == "#":
+            words.append("#" if part.text is None else json.dumps(part.text, ensure_ascii=False))
+        elif part.sig and not part.sig.startswith("("):
+            words.append(f"<{part.sig}>")
+            stack.append("</>")
+        stack.extend(reversed(part.kids))
+    return " ".join(words)
 
 
 def apart(sig: str, in_article: bool) -> bool:
-    """Whether an element's text is not part of an article."""
+    """Whether an element's text is not part of an article.
+
+    Headings are never told apart by a name; boxes named header belong to an article that they stand in.
+    """
     tag, *words = sig.split(".")
-    return tag in APART or (tag == "header" and not in_article) or not APART_WORDS.isdisjoint(words)
+    if tag in APART or (tag == "header" and not in_article):
+        return True
+    marks = APART_WORDS.intersection(words)
+    if in_article or not HEAD_WORDS.isdisjoint(marks) and not ENTRY_WORDS.isdisjoint(words):
+        marks -= HEAD_WORDS
+    return bool(marks) and not (tag in HEADINGS and marks <= HEAD_WORDS)
+
+
+def spared(node: Node, whole: int, most: float = 0.8) -> bool:
+    """Whether an element that a name sets apart is the page's own frame: it holds an article or main element, or nearly
+    all text. Comments and lists of other articles are not, whatever they hold."""
+    tag, *words = node.sig.split(".")
+    if tag in APART or tag == "header" or not FOREIGN_WORDS.isdisjoint(words):
+        return False
+    return node.holds or node.inside >= most * whole > 0
+
+
+def measure(root: Node) -> None:
+    """Characters inside each element, and whether it holds an article or main element."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node.kids)
+    for node in reversed(order):
+        tag = node.sig.split(".")[0]
+        node.inside = 0 if tag in APART else node.chars + sum(k.inside for k in node.kids)
+        node.holds = any(k.holds or k.sig in ARTICLE for k in node.kids)
 
 
 def article_path(wrapper: Node, share: float = 0.6) -> tuple[str, ...]:
@@ -273,68 +384,97 @@ def article_path(wrapper: Node, share: float = 0.6) -> tuple[str, ...]:
     An article or main element with text, the one with most; else the deepest element that holds ``share`` of the text
     outside menus and the like and outside links.
     """
-    marked: list[tuple[int, tuple[str, ...]]] = []
+    measure(wrapper)
+    # places: parent, signature, depth, weight; the root is place 0
+    places: list[list] = [[-1, "", 0, 0]]
+    known: dict[tuple[int, str], int] = {}
+    marked: list[tuple[int, int]] = []
 
-    def weight(node: Node, path: tuple[str, ...], in_article: bool) -> int:
+    def weight(node: Node, place: int, in_article: bool) -> Generator:
         if node.sig == "#":
             # a text that many pages share is part of the template
             constant = node.text is not None and node.pages >= 5
             return 0 if constant and not in_article else max(0, node.chars - 2 * node.links)
-        if apart(node.sig, in_article):
+        if apart(node.sig, in_article) and not spared(node, wrapper.inside):
             return 0
-        here = in_article or node.sig in ARTICLE
-        total = sum(weight(k, path + (k.sig,), here) for k in node.kids)
+        here, total = in_article or node.sig in ARTICLE, 0
+        for kid in node.kids:
+            at = place
+            if kid.sig != "#":
+                at = known.setdefault((place, kid.sig), len(places))
+                if at == len(places):
+                    places.append([place, kid.sig, places[place][2] + 1, 0])
+            total += yield weight(kid, at, here)
         if node.sig in ARTICLE and not in_article:
-            marked.append((total, path))
-        weights[path] = weights.get(path, 0) + total
+            marked.append((total, place))
+        places[place][3] += total
         return total
 
-    weights: dict[tuple[str, ...], int] = {}
-    everything = weight(wrapper, (), False)
-    if marked and max(marked)[0] > 0:
-        return max(marked, key=lambda x: (x[0], [-len(x[1])]))[1]
-    fitting = [p for p, w in weights.items() if everything and w >= share * everything and not (p and p[-1].split(".")[0] in BLOCKS)]
-    return max(fitting, key=lambda p: (len(p), weights[p], p), default=())
-
-
-def constants(wrapper: Node, path: tuple[str, ...]) -> set[str]:
-    """Texts of the template inside the chosen element, where no article tag tells them apart."""
-    found: set[str] = set()
+    def path(place: int) -> tuple[str, ...]:
+        out = []
+        while place > 0:
+            out.append(places[place][1])
+            place = places[place][0]
+        return tuple(reversed(out))
 
-    def walk(node: Node) -> None:
-        if node.sig == "#" and node.text is not None and node.pages >= 5 and len(node.text) < 80:
-            found.add(node.text)
+    everything = run(weight(wrapper, 0, False))
+    if marked and max(marked)[0] > 0:
+        return path(max(marked, key=lambda x: (x[0], -places[x[1]][2], -x[1]))[1])
+    fitting = [i for i, (_, sig, _, w) in enumerate(places) if everything and w >= share * everything and sig.split(".")[0] not in BLOCKS]
+    return path(max(fitting, key=lambda i: (places[i][2], places[i][3], -i), default=0))
+
+
+def constants(wrapper: Node, path: tuple[str, ...]) -> set[tuple[str, str]]:
+    """Texts of the template inside the chosen element with their places (signatures from that element on), where no article
+    tag tells them apart. The same text at another place is not meant."""
+    found: set[tuple[str, str]] = set()
+    if ARTICLE.intersection(path):
+        return found
+    tops = [wrapper]
+    for step in path:
+        tops = [k for node in tops for k in node.kids if k.sig == step]
+    stack = [(node, "") for node in tops]
+    while stack:
+        node, place = stack.pop()
         for kid in node.kids:
-            walk(kid)
-
-    if not ARTICLE.intersection(path):
-        walk(wrapper)
+            if kid.sig == "#":
+                if kid.text is not None and kid.pages >= 5 and len(kid.text) < SHOWN:
+                    found.add((place, kid.text))
+            else:
+                stack.append((kid, place if kid.sig.startswith("(") else step_down(place, kid.sig)))
     return found
 
 
-def article_text(page: Node, path: tuple[str, ...], drop: set[str]) -> str:
+def step_down(place: str, sig: str) -> str:
+    """A place one element further down; deep places are digests, so they stay short."""
+    further = f"{place}>{sig}"
+    return further if len(further) < 400 else hashlib.sha1(further.encode("utf-8", "replace")).hexdigest()
+
+
+def article_text(page: Node, path: tuple[str, ...], drop: set[tuple[str, str]]) -> str:
     """Texts of the chosen element in page order, blocks joined by one space."""
     blocks: list[str] = []
     steps = tuple(s for s in path if not s.startswith("("))
-
-    def take(node: Node, in_article: bool) -> None:
-        for kid in node.kids:
-            if kid.sig == "#":
-                text = clean(kid.text)
-                if text and text not in drop:
-                    blocks.append(text)
-            elif not apart(kid.sig, in_article):
-                take(kid, in_article or kid.sig in ARTICLE)
-
-    def walk(node: Node, left: tuple[str, ...], in_article: bool) -> None:
-        if not left:
-            take(node, in_article)
-            return
+    # node, steps of the path done, in an article, place below the chosen element; the next in page order is on top
+    stack: list[tuple[Node, int, bool, str]] = [(page, 0, False, "")]
+    while stack:
+        node, done, inside, place = stack.pop()
+        if node.sig == "#":
+            text = clean(node.text)
+            if text and (not drop or (place, text) not in drop):
+                blocks.append(text)
+            continue
+        below = []
         for kid in node.kids:
-            if kid.sig == left[0]:
-                walk(kid, left[1:], in_article or kid.sig in ARTICLE)
-
-    walk(page, steps, False)
+            here = inside or kid.sig in ARTICLE
+            if done < len(steps):
+                if kid.sig == steps[done]:
+                    below.append((kid, done + 1, here, ""))
+            elif kid.sig == "#":
+                below.append((kid, done, inside, place))
+            elif not apart(kid.sig, inside):
+                below.append((kid, done, here, step_down(place, kid.sig) if drop else ""))
+        stack.extend(reversed(below))
     return " ".join(blocks)
 
 
@@ -379,7 +519,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             key = path + drop
             if key not in read:
-                read[key] = (tuple(json.loads(path)), set(json.loads(drop)))
+                read[key] = (tuple(json.loads(path)), {tuple(d) for d in json.loads(drop)})
             way, template = read[key]
             text = article_text(parse(page), way, template)
             if not text:  # a page that leaves the wrapper of its host is read by its own
@@ -390,7 +530,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def infer_wrappers(pages: DataFrame, url_column: str = "url", html_column: str = "html", salts: int = SALTS) -> DataFrame:
     """One row for each host: ``host``, ``wrapper`` (the expression), ``path`` of the article element, ``drop`` (template
-    texts inside it)."""
+    texts inside it, with their places)."""
     partial = pages.select(F.col(url_column).alias("url"), F.col(html_column).alias("html")).mapInPandas(
         _infer, "host string, wrapper string")
     partial = cut_lineage(partial, "partial-wrappers")
@@ -404,8 +544,8 @@ def extract_articles(pages: DataFrame, id_column: str = "page_id", url_column: s
 
     Character references are decoded; white space inside a block becomes one space; blocks stand in page order, joined
     by one space. A null or empty page has the empty text; a null or odd url is a host of its own kind (""). Repeated
-    rows each get their text; a page cut short is read as far as it goes; an empty table gives no rows; other columns
-    stay aside.
+    rows each get their text; a page cut short is read as far as it goes; elements may be nested to any depth; a quote that
+    nothing closes is part of its tag; an empty table gives no rows; other columns, whatever their names, stay aside.
     """
     kind = dict(pages.dtypes)
     wrappers = cut_lineage(infer_wrappers(pages, url_column, html_column), "wrappers").select("host", "path", "drop")

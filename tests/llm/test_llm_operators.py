@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import os
 import random
 import re
@@ -520,3 +521,48 @@ def test_pipeline_near_duplicates(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(label.values())
     assert kept.columns == docs.columns
     assert {0, 6, 7} <= set(label.values()) and not {3, 4, 5, 21, 22} & set(label.values())
+
+
+def test_wrapper_keeps_articles_whole(spark):
+    """Layout words, headings named header, titles that equal menu labels, odd quotes, deep pages, repeated rows."""
+    rng = random.Random(8)
+    rows, wanted = [], {}
+
+    def page(host, make, count=6):
+        for _ in range(count):
+            n = len(rows)
+            text = sentence(rng, 30)
+            rows.append((n, f"https://{host}.example/{n}", f"<html><body>{make(n, text)}</body></html>", "x"))
+            wanted[n] = f"About {text}"
+
+    menu = "<ul class=menu><li><a href=/>About</a></li><li><a href=/>Home</a></li></ul>"
+    page("layout", lambda n, t: f'{menu}<div class="layout has-sidebar"><article><h1>About</h1><p>{t}</p></article><div class=sidebar>S {n}</div></div>')
+    page("flag", lambda n, t: f'{menu}<div class="box sidebar"><main><h1>About</h1><p>{t}</p></main></div><div class=comments><article>{t} {t}</article></div>')
+    page("title", lambda n, t: f'{menu}<article><div class="post-header"><h1 class="page-header">About</h1></div><p>{t}</p></article>')
+    page("plain", lambda n, t: f'{menu}<div class="story">{"<h2>" if n % 2 else "<h3>"}{"About"}{"</h2>" if n % 2 else "</h3>"}<p>{t}</p></div>', 8)
+    page("quote", lambda n, t: f'<article><h1 title="x>About</h1><p class="a">{t}</p></article>')
+    page("deep", lambda n, t: "<div>" * 5000 + f"<article><h1>About</h1><p>{t}</p></article>" + "</div>" * 5000, 2)
+    rows += [(900, rows[0][1], rows[0][2], None), (900, rows[0][1], rows[0][2], None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, path string").withColumn("drop", F.lit(1)).withColumn("host", F.lit("h"))
+    got = html_wrappers.extract_articles(table.repartition(3)).collect()
+    assert {r["page_id"]: r["text"] for r in got if r["page_id"] < 900} == wanted
+    assert [r["text"] for r in got if r["page_id"] == 900] == [wanted[0]] * 2
+    empty = html_wrappers.extract_articles(table.limit(0))
+    assert empty.collect() == [] and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_common_stream_is_longest():
+    rng = random.Random(3)
+    for _ in range(300):
+        x, y = ("".join(rng.choices("abc", k=rng.randrange(9))) for _ in range(2))
+        pairs = html_wrappers.common(list(x), list(y))
+        assert all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+
+
+def test_long_texts_of_a_wrapper_differ_by_their_ends():
+    a, b = ("w" * 200 + end for end in "xy")
+    assert html_wrappers.shown(a) != html_wrappers.shown(b) and html_wrappers.shown("short") == "short"
