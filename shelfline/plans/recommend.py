@@ -411,12 +411,9 @@ def ranking_metrics(spark, folder):
 SELECT branch_id, product_id, substitute_id, score FROM (
 SELECT o.branch_id, o.product_id, c.candidate_id AS substitute_id, c.score,
        row_number() OVER (PARTITION BY o.branch_id, o.product_id ORDER BY c.score DESC, c.candidate_id) AS k
-FROM stock o JOIN content_rank c ON c.product_id = o.product_id AND c.rank <= 10
+FROM stock o JOIN content_rank c ON c.product_id = o.product_id
 JOIN stock i ON i.branch_id = o.branch_id AND i.product_id = c.candidate_id AND i.stock > 0
 JOIN active a ON a.product_id = c.candidate_id
 WHERE o.stock = 0) WHERE k = 1""", "content_rank", "active", "stock"))
 def substitutes(spark, folder):
-    from ..operators import content
-
-    catalog = star.catalog(spark, folder)
-    return hybrid.substitutes(content.content_neighbours(catalog, 10), catalog, star.inventory(spark, folder)).drop("organization_id")
+    return hybrid.nearest_substitutes(star.catalog(spark, folder), star.inventory(spark, folder)).drop("organization_id")

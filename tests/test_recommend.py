@@ -148,6 +148,28 @@ def test_overlap_padding_and_ties(spark):
     assert [r.profile_id for r in got] == ["p3", "p4", "p5", "p0", "p1"]
 
 
+def test_pruned_overlap_with_a_hot_token(spark):
+    """A token that all share, ties by the dozen, weights that are not normalised, more candidates than queries."""
+    rng = random.Random(12)
+    vectors = {}
+    for i in range(150):
+        own = {t: rng.choice([0.5, 1.0, 2.0]) for t in rng.sample([f"t{j}" for j in range(30)], rng.randrange(4))}
+        vectors[f"p{i:03d}"] = {"hot": 1.0, **own}
+    vectors["p900"] = {"alone": 1.0}
+    frame = spark.createDataFrame([(p, list(v), list(v.values())) for p, v in vectors.items()], "profile_id string, tokens array<string>, weights array<double>")
+    asks = frame.where("profile_id >= 'p100'")
+    for k, tile, zero in ((1, 4, False), (7, 16, True), (200, 1024, True)):
+        got = defaultdict(list)
+        for r in overlap.top_profiles(asks, frame, k, keep_zero=zero, tile=tile).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.profile_id, r.score))
+        for q in [p for p in vectors if p >= "p100"]:
+            scores = {p: round(sum(w * v.get(t, 0.0) for t, w in vectors[q].items()), 9) for p, v in vectors.items()}
+            want = [(p, scores[p]) for p in sorted(scores, key=lambda p: (-scores[p], p)) if zero or scores[p] > 0][:k]
+            assert got[q] == want, (q, k)
+    assert overlap.top_profiles(asks.limit(0), frame, 3, keep_zero=True).collect() == []
+    assert overlap.top_profiles(asks, frame.limit(0), 3, keep_zero=True).collect() == []
+
+
 def sale_frame(spark, rows):
     return spark.createDataFrame(rows, "store_id string, product_id string, quantity int, transaction_date string").withColumn("transaction_date", F.to_date("transaction_date"))
 
@@ -341,3 +363,23 @@ def test_ranking_metrics_literal(spark):
     row = evaluation.ranking_metrics(rec, truth, catalog).first()
     assert (row.hit_rate_at_5, row.precision_at_5, row.recall_at_5, row.ndcg_at_5) == (1.0, 0.2, 1.0, 1.0)
     assert row.catalog_coverage == pytest.approx(2 / 3) and row.diversity_score == 0.5
+
+
+def test_substitute_far_down_the_list(spark):
+    """The nearest 14 products are out of stock; one branch has only a distant product, one has nothing alike."""
+    rows = [(f"L{i:02d}", f"Laptop model{i}", "Computers", "Acme", 1500.0, None, None, True) for i in range(15)]
+    rows += [("M", "Mouse laptop", "Parts", "Other", 9.0, None, None, True), ("X", "Sugar", "Food", "Sweet", 40.0, None, None, True),
+             ("OFF", "Laptop model0", "Computers", "Acme", 1500.0, None, None, False)]
+    stock = [("org", "B1", r[0], 0, True) for r in rows[:15]] + [("org", "B1", "M", 3, True), ("org", "B1", "OFF", 3, True), ("org", "B2", "L00", 0, True), ("org", "B2", "X", 5, True)]
+    inventory = spark.createDataFrame(stock, "organization_id string, branch_id string, product_id string, stock_quantity int, is_available boolean")
+    got = {(r.branch_id, r.product_id): r.substitute_id for r in hybrid.nearest_substitutes(catalog_frame(spark, *rows), inventory, 2, 3).collect()}
+    assert got == {("B1", f"L{i:02d}"): "M" for i in range(15)}
+
+
+def test_rules_of_a_large_itemset(spark):
+    """Forty items: a level is cut where the confidence fails, so no subsets are enumerated."""
+    big = [f"i{j:02d}" for j in range(40)]
+    sets = [(big, 10), *[([x for x in big if x != y], 10 if y == "i07" else 100) for y in big], *[([x], 100) for x in big]]
+    table = spark.createDataFrame([(i, n, len(i), n / 200) for i, n in sets], "items array<string>, n long, size int, support double")
+    got = [(r.antecedent, r.consequent, r.confidence) for r in rules.association_rules(table, 0.5, 1.0).collect() if len(r.antecedent) == 39]
+    assert got == [([x for x in big if x != "i07"], ["i07"], 1.0)]
