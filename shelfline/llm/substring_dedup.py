@@ -225,7 +225,7 @@ def deduplicate_spans(docs: DataFrame, id_column: str = "doc_id", text_column: s
 
 
 SQL = r"""
-WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS MATERIALIZED (
   SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (
     SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),

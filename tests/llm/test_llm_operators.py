@@ -566,3 +566,22 @@ def test_common_stream_is_longest():
 def test_long_texts_of_a_wrapper_differ_by_their_ends():
     a, b = ("w" * 200 + end for end in "xy")
     assert html_wrappers.shown(a) != html_wrappers.shown(b) and html_wrappers.shown("short") == "short"
+
+
+def test_span_sql_splits_at_every_white_space(spark, tmp_path):
+    """Vertical tabs, form feeds and carriage returns part words, in the SQL as in the operator; other controls do not."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(21)
+    shared = [sentence(rng, 1) for _ in range(70)]
+    gaps = [" ", "\t", "\n", "\v", "\f", "\r", "\r\n"]
+    texts = ["".join(w + rng.choice(gaps) for w in shared) + sentence(rng, 9) for _ in range(4)] + ["a\x1fb\x0ec " + " ".join(shared[:49]), "", None]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": "en", "source": "s", "n_chars": 1})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs)
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    wanted = con.execute(substring_dedup.SQL).df()[columns].sort_values("doc_id").values.tolist()
+    got = substring_dedup.op9_cover_substring_dedup(spark, str(tmp_path)).select(*columns).orderBy("doc_id").toPandas().values.tolist()
+    assert got == wanted and [r[1] for r in wanted[-3:]] == [50, 0, 0] and [r[2] for r in wanted[:4]] == [0, 70, 70, 70]
