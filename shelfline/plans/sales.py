@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import clean as ops
 from ..operators import features
 from ..session import cut_lineage
 from ..sources import star_schema as star
-from .registry import cte, query, rounded, sql
+from .registry import CTES, cte, query, rounded, sql
 
 cte("tx_base", """
 SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice_no,
@@ -67,6 +69,15 @@ WINDOW w AS (PARTITION BY product_id ORDER BY date),
        w28 AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
 WHERE demand_lag_14 IS NOT NULL AND rolling_mean_28 IS NOT NULL AND price_index_28 IS NOT NULL""", "panel")
 
+#: The same panel and features over all products: the CTEs above with every sold product in place of the best sellers.
+cte("sold", "SELECT DISTINCT product_id FROM clean", "clean")
+for _name in ("panel_daily", "panel_spine", "panel", "stock_features"):
+    _uses, _text = CTES[_name]
+    _wide = {used: {"top200": "sold"}.get(used, used if used == "clean" else f"{used}_all") for used in _uses}
+    for _used, _other in _wide.items():
+        _text = re.sub(rf"\b{_used}\b", _other, _text)
+    cte(f"{_name}_all", _text, *_wide.values())
+
 
 def clean(spark, folder, names=False):
     """Cleaned lines. The joined raw lines are written once: the caps and every user of the cleaned
@@ -133,3 +144,36 @@ def stock_features(spark, folder):
     df = features.stock_features(product_panel(spark, folder))
     df = df.drop("revenue", "orders", "customers", "description")
     return rounded(df, only=("rolling_mean_7", "rolling_mean_28", "rolling_std_7", "price_index_28"))
+
+
+@query("product_panel_profile", sql("""
+SELECT product_id, count(*) AS days, count(*) FILTER (WHERE orders > 0) AS sold_days, CAST(sum(quantity) AS DOUBLE) AS quantity,
+       CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(customers) AS BIGINT) AS customers, min(unit_price) AS lowest_price,
+       max(unit_price) AS highest_price, min(description) AS description
+FROM panel_all GROUP BY product_id""", "panel_all"))
+def product_panel_profile(spark, folder):
+    """The dense panel of all products, one row per product."""
+    panel = ops.daily_product_panel(clean(spark, folder, names=True))
+    return panel.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("days"), F.count(F.when(F.col("orders") > 0, 1)).alias("sold_days"),
+        F.sum("quantity").cast("double").alias("quantity"), F.sum("orders").cast("long").alias("orders"),
+        F.sum("customers").cast("long").alias("customers"), F.min("unit_price").alias("lowest_price"),
+        F.max("unit_price").alias("highest_price"), F.min("description").alias("description"),
+    )
+
+
+@query("stock_feature_profile", sql("""
+SELECT product_id, count(*) AS n_rows, CAST(sum(demand_lag_1) AS DOUBLE) AS lag_1, CAST(sum(demand_lag_7) AS DOUBLE) AS lag_7,
+       CAST(sum(demand_lag_14) AS DOUBLE) AS lag_14, round(max(rolling_mean_7), 6) AS top_mean_7, round(max(rolling_mean_28), 6) AS top_mean_28,
+       round(max(rolling_std_7), 6) AS top_std_7, round(max(price_index_28), 6) AS top_price_index,
+       CAST(sum(is_weekend) AS BIGINT) AS weekend_rows
+FROM stock_features_all GROUP BY product_id""", "stock_features_all"))
+def stock_feature_profile(spark, folder):
+    """Stock features of all products, one row per product; the features' partitioning by product serves the sums too."""
+    table = features.stock_features(ops.daily_product_panel(clean(spark, folder, names=True)))
+    return rounded(table.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"demand_lag_{n}").cast("double").alias(f"lag_{n}") for n in (1, 7, 14)],
+        F.max("rolling_mean_7").alias("top_mean_7"), F.max("rolling_mean_28").alias("top_mean_28"),
+        F.max("rolling_std_7").alias("top_std_7"), F.max("price_index_28").alias("top_price_index"),
+        F.sum("is_weekend").cast("long").alias("weekend_rows"),
+    ), only=("top_mean_7", "top_mean_28", "top_std_7", "top_price_index"))
