@@ -327,6 +327,37 @@ def request_sufficiency(spark, folder):
     return hybrid.request_status(requests, index(spark, folder, ())).select("request_id", "status")
 
 
+def _status_sql(context: str, lists: str, anywhere: str) -> str:
+    """Status of place requests: a list of the branch, or, where the context allows that, of all branches."""
+    return f"""SELECT '{context}' AS context, 'b' || branch AS request_id,
+  CASE WHEN (CASE WHEN branch = '' THEN {anywhere} ELSE branch END) IN (SELECT store_id FROM {lists}) THEN 'ok'
+       ELSE 'Insufficient historical data' END AS status
+FROM (SELECT n_name AS branch FROM nation UNION ALL SELECT '' FROM nation WHERE n_nationkey = 0)"""
+
+
+@query("answer_status", sql(f"""
+{_status_sql("BRANCH", "pop_lists", "'none'")}
+UNION ALL {_status_sql("TRENDING", "trend_lists", "'*'")}
+UNION ALL {_status_sql("COLD_START", "(SELECT store_id FROM pop_lists UNION ALL SELECT n_name FROM nation)", "'*'")}
+UNION ALL SELECT 'CUSTOMER', 'u' || c_custkey, CASE WHEN CAST(c_custkey AS VARCHAR) IN (SELECT customer_id FROM bk) THEN 'ok'
+  ELSE 'Insufficient historical data' END FROM customer""", "pop_lists", "trend_lists", "bk"))
+def answer_status(spark, folder):
+    """Customers, branches, trends and newcomers: whether anything answers them."""
+    customers = star.table(spark, folder, "customer").select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("request_id"), F.lit("CUSTOMER").alias("context"),
+        F.col("c_custkey").cast("string").alias("customer_id"), F.lit(None).cast("string").alias("branch_id"),
+        F.lit(star.ORGANIZATION).alias("organization_id"),
+    )
+    places = [place_requests(spark, folder, context) for context in ("BRANCH", "TRENDING", "COLD_START")]
+    requests = customers
+    for one in places:
+        requests = requests.unionByName(one, allowMissingColumns=True)
+    # a place asks in three contexts: the context is part of the request's name while it is answered
+    asked = requests.withColumn("request_id", F.concat_ws(":", "context", "request_id"))
+    found = hybrid.answer_status(asked, index(spark, folder, ("personalized", "trending", "branch")))
+    return found.select("context", F.substring_index("request_id", ":", -1).alias("request_id"), "status")
+
+
 cte("eval_items", """
 SELECT transaction_id || '|' || store_id || '|' || customer_id AS request_id, store_id, product_id FROM bk GROUP BY ALL""", "bk")
 cte("eval_seeds", """

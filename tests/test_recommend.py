@@ -323,6 +323,23 @@ def test_sufficiency(spark, shop):
     assert lists["cold"] == lists["popular"] and lists["cold"]
 
 
+def test_status_after_candidates(spark, shop):
+    index, _, _ = shop
+    asked = [("known", "CUSTOMER", "CUST-1", None, None, "org"), ("unknown", "CUSTOMER", "CUST-9", None, None, "org"),
+             ("about", "PRODUCT", None, "P_QUERY", "B1", "org"), ("nothing", "PRODUCT", None, "P_NONE", "B1", "org"),
+             ("no_cart", "CART_READY", None, None, "B1", "org"), ("cold", "COLD_START", None, None, None, "org"),
+             ("branch", "BRANCH", None, None, "B1", "org"), ("no_branch", "BRANCH", None, None, None, "org")]
+    frame = spark.createDataFrame(asked, REQUEST)
+    got = {r.request_id: r for r in hybrid.answer_status(frame, index).collect()}
+    assert len(got) == len(asked)
+    assert {k: r.status for k, r in got.items() if r.status != "ok"} == {
+        "unknown": hybrid.INSUFFICIENT, "no_branch": hybrid.INSUFFICIENT, "nothing": "empty", "no_cart": "empty"}
+    assert all((r.n_candidates > 0) == (r.status == "ok") for r in got.values())
+    with pytest.raises(ValueError, match="2 requests"):
+        hybrid.answer_status(frame, index, strict=True)
+    assert hybrid.answer_status(frame.where("request_id in ('cold', 'nothing')"), index, strict=True).count() == 2
+
+
 def test_serve_enriches_and_ignores_unknown_branches(spark, shop):
     index, catalog, stock = shop
     frame = spark.createDataFrame([("r", "PRODUCT", None, "P_QUERY", "NOWHERE", "org")], REQUEST)
