@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import decimal_sum, require_columns, to_number
@@ -103,36 +103,53 @@ def top_products(clean: DataFrame, n: int = 200) -> DataFrame:
 
 
 def daily_product_panel(
-    clean: DataFrame, top: int | None = None, fallback_price: float | None = None
+    clean: DataFrame, top: int | None = None, fallback_price: float | None = None, last_days: int | Column | None = None
 ) -> DataFrame:
     """Dense product-by-day panel of all products, or of the ``top`` ones, over the common date range.
 
-    Each product expands to its own date sequence (no product-by-date join), sales are joined on
-    the product key the expansion already has, and the two fills run over at most one row per day.
+    ``last_days`` keeps that many days at the end of the range, with the values they have in the whole panel.
     """
     # the optimizer knows the size of a limited list, and sends it to every task only if it is small
     chosen = clean if top is None else clean.join(top_products(clean, top).select("product_id"), "product_id", "left_semi")
     # at most one row per product and day, read for the range and for the join
-    daily = cut_lineage(daily_product_sales(chosen), "daily-sales")
+    return dense_panel(cut_lineage(daily_product_sales(chosen), "daily-sales"), fallback_price, last_days)
+
+
+def sales_calendar(daily: DataFrame) -> DataFrame:
+    """Every day from the first to the last one of daily sales."""
+    span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return span.select(F.explode(F.sequence("first", "last")).alias("date"))
+
+
+def dense_panel(
+    daily: DataFrame, fallback_price: float | None = None, last_days: int | Column | None = None
+) -> DataFrame:
+    """Daily sales of a product with a row for each day, prices and descriptions carried forward, then backward.
+
+    Each product expands to its own date sequence (no product-by-date join), sales are joined on the product key the
+    expansion already has. What a product had before the first day kept, and its very first value, come from one
+    aggregate, so a panel of the last days costs those days and not the whole history. A panel of no sales has no rows.
+    """
     span = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    spine = daily.select("product_id").distinct().select(
-        "product_id",
-        F.explode(
-            F.sequence(span.select("first").scalar(), span.select("last").scalar())
-        ).alias("date"),
+    first, last = span.select("first").scalar(), span.select("last").scalar()
+    if last_days is not None:
+        days = last_days if isinstance(last_days, Column) else F.lit(last_days)
+        first = F.greatest(first, F.date_sub(last, days.cast("int") - 1))
+    names = ("description", "unit_price")
+    known = daily.withColumn("_opens", first)
+    day = lambda name, when=None: F.when(  # noqa: E731 - a null day is passed over
+        F.col(name).isNotNull() if when is None else F.col(name).isNotNull() & when, F.col("date")
     )
-    panel = spine.join(daily, ["product_id", "date"], "left").na.fill(
-        0, ["quantity", "revenue", "orders", "customers"]
+    series = known.groupBy("product_id").agg(
+        F.first("_opens").alias("_opens"),
+        *[F.max_by(n, day(n, F.col("date") < F.col("_opens"))).alias(f"_open_{n}") for n in names],
+        *[F.min_by(n, day(n)).alias(f"_first_{n}") for n in names],
     )
-    ahead = Window.partitionBy("product_id").orderBy("date")
-    before = ahead.rowsBetween(Window.unboundedPreceding, 0)
-    # rows before the first sale are the only ones the forward fill leaves open, and their backward
-    # fill is the first value of the whole series: linear, unlike a frame that runs to the end
-    whole = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = {
-        name: F.coalesce(F.last(name, True).over(before), F.first(name, True).over(whole))
-        for name in ("description", "unit_price")
-    }
+    spine = series.withColumn("date", F.explode(F.sequence("_opens", last))).drop("_opens")
+    kept = daily if last_days is None else known.where(F.col("date") >= F.col("_opens")).drop("_opens")
+    panel = spine.join(kept, ["product_id", "date"], "left").na.fill(0, ["quantity", "revenue", "orders", "customers"])
+    before = Window.partitionBy("product_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = {n: F.coalesce(F.last(n, True).over(before), F.col(f"_open_{n}"), F.col(f"_first_{n}")) for n in names}
     if fallback_price is not None:
         filled["unit_price"] = F.coalesce(filled["unit_price"], F.lit(fallback_price))
-    return panel.withColumns(filled)
+    return panel.withColumns(filled).drop(*[f"_{kind}_{n}" for kind in ("open", "first") for n in names])

@@ -93,7 +93,7 @@ def unit_forecast(spark, folder):
 def recursive_curve(spark, folder, days=60):
     table = stock_table(spark, folder)
     fitted = models.fit_next_day_demand(table, max_iter=TREES, step=0.3)
-    panel = sales.product_panel(spark, folder)
+    panel = sales.product_panel(spark, folder, stock_plans.HISTORY)
     series = stock.history_series(panel, ["product_id"])
     latest = stock_plans.latest_features(spark, folder).select(
         "product_id", "unit_price", "price_index_28", "orders_lag_1", "customers_lag_1"

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ..operators import clean as ops
 from ..operators import features
 from ..session import cut_lineage
 from ..sources import star_schema as star
-from .registry import CTES, cte, query, rounded, sql
+from .registry import cte, query, rounded, sql
 
 cte("tx_base", """
 SELECT CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END || CAST(l_orderkey AS VARCHAR) AS invoice_no,
@@ -30,15 +28,16 @@ FROM valid, caps WHERE quantity <= quantity_cap AND unit_price <= price_cap""",
 cte("top200", """
 SELECT product_id, sum(quantity) AS quantity FROM clean GROUP BY product_id
 ORDER BY quantity DESC, product_id LIMIT 200""", "clean")
+cte("sold", "SELECT DISTINCT product_id FROM clean", "clean")
 cte("panel_daily", """
 SELECT date, clean.product_id, sum(clean.quantity) AS quantity, CAST(sum(CAST(revenue AS DECIMAL(28,6))) AS DOUBLE) AS revenue,
        count(DISTINCT invoice_no) AS orders, count(DISTINCT customer_id) AS customers,
        CAST(sum(CAST(revenue AS DECIMAL(28,6))) AS DOUBLE) / greatest(sum(clean.quantity), 1) AS unit_price, max(p_name) AS description
-FROM clean JOIN top200 ON clean.product_id = top200.product_id JOIN part ON p_partkey = l_partkey
-GROUP BY date, clean.product_id""", "clean", "top200")
+FROM clean JOIN part ON p_partkey = l_partkey
+GROUP BY date, clean.product_id""", "clean")
 cte("panel_spine", """
 SELECT product_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
-FROM top200, (SELECT min(date) AS lo, max(date) AS hi FROM panel_daily)""", "top200", "panel_daily")
+FROM sold, (SELECT min(date) AS lo, max(date) AS hi FROM panel_daily)""", "sold", "panel_daily")
 cte("panel", """
 SELECT s.product_id, s.date, coalesce(quantity, 0) AS quantity, coalesce(revenue, 0) AS revenue,
        coalesce(orders, 0) AS orders, coalesce(customers, 0) AS customers,
@@ -69,24 +68,15 @@ WINDOW w AS (PARTITION BY product_id ORDER BY date),
        w28 AS (PARTITION BY product_id ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING))
 WHERE demand_lag_14 IS NOT NULL AND rolling_mean_28 IS NOT NULL AND price_index_28 IS NOT NULL""", "panel")
 
-#: The same panel and features over all products: the CTEs above with every sold product in place of the best sellers.
-cte("sold", "SELECT DISTINCT product_id FROM clean", "clean")
-for _name in ("panel_daily", "panel_spine", "panel", "stock_features"):
-    _uses, _text = CTES[_name]
-    _wide = {used: {"top200": "sold"}.get(used, used if used == "clean" else f"{used}_all") for used in _uses}
-    for _used, _other in _wide.items():
-        _text = re.sub(rf"\b{_used}\b", _other, _text)
-    cte(f"{_name}_all", _text, *_wide.values())
-
-
 def clean(spark, folder, names=False):
     """Cleaned lines. The joined raw lines are written once: the caps and every user of the cleaned
     table read that copy instead of repeating the join."""
     return ops.clean_transactions(cut_lineage(star.transactions(spark, folder, names), "transactions"))
 
 
-def product_panel(spark, folder):
-    return ops.daily_product_panel(clean(spark, folder, names=True), top=200)
+def product_panel(spark, folder, last_days=None):
+    """Dense panel of all products; of their last days where no more is read."""
+    return ops.daily_product_panel(clean(spark, folder, names=True), last_days=last_days)
 
 
 @query("clean_transactions", sql("""
@@ -150,11 +140,10 @@ def stock_features(spark, folder):
 SELECT product_id, count(*) AS days, count(*) FILTER (WHERE orders > 0) AS sold_days, CAST(sum(quantity) AS DOUBLE) AS quantity,
        CAST(sum(orders) AS BIGINT) AS orders, CAST(sum(customers) AS BIGINT) AS customers, min(unit_price) AS lowest_price,
        max(unit_price) AS highest_price, min(description) AS description
-FROM panel_all GROUP BY product_id""", "panel_all"))
+FROM panel GROUP BY product_id""", "panel"))
 def product_panel_profile(spark, folder):
     """The dense panel of all products, one row per product."""
-    panel = ops.daily_product_panel(clean(spark, folder, names=True))
-    return panel.groupBy("product_id").agg(
+    return product_panel(spark, folder).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("days"), F.count(F.when(F.col("orders") > 0, 1)).alias("sold_days"),
         F.sum("quantity").cast("double").alias("quantity"), F.sum("orders").cast("long").alias("orders"),
         F.sum("customers").cast("long").alias("customers"), F.min("unit_price").alias("lowest_price"),
@@ -167,10 +156,10 @@ SELECT product_id, count(*) AS n_rows, CAST(sum(demand_lag_1) AS DOUBLE) AS lag_
        CAST(sum(demand_lag_14) AS DOUBLE) AS lag_14, round(max(rolling_mean_7), 6) AS top_mean_7, round(max(rolling_mean_28), 6) AS top_mean_28,
        round(max(rolling_std_7), 6) AS top_std_7, round(max(price_index_28), 6) AS top_price_index,
        CAST(sum(is_weekend) AS BIGINT) AS weekend_rows
-FROM stock_features_all GROUP BY product_id""", "stock_features_all"))
+FROM stock_features GROUP BY product_id""", "stock_features"))
 def stock_feature_profile(spark, folder):
     """Stock features of all products, one row per product; the features' partitioning by product serves the sums too."""
-    table = features.stock_features(ops.daily_product_panel(clean(spark, folder, names=True)))
+    table = features.stock_features(product_panel(spark, folder))
     return rounded(table.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"demand_lag_{n}").cast("double").alias(f"lag_{n}") for n in (1, 7, 14)],
         F.max("rolling_mean_7").alias("top_mean_7"), F.max("rolling_mean_28").alias("top_mean_28"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import clean as clean_ops
 from ..operators import features, metrics, splits
+from ..session import cut_lineage
 from . import panels, sales
 from .registry import cte, query, rounded, sql
 
@@ -93,9 +95,11 @@ SELECT horizon_days, round(avg(abs(f - a)), 6) AS mae, round(sqrt(avg((f - a) **
   count(*) AS origins, round(avg(f - a), 6) AS bias, round(sum(a), 4) AS actual_total, round(sum(f), 4) AS predicted_total FROM cases GROUP BY horizon_days""",
     "panel").replace(")\n\n, cuts", ")\n, cuts"))
 def direct_horizon_backtest(spark, folder):
-    panel = sales.product_panel(spark, folder)
-    cuts = splits.fraction_cutoffs(panel)
-    start = F.date_add(cuts.select("train_end").scalar(), 1)
-    end = panel.agg(F.max("date")).scalar()
+    daily = cut_lineage(clean_ops.daily_product_sales(sales.clean(spark, folder, names=True)), "daily-sales")
+    days = clean_ops.sales_calendar(daily)
+    end = days.agg(F.max("date")).scalar()
+    start = F.date_add(splits.fraction_cutoffs(days).select("train_end").scalar(), 1)
+    # origins begin after the training days; each reads the 28 days before it
+    panel = clean_ops.dense_panel(daily, last_days=F.date_diff(end, start) + 1 + 28)
     out = metrics.direct_horizon_backtest(panel, start, end)
     return rounded(out, 6, actual_total=4, predicted_total=4)
