@@ -120,3 +120,15 @@ def first_stores(df: DataFrame, n: int, column: str = "store_id") -> DataFrame:
     """Rows of the ``n`` smallest store ids (a sampling operator; the id list has ``n`` rows)."""
     chosen = df.select(column).distinct().orderBy(column).limit(n)
     return df.join(chosen, column, "left_semi")
+
+
+def chronological_split(
+    df: DataFrame, validation_start: date | str, test_start: date | str, column: str = "date"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(training, validation, test) rows by two first days; rows without a date are in none of them.
+
+    The parts are filters on the rows, so a part costs no shuffle and files can be skipped by date.
+    """
+    day = F.col(column).cast("date")
+    opens, closes = (F.to_date(F.lit(str(d))) for d in (validation_start, test_start))
+    return df.where(day < opens), df.where((day >= opens) & (day < closes)), df.where((day >= opens) & (day >= closes))

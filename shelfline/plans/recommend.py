@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, hybrid, neighbours, personal, popularity
+from ..operators import evaluation, hybrid, neighbours, personal, popularity, splits
 from ..session import cut_lineage
 from ..sources import star_schema as star
 from . import baskets as basket_plans
-from .registry import cte, query, rounded, sql
+from .registry import cte, derived_ctes, query, renamed, rounded, sql
 
 SUPPORT, CONFIDENCE, LIFT = 0.0002, 0.05, 1.0
 basket_plans.itemset_ctes("prod", "items", SUPPORT, 3)
@@ -156,12 +156,18 @@ WEIGHTS_SQL = ", ".join(
 REASON_SQL = ", ".join(f"('{s}', '{r[0]}')" for s, r in hybrid.REASONS.items())
 
 
-def hybrid_sql(requests: str, check_stock: bool = True) -> str:
-    body = f"""
+def hybrid_sql(requests: str, learned: dict[str, str] | None = None) -> str:
+    """SQL of the answers to requests; ``learned`` names other table expressions to learn from, by those of all baskets."""
+    learned = learned or {}
+    body = renamed(HYBRID_BODY, learned).replace("<requests>", requests)
+    return sql("", *[learned.get(n, n) for n in HYBRID_CTES], "branch_of").rstrip() + body
+
+
+HYBRID_BODY = f"""
 , weights(context, association, compatibility, similarity, personalized, trending, branch) AS (VALUES {WEIGHTS_SQL})
 , reasons(signal, reason_code) AS (VALUES {REASON_SQL})
 , stores AS (SELECT DISTINCT store_id FROM bk)
-, asked AS (SELECT r.*, r.branch_id IN (SELECT store_id FROM stores) AS known FROM ({requests}) r)
+, asked AS (SELECT r.*, r.branch_id IN (SELECT store_id FROM stores) AS known FROM (<requests>) r)
 , req AS (SELECT a.*, w.* EXCLUDE (context) FROM asked a JOIN weights w USING (context)
    WHERE NOT (context = 'CUSTOMER' AND (customer_id IS NULL OR customer_id NOT IN (SELECT customer_id FROM bk)))
      AND NOT (context = 'BRANCH' AND NOT coalesce(known, false))
@@ -208,8 +214,6 @@ def hybrid_sql(requests: str, check_stock: bool = True) -> str:
 SELECT request_id, context, CAST(rank AS INTEGER) AS rank, product_id, score, reason_code, stock_quantity FROM (
 SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM scored) JOIN reasons USING (signal)
 WHERE rank <= 10"""
-    head = sql("", *HYBRID_CTES, "branch_of")
-    return head.rstrip() + body
 
 
 def product_requests(spark, folder):
@@ -358,8 +362,18 @@ def answer_status(spark, folder):
     return found.select("context", F.substring_index("request_id", ":", -1).alias("request_id"), "status")
 
 
+# evaluation: indexes learn from the first 70 % of the days, answers are judged on the baskets after 85 %
+cte("basket_parts", """
+SELECT max(CASE WHEN p = greatest(1, CAST(floor(n * 0.7) AS INTEGER)) THEN date END) AS train_end,
+       max(CASE WHEN p = greatest(2, CAST(floor(n * (0.7 + 0.15)) AS INTEGER)) THEN date END) AS validation_end
+FROM (SELECT transaction_date AS date, row_number() OVER (ORDER BY transaction_date) AS p, count(*) OVER () AS n
+      FROM (SELECT DISTINCT transaction_date FROM bk))""", "bk")
+cte("bk_train", "SELECT bk.* FROM bk, basket_parts WHERE transaction_date <= train_end", "bk", "basket_parts")
+cte("bk_test", "SELECT bk.* FROM bk, basket_parts WHERE transaction_date > validation_end", "bk", "basket_parts")
+derived_ctes("bk", "bk_train", "_train", "prod_rules", "sim", "personal_lists", "trend_lists", "pop_lists")
+LEARNED = {n: f"{n}_train" for n in ("bk", "prod_rules", "sim", "personal_lists", "trend_lists", "pop_lists")}
 cte("eval_items", """
-SELECT transaction_id || '|' || store_id || '|' || customer_id AS request_id, store_id, product_id FROM bk GROUP BY ALL""", "bk")
+SELECT transaction_id || '|' || store_id || '|' || customer_id AS request_id, store_id, product_id FROM bk_test GROUP BY ALL""", "bk_test")
 cte("eval_seeds", """
 SELECT request_id, min(product_id) AS seed, any_value(store_id) AS store_id FROM eval_items GROUP BY request_id HAVING count(*) >= 2""", "eval_items")
 cte("eval_truth", """
@@ -395,45 +409,68 @@ def eval_sql(recs: str) -> str:
    FROM (SELECT request_id, count(*) AS n_truth FROM eval_truth GROUP BY request_id) LEFT JOIN counted USING (request_id) GROUP BY request_id, n_truth)
 SELECT {', '.join(final)}, round(avg(d), 9) AS diversity_score, count(*) AS n_requests,
    round((SELECT count(DISTINCT product_id) FROM recs) / CAST((SELECT count(*) FROM active) AS DOUBLE), 9) AS catalog_coverage FROM per""",
-        "eval_truth", "eval_seeds", "trend_lists", "pop_lists", "active").replace("\n\n, recs", "\n, recs").replace(")\n\n,", ")\n,")
+        "eval_truth", "eval_seeds", "trend_lists_train", "pop_lists_train", "active").replace("\n\n, recs", "\n, recs").replace(")\n\n,", ")\n,")
 
 
-def _baseline(spark, folder, lists, everywhere):
+def basket_parts(spark, folder):
+    """(training baskets, test baskets, first day after training): both parts are filters on one written table."""
     baskets = cut_lineage(star.baskets(spark, folder), "baskets")
-    requests, truth = evaluation.evaluation_requests(baskets)
-    recs = evaluation.list_recommender(requests, lists, 10, everywhere)
+    # the row of cut-offs is one line of two days
+    ends = splits.fraction_cutoffs(baskets, column="transaction_date").select(
+        F.date_add("train_end", 1).alias("validation_start"), F.date_add("validation_end", 1).alias("test_start")
+    ).first()
+    train, _, test = splits.chronological_split(baskets, ends.validation_start, ends.test_start, "transaction_date")
+    return train, test, ends.validation_start
+
+
+def _baseline(spark, folder, lists, everywhere):
+    train, test, _ = basket_parts(spark, folder)
+    requests, truth = evaluation.evaluation_requests(test)
+    recs = evaluation.list_recommender(requests, lists(train), 10, everywhere)
     return rounded(evaluation.ranking_metrics(recs, truth, star.catalog(spark, folder)), 9)
 
 
-@query("baseline_popular_eval", eval_sql(list_recs("pop_lists", "'*'")))
+def _units(baskets):
+    return cut_lineage(popularity.item_units(baskets), "units")
+
+
+@query("baseline_popular_eval", eval_sql(list_recs("pop_lists_train", "'*'")))
 def baseline_popular_eval(spark, folder):
-    return _baseline(spark, folder, popularity.org_popularity_top(units(spark, folder), 25), True)
+    return _baseline(spark, folder, lambda train: popularity.org_popularity_top(_units(train), 25), True)
 
 
-@query("baseline_branch_eval", eval_sql(list_recs("pop_lists", "s.store_id")))
+@query("baseline_branch_eval", eval_sql(list_recs("pop_lists_train", "s.store_id")))
 def baseline_branch_eval(spark, folder):
-    return _baseline(spark, folder, popularity.branch_popularity_top(units(spark, folder), 25, 20.0), False)
+    return _baseline(spark, folder, lambda train: popularity.branch_popularity_top(_units(train), 25, 20.0), False)
 
 
-@query("baseline_trending_eval", eval_sql(list_recs("trend_lists", "'*'")))
+@query("baseline_trending_eval", eval_sql(list_recs("trend_lists_train", "'*'")))
 def baseline_trending_eval(spark, folder):
-    return _baseline(spark, folder, popularity.trending_top(sales(spark, folder), 25), True)
+    def trending(train):
+        return popularity.trending_top(cut_lineage(popularity.windowed_sales(train), "sales"), 25)
+
+    return _baseline(spark, folder, trending, True)
 
 
 EVAL_REQUESTS = """SELECT request_id, 'PRODUCT' AS context, any_value(customer_id) AS customer_id, [seed] AS product_ids, any_value(s.store_id) AS branch_id
-FROM eval_seeds s JOIN (SELECT DISTINCT transaction_id || '|' || store_id || '|' || customer_id AS request_id, customer_id FROM bk) USING (request_id)
+FROM eval_seeds s JOIN (SELECT DISTINCT transaction_id || '|' || store_id || '|' || customer_id AS request_id, customer_id FROM bk_test) USING (request_id)
 GROUP BY request_id, seed"""
 
 
-@query("ranking_metrics", eval_sql(f"SELECT request_id, product_id, rank FROM (\n{hybrid_sql(EVAL_REQUESTS)}\n)"))
+@query("ranking_metrics", eval_sql(f"SELECT request_id, product_id, rank FROM (\n{hybrid_sql(EVAL_REQUESTS, LEARNED)}\n)"))
 def ranking_metrics(spark, folder):
-    """Hybrid PRODUCT answers for every product, judged on all multi-item baskets of its seed."""
-    requests, truth = evaluation.evaluation_requests(cut_lineage(star.baskets(spark, folder), "baskets"))
+    """Hybrid PRODUCT answers of an index of the training baskets, judged on the multi-item baskets of the test days."""
+    train, test, day = basket_parts(spark, folder)
+    requests, truth = evaluation.evaluation_requests(test)
     asked = requests.select(
         "request_id", F.lit("PRODUCT").alias("context"), "product_id", "branch_id", "customer_id",
         F.lit(star.ORGANIZATION).alias("organization_id"),
     )
-    answers = hybrid.recommend_batch(asked, index(spark, folder, hybrid.SIGNALS), star.catalog(spark, folder), star.inventory(spark, folder))
+    learned = hybrid.build_index(
+        train, star.customer_preferences(spark, folder, until=day), star.catalog(spark, folder),
+        min_support=SUPPORT, min_confidence=CONFIDENCE, min_lift=LIFT,
+    )
+    answers = hybrid.recommend_batch(asked, learned, star.catalog(spark, folder), star.inventory(spark, folder))
     recs = cut_lineage(answers.select("request_id", "product_id", "rank"), "answers")
     return rounded(evaluation.ranking_metrics(recs, truth, star.catalog(spark, folder)), 9)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,35 @@ def sql(body: str, *names: str) -> str:
     return f"WITH {head}\n{body}" if head else body
 
 
+def derived_ctes(source: str, replacement: str, suffix: str, *names: str) -> None:
+    """Copies of table expressions, and of what they read, with ``replacement`` in the place of ``source``.
+
+    A copy is called like its original with the suffix; expressions that do not read ``source`` are shared. A copy's
+    text renames only what the original reads, so columns of the same name as some other expression stay.
+    """
+    def reads_source(name: str) -> bool:
+        return name == source or any(reads_source(read) for read in CTES[name][0])
+
+    def copy(name: str) -> str:
+        if name == source:
+            return replacement
+        if not reads_source(name):
+            return name
+        if name + suffix not in CTES:
+            reads, text = CTES[name]
+            new = {read: copy(read) for read in reads}
+            cte(name + suffix, renamed(text, new), *new.values())
+        return name + suffix
+
+    for name in names:
+        copy(name)
+
+
+def renamed(text: str, names: dict[str, str]) -> str:
+    """SQL with whole words replaced."""
+    return re.sub(r"\b\w+\b", lambda word: names.get(word[0], word[0]), text)
+
+
 def rounded(df: DataFrame, digits: int = 6, only: tuple[str, ...] = (), **per_column: int) -> DataFrame:
     """Round the double columns (or some of them), so both engines print the same value."""
     def place(name: str) -> Column:

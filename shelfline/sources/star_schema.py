@@ -135,9 +135,12 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def customer_preferences(spark: SparkSession, folder: str, top: int = 2) -> DataFrame:
-    """Each customer's most bought categories and brands, by units, then name."""
-    lines = sale_lines(spark, folder).join(
+def customer_preferences(spark: SparkSession, folder: str, top: int = 2, until=None) -> DataFrame:
+    """Each customer's most bought categories and brands, by units, then name; of orders before a day, if one is given."""
+    sold = sale_lines(spark, folder)
+    if until is not None:
+        sold = sold.where(F.col("o_orderdate").cast("date") < F.to_date(F.lit(str(until))))
+    lines = sold.join(
         table(spark, folder, "part").select("p_partkey", "p_type", "p_brand"),
         F.col("l_partkey") == F.col("p_partkey"),
     )

@@ -246,3 +246,34 @@ def test_scalar_helpers(spark):
     ).first()
     assert row.tiled == [3.0, 1.0, 2.0, 3.0, 1.0, 2.0, 3.0] and row.led == [1.0, 1.0, 1.0, 2.0]
     assert row.grid == [1.0, 1.25, 1.5, 1.75, 2.0] and row.none is None
+
+
+def test_panel_of_the_last_days_is_the_end_of_the_whole_panel(spark):
+    """Opening prices and descriptions come from before the kept days, from after them, or (all null) from nowhere."""
+    day = lambda i: date(2024, 1, 1) + timedelta(i)
+    rows = [
+        ("early", day(0), 2.0, 8.0, "old"), ("early", day(3), 1.0, None, "older"), ("late", day(8), 1.0, 5.0, None),
+        ("late", day(9), 1.0, 6.0, "seen"), ("both", day(1), 1.0, 3.0, None), ("both", day(7), 4.0, 4.0, "b"), ("none", day(2), 1.0, None, None),
+    ]
+    daily = spark.createDataFrame(
+        [(p, d, q, None if u is None else q * u, 1, 1, t, u) for p, d, q, u, t in rows],
+        "product_id string, date date, quantity double, revenue double, orders long, customers long, description string, unit_price double",
+    )
+    names = ["product_id", "date", "quantity", "revenue", "orders", "customers", "description", "unit_price"]
+    take = lambda df: sorted(map(tuple, df.select(names).collect()), key=lambda r: r[:2])
+    whole = take(clean.dense_panel(daily))
+    assert len(whole) == 40 and {r[7] for r in whole if r[0] == "late" and r[1] < day(8)} == {5.0}
+    assert {r[7] for r in whole if r[0] == "none"} == {None} and {r[7] for r in whole if r[0] == "early"} == {8.0}
+    for days in (1, 3, 10, 99):
+        assert take(clean.dense_panel(daily, last_days=days)) == [r for r in whole if r[1] > day(9 - days)]
+    assert clean.dense_panel(daily.limit(0), last_days=3).isEmpty()
+    assert {r[7] for r in take(clean.dense_panel(daily, 0.5)) if r[0] == "none"} == {0.5}
+    assert [r.date for r in clean.sales_calendar(daily).orderBy("date").collect()] == [day(i) for i in range(10)]
+
+
+def test_chronological_split_by_two_days(spark):
+    day = lambda i: date(2024, 1, i)
+    df = spark.createDataFrame([(day(i),) for i in (1, 5, 6, 9, 10, 11)] + [(None,)], "date date")
+    parts = splits.chronological_split(df, day(6), day(10))
+    assert [[r.date.day for r in part.orderBy("date").collect()] for part in parts] == [[1, 5], [6, 9], [10, 11]]
+    assert [part.count() for part in splits.chronological_split(df, day(9), day(2))] == [3, 0, 3]
