@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clean as clean_ops
 from ..operators import features, metrics, models, pricing, recursion, stock
 from ..session import cut_lineage
 from ..sources import star_schema as star
@@ -15,9 +16,14 @@ from .registry import query, rounded
 TREES = 10
 
 
+#: Best sellers the demand model is fitted on: its training parameter. What it forecasts and prices is all products.
+TRAINING_PRODUCTS = 200
+
+
 def stock_table(spark, folder):
     """Training table, written once: every boosting round and metric pass reads the copy."""
-    return cut_lineage(features.stock_features(sales.product_panel(spark, folder)), "stock-features")
+    panel = clean_ops.daily_product_panel(sales.clean(spark, folder, names=True), top=TRAINING_PRODUCTS)
+    return cut_lineage(features.stock_features(panel), "stock-features")
 
 
 def unit_table(spark, folder):
@@ -105,7 +111,7 @@ def recursive_curve(spark, folder, days=60):
 
 @query("recursive_forecast")
 def recursive_forecast(spark, folder):
-    """60 recursive days per product, calibrated to the direct totals."""
+    """60 recursive days of every product, calibrated to the direct totals."""
     _, curve = recursive_curve(spark, folder)
     return rounded(curve)
 
