@@ -400,3 +400,35 @@ def test_rules_of_a_large_itemset(spark):
     table = spark.createDataFrame([(i, n, len(i), n / 200) for i, n in sets], "items array<string>, n long, size int, support double")
     got = [(r.antecedent, r.consequent, r.confidence) for r in rules.association_rules(table, 0.5, 1.0).collect() if len(r.antecedent) == 39]
     assert got == [([x for x in big if x != "i07"], ["i07"], 1.0)]
+
+
+def test_first_unsold_opens_few_blocks(spark, monkeypatch):
+    """Only the blocks with the first unsold products are opened; the lists stay those of brute force."""
+    monkeypatch.setattr(popularity, "BLOCK", 4)
+    opened, write = [], popularity.cut_lineage
+
+    def watched(df, name="table"):
+        table = write(df, name)
+        if name == "opened-blocks":
+            opened.append(table.count())
+        return table
+
+    monkeypatch.setattr(popularity, "cut_lineage", watched)
+    # "wide" sold the 30 best products of 40, "narrow" one of them, "all" every one
+    best = [f"p{i:02d}" for i in range(40)]
+    units = [("wide", p, 100.0 - i) for i, p in enumerate(best[:30])] + [("narrow", "p05", 1.0)]
+    units += [("all", p, 500.0 - 10 * i) for i, p in enumerate(best)]
+    frame = spark.createDataFrame(units, "store_id string, product_id string, n double")
+    got = defaultdict(list)
+    for r in popularity.branch_popularity_top(frame, 35, 2.0).orderBy("store_id", "rank").collect():
+        got[r.store_id].append(r.product_id)
+    total, everywhere = sum(n for *_, n in units), Counter()
+    for _, p, n in units:
+        everywhere[p] += n
+    for store in ("wide", "narrow", "all"):
+        mine = {p: n for s, p, n in units if s == store}
+        raw = {p: (mine.get(p, 0.0) + 2.0 * everywhere[p] / total) / (sum(mine.values()) + 2.0) for p in best}
+        assert got[store] == sorted(best, key=lambda p: (-raw[p], p))[:35]
+    popularity.branch_popularity_top(frame, 2, 2.0).count()
+    # two unsold products lie in one block of "wide" (after 7 sold-out ones) and in one of "narrow"
+    assert opened[1] == 2
