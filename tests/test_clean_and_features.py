@@ -277,3 +277,17 @@ def test_chronological_split_by_two_days(spark):
     parts = splits.chronological_split(df, day(6), day(10))
     assert [[r.date.day for r in part.orderBy("date").collect()] for part in parts] == [[1, 5], [6, 9], [10, 11]]
     assert [part.count() for part in splits.chronological_split(df, day(9), day(2))] == [3, 0, 3]
+
+
+def test_a_panel_is_spread_by_its_rows(spark, monkeypatch):
+    """A few sales make long series: the panel has tasks for its rows, however small the sales are."""
+    monkeypatch.setattr(clean, "PANEL_TASK_ROWS", 100)
+    data = [(date(2026, 1, 1) + timedelta(d), f"p{i}", 1.0, 2.0, 1, 1, "x", 2.0) for i in range(6) for d in (0, 99)]
+    daily = spark.createDataFrame(
+        data, "date date, product_id string, quantity double, revenue double, orders long, customers long, "
+        "description string, unit_price double",
+    )
+    panel = clean.dense_panel(daily)
+    assert panel.count() == 600 and panel.rdd.getNumPartitions() == 6
+    assert clean.dense_panel(daily, last_days=10).rdd.getNumPartitions() == 1
+    assert clean.dense_panel(daily.limit(0)).count() == 0
