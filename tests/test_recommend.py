@@ -432,3 +432,16 @@ def test_first_unsold_opens_few_blocks(spark, monkeypatch):
     popularity.branch_popularity_top(frame, 2, 2.0).count()
     # two unsold products lie in one block of "wide" (after 7 sold-out ones) and in one of "narrow"
     assert opened[1] == 2
+
+
+def test_the_catalogue_is_not_sent_to_every_task(spark):
+    """A catalogue looks small by its files and is large in memory: personal scores merge it."""
+    frame = lambda kind, row: spark.createDataFrame([row], kind)
+    scores = personal.neighbour_scores(
+        frame("customer_id string, product_id string, quantity int", ("c", "a", 2)),
+        frame("product_id string, neighbour_id string, score double", ("a", "b", 0.5)),
+        frame("product_id string, category_level_1 string, brand string", ("b", "x", "y")),
+    )
+    assert [tuple(r) for r in scores.collect()] == [("c", "b", 1.0)]
+    semi = [x for x in scores._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in x]
+    assert semi and all("SortMergeJoin" in x for x in semi)
