@@ -112,11 +112,33 @@ def direct_horizon_backtest(
     order = Window.partitionBy(*keys).orderBy("date")
     start = start if isinstance(start, Column) else F.to_date(F.lit(str(start)))
     end = end if isinstance(end, Column) else F.to_date(F.lit(str(end)))
-    history = F.avg("quantity").over(order.rowsBetween(-28, -1))
-    sums = {f"_s{h}": F.sum("quantity").over(order.rowsBetween(0, h - 1)) for h in horizons}
+    # sums of stretches are differences of running sums: a day costs the same whatever the horizons
+    sofar = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = {"_sum": F.coalesce("quantity", F.lit(0)), "_n": F.col("quantity").isNotNull().cast("long")}
     windowed = panel.select("date", *keys, "quantity").withColumns(
-        {"row": F.row_number().over(order), "_mean": history, **sums}
+        {
+            "row": F.row_number().over(order),
+            **{n: F.sum(c).over(sofar) for n, c in running.items()},
+            **{f"{n}_all": F.sum(c).over(whole) for n, c in running.items()},
+        }
     )
+
+    def until(name: str, days: int) -> Column:
+        """The running value ``days`` rows on, or back; a series' own end and start bound it."""
+        if days >= 0:
+            return F.coalesce(F.lead(name, days).over(order), F.col(f"{name}_all"))
+        return F.coalesce(F.lag(name, -days).over(order), F.lit(0))
+
+    def stretch(first: int, last: int) -> tuple[Column, Column]:
+        return tuple(until(name, last) - until(name, first - 1) for name in running)
+
+    past, days = stretch(-28, -1)
+    columns = {"_mean": F.when(days > 0, past / days)}
+    for h in horizons:
+        total, known = stretch(0, h - 1)
+        columns[f"_s{h}"] = F.when(known > 0, total)
+    windowed = windowed.withColumns(columns)
     cases = F.array(
         *[
             F.struct(
