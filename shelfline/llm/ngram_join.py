@@ -9,10 +9,12 @@ Weak parts (fewer than two shingles) say little, and unrelated texts agree in th
 than needed; as long as a text has no more weak parts than those to spare, it can leave them out and still meets every
 partner: what an untouched part holds is the same on both sides, so it is weak for both or for neither. Of its strong
 parts as many meet the partner as it has left to spare, and one: a text of which fewer meet anything has no partner.
+So a text also leaves out its fullest parts, as many as it has left to spare: in one order of all parts, the first that two
+linked texts share is among those that both keep. Parts with the same texts in them are compared once.
 
 Groups of near copies are not expanded into pairs: every part compares its members with a pivot, the text with most
 company first, linked texts become one component, and only members of different components are compared in full, in
-blocks. Only pairs with near sketches leave a task and are verified.
+blocks. Only pairs with near sketches leave a task; the sets of their texts are made again from the texts, and compared.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ class Sets:
     def sketches(self, take: np.ndarray, shift: int, percent: int):
         """Sketches of the rows ``take`` in their own band (``shift`` 0) or the next (1).
 
-        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 4 bits of each part).
+        Returns (bucket, parts, first part of each, hash of each part, shingles in each part, 8 bits of each part).
         """
         ends = band_ends(int(self.sizes.max()) * 100 // percent + 2 if len(self.sizes) else 1, percent)
         bucket = np.searchsorted(ends, self.sizes[take]) + shift
@@ -118,7 +120,7 @@ class Sets:
             runs = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             held[slot[runs]] = np.bitwise_xor.reduceat(flips, runs)
             counts[slot[runs]] = np.diff(np.append(runs, len(slot)))
-            one = np.uint8(1) << (bits & np.uint64(3)).astype(np.uint8)
+            one = np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8)
             short[slot[runs]] = np.bitwise_xor.reduceat(one, runs)
         return bucket, parts, first, held, counts, short
 
@@ -167,12 +169,6 @@ def _parts(width: int, percent: int):
     return run
 
 
-def _halved(short: np.ndarray) -> bytes:
-    """Two parts of 4 bits in a byte."""
-    even = np.append(short, np.uint8(0)) if len(short) % 2 else short
-    return (even[0::2] | even[1::2] << np.uint8(4)).tobytes()
-
-
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for their way through a shuffle."""
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -197,8 +193,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
 
-def _blobs(width: int, percent: int):
-    """Sets and bit sketches (4 bits a part) of candidate texts."""
+def _sketched(width: int, percent: int):
+    """Bit sketches (8 bits a part) of the texts that meet others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _unpacked(batches):
@@ -207,12 +203,26 @@ def _blobs(width: int, percent: int):
             if not len(take):
                 continue
             made = [sets.sketches(take, shift, percent) for shift in (0, 1)]
-            blob = [sets.values[sets.starts[i]: sets.starts[i] + sets.sizes[i]].tobytes() for i in take]
-            columns = [piece.column("id").take(pa.array(take)), pa.array(sets.sizes[take]), pa.array(blob, pa.binary()),
+            keys = sets.keys()
+            columns = [piece.column("id").take(pa.array(take)), pa.array(sets.sizes[take]), pa.array([keys[i] for i in take], pa.binary()),
                        pa.array(made[0][0].astype(np.int32))]
             for _, parts, first, _, _, short in made:
-                columns.append(pa.array([_halved(short[a: a + n]) for a, n in zip(first, parts, strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "members", "band", "own", "next"])
+                columns.append(pa.array([short[a: a + n].tobytes() for a, n in zip(first, parts, strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "set_key", "band", "own", "next"])
+
+    return run
+
+
+def _members(width: int):
+    """The sets of candidate texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _unpacked(batches):
+            sets = Sets(piece.column("text"), width)
+            take = np.flatnonzero(sets.sizes)
+            if len(take):
+                blob = [sets.values[sets.starts[i]: sets.starts[i] + sets.sizes[i]].tobytes() for i in take]
+                yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(take)), pa.array(blob, pa.binary())], ["id", "members"])
 
     return run
 
@@ -234,11 +244,16 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the bound."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the bound; ``texts`` has (id, packed text)."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = cut_lineage(texts.join(paired, "id", "left_semi").mapInArrow(_members(width), "id long, members binary"), "members")
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("members_a"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("members_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long").distinct()
+    linked = pairs.join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long").distinct()
+    links = cut_lineage(linked, "links")
+    discard(sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -303,11 +318,17 @@ def _compare(percent: int, star: bool):
 def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, star: bool) -> DataFrame:
     """Candidate pairs between different components, from all parts that still hold several; written."""
     placed = met.join(comps, "id")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-    open_keys = cut_lineage(open_keys.where("low < high").select(
+    bucket = F.shiftright("slot", NEED_BITS)
+    # 128 bits of the texts in a part; sums, since an id may stand in a part twice
+    own = [F.sum(half(F.xxhash64("id", F.lit(seed)))).alias(f"sum_{seed}{i}") for seed in (1, 2)
+           for i, half in enumerate((lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32)))]
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"),
+                                          F.min(bucket).alias("bucket"), *own).where("low < high")
+    # of the parts of a bucket with the same texts one is enough
+    alike = ["bucket", "members", *(f"sum_{seed}{i}" for seed in (1, 2) for i in (0, 1))]
+    open_keys = cut_lineage(open_keys.groupBy(*alike).agg(F.min("key").alias("key")).select(
         "key", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
     bins = max(1, (open_keys.agg(F.sum("members")).first()[0] or 0) // BIN_ROWS)
-    bucket = F.shiftright("slot", NEED_BITS)
     sketch = F.when(F.col("band") == bucket, F.col("own")).when(F.col("band") + 1 == bucket, F.col("next"))
     rows = placed.join(open_keys, "key").join(sets.select("id", "size", "band", "own", "next"), "id").select(
         "key", "slot", "id", "comp", "weight", "size", sketch.alias("sketch"), "blocks",
@@ -332,6 +353,14 @@ def _met_enough(met: DataFrame) -> DataFrame:
     return enough.select("key", "slot", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).where("n > 1")
 
 
+def _rarest(met: DataFrame) -> DataFrame:
+    """Rows without the fullest parts of each text, one less than it shares with any partner."""
+    fullest = Window.partitionBy("id", F.shiftright("slot", NEED_BITS)).orderBy(F.desc("n"), F.desc("key"))
+    kept = met.withColumn("place", F.row_number().over(fullest)).where(
+        F.col("place") >= F.col("slot").bitwiseAND(F.lit((1 << NEED_BITS) - 1)))
+    return kept.select("key", "slot", "id", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n")).where("n > 1")
+
+
 def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id``.
@@ -356,14 +385,17 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     met = _met_enough(met)
     # what has lost its company leaves too, and so may others
     again = cut_lineage(met, "met")
-    met = cut_lineage(_met_enough(again.drop("n")), "parts")
-    discard(again)
+    del parts, met
     release(spark)  # the parts themselves, by far the largest shuffle
+    met = cut_lineage(_rarest(_met_enough(again.drop("n"))), "parts")
+    discard(again)
+    release(spark)
     wanted = met.select("id").distinct()
-    texts = known.mapInArrow(_packed, "id long, text binary").join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(_blobs(width, percent), "id long, size long, members binary, band int, own binary, next binary")
+    texts = known.mapInArrow(_packed, "id long, text binary")
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(
+        _sketched(width, percent), "id long, size long, set_key binary, band int, own binary, next binary")
     if not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        sets = sets.dropDuplicates(["id", "members"])
+        sets = sets.dropDuplicates(["id", "set_key"])
     sets = cut_lineage(sets, "sets")
     release(spark)
 
@@ -372,8 +404,9 @@ def similarity_classes(docs: DataFrame, id_column: str = "doc_id", text_column:
     for turn in range(PIVOT_ROUNDS + 1):
         # stars join what is alike at the cost of one comparison a member; the last turn leaves no pair out
         pairs = _candidates(met, comps, sets, percent, star=turn < PIVOT_ROUNDS)
-        comps = _merged(comps, verified(pairs, sets, percent))
-        discard(pairs)
+        links = verified(pairs, texts, width, percent)
+        comps = _merged(comps, links)
+        discard(pairs, links)
         release(spark)
     discard(met, sets)
 

@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -260,6 +261,23 @@ def test_sketches_never_exceed_the_difference(size):
     assert (a[3] != b[3]).sum() <= 2 * changed
 
 
+def test_texts_that_meet_often_are_compared_once(spark, monkeypatch):
+    """Texts of many common parts: one part stands for all with the same texts, and each text leaves its fullest parts out."""
+    need = lambda n: (7 << ngram_join.NEED_BITS) | n
+    rows = [(key, need(3), i) for key in range(12) for i in (1, 2)] + [(20, need(3), i) for i in (1, 2, 3, 4)]
+    met = spark.createDataFrame(rows, "key long, slot int, id long").withColumn("n", F.when(F.col("key") == 20, 4).otherwise(2))
+    left = ngram_join._rarest(met)
+    kept = {(r.key, r.id) for r in left.collect()}
+    assert kept == {(key, i) for key in range(11) for i in (1, 2)}  # 20 and 11, the last of the others, go
+    sets = spark.createDataFrame([(1, 9, 7, b"\0" * 9, None), (2, 9, 7, b"\0" * 9, None)], "id long, size long, band int, own binary, next binary")
+    comps = spark.createDataFrame([(1, 1, 1), (2, 2, 1)], "id long, comp long, weight long")
+    with monkeypatch.context() as patch:
+        patch.setattr(ngram_join, "_compare", lambda *_: lambda pdf: pd.DataFrame({"a": [len(pdf)], "b": [0]}))
+        seen = [r.a for r in ngram_join._candidates(left, comps, sets, 85, star=True).collect()]
+    assert seen == [2]
+    assert [tuple(r) for r in ngram_join._candidates(left, comps, sets, 85, star=False).collect()] == [(1, 2)]
+
+
 def test_token_pieces_equal_the_tokenizer(docs, nothing, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
