@@ -445,3 +445,19 @@ def test_the_catalogue_is_not_sent_to_every_task(spark):
     assert [tuple(r) for r in scores.collect()] == [("c", "b", 1.0)]
     semi = [x for x in scores._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in x]
     assert semi and all("SortMergeJoin" in x for x in semi)
+
+
+def test_items_take_their_profiles_lists_without_a_sort(spark):
+    """Repeated items, and items of several profiles, as a sort of all pairs has them; items of one profile are not sorted."""
+    members = spark.createDataFrame(
+        [("a", "1"), ("a", "2"), ("a", "2"), ("a", "3"), ("b", "4"), ("b", "1"), ("c", None), (None, "5")], "profile_id string, item_id string")
+    best = spark.createDataFrame(
+        [("a", "a", 2.0), ("a", "b", 1.0), ("b", "b", 3.0), ("b", "a", 1.0), ("c", "c", 1.0)], "query_id string, profile_id string, score double")
+    got = overlap.expand_profiles(best, members, 3)
+    rows = sorted(tuple(r) for r in got.select("product_id", "rank", "candidate_id", "score").collect())
+    assert rows == [
+        ("1", 1, "4", 3.0), ("1", 2, "2", 2.0), ("1", 3, "2", 2.0),
+        ("2", 1, "1", 2.0), ("2", 2, "1", 2.0), ("2", 3, "3", 2.0),
+        ("3", 1, "1", 2.0), ("3", 2, "2", 2.0), ("3", 3, "2", 2.0),
+        ("4", 1, "1", 3.0), ("4", 2, "1", 1.0), ("4", 3, "2", 1.0)]
+    assert "posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
