@@ -280,11 +280,15 @@ def components(links: DataFrame) -> DataFrame:
 def _compare(percent: int, star: bool):
     """Candidate pairs of the parts in a bin, by sketch distance.
 
+    Rows with a sketch hold that of a text in a bucket, once for all parts of the bin.
     ``star``: a member is compared with one pivot after another until it is near one. Else all members of different
     components are compared.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sketched = pdf["sketch"].notna()
+        texts = pdf.loc[sketched, ["id", "bucket", "size", "sketch"]]
+        pdf = pdf.loc[~sketched, ["key", "id", "comp", "weight", "bucket", "i", "j"]].merge(texts, on=["id", "bucket"])
         pdf = pdf.sort_values(["key", "i", "j", "weight", "id"], ascending=[True, True, True, False, True])
         keys, ids, comps, sizes = (pdf[c].to_numpy() for c in ("key", "id", "comp", "size"))
         tiles = pdf[["i", "j"]].to_numpy()
@@ -323,24 +327,36 @@ def _candidates(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int,
     own = [F.sum(half(F.xxhash64("id", F.lit(seed)))).alias(f"sum_{seed}{i}") for seed in (1, 2)
            for i, half in enumerate((lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32)))]
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"),
-                                          F.min(bucket).alias("bucket"), *own).where("low < high")
+                                          F.min(bucket).alias("bucket"), F.min("id").alias("first"), *own).where("low < high")
     # of the parts of a bucket with the same texts one is enough
     alike = ["bucket", "members", *(f"sum_{seed}{i}" for seed in (1, 2) for i in (0, 1))]
-    open_keys = cut_lineage(open_keys.groupBy(*alike).agg(F.min("key").alias("key")).select(
-        "key", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
+    open_keys = open_keys.groupBy(*alike).agg(F.min("key").alias("key"), F.min("first").alias("first"))
+    # parts of the same group lie together, so its sketches travel once; the parts of a large group are dealt to several bins
+    groups = open_keys.groupBy("first").agg(F.ceil(F.sum("members") / BIN_ROWS).cast("int").alias("pieces"))
+    open_keys = cut_lineage(open_keys.join(groups, "first").select(
+        "key", "first", "members", F.pmod(F.xxhash64("key"), F.col("pieces")).alias("piece"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "open")
     bins = max(1, (open_keys.agg(F.sum("members")).first()[0] or 0) // BIN_ROWS)
-    sketch = F.when(F.col("band") == bucket, F.col("own")).when(F.col("band") + 1 == bucket, F.col("next"))
-    rows = placed.join(open_keys, "key").join(sets.select("id", "size", "band", "own", "next"), "id").select(
-        "key", "slot", "id", "comp", "weight", "size", sketch.alias("sketch"), "blocks",
-        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).where("sketch is not null")
+    rows = placed.join(open_keys, "key").select(
+        "key", "id", "comp", "weight", bucket.alias("bucket"), "first", "piece", "blocks",
+        F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     if star:  # each block has its own pivots
         tiles = rows.withColumns({"i": F.col("block"), "j": F.col("block")})
     else:
         other = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         tiles = other.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     # small parts share a bin, and blocks of a large part fall into different bins
-    dealt = tiles.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    found = cut_lineage(dealt.groupBy("bin").applyInPandas(_compare(percent, star), "a long, b long").distinct(), "pairs")
+    place = F.when(F.col("blocks") > 1, F.xxhash64("key", "i", "j")).otherwise(F.xxhash64("first", "piece"))
+    dealt = cut_lineage(tiles.select("key", "id", "comp", "weight", "bucket", "i", "j", F.pmod(place, F.lit(bins)).alias("bin")), "dealt")
+    sketch = F.when(F.col("band") == F.col("bucket"), F.col("own")).when(F.col("band") + 1 == F.col("bucket"), F.col("next"))
+    sent = dealt.select("bin", "id", "bucket").distinct().join(sets.select("id", "size", "band", "own", "next"), "id").select(
+        "bin", "id", "bucket", "size", sketch.alias("sketch")).where("sketch is not null")
+    # numbers, not nulls, on both sides: pandas would take long keys with nulls for floats
+    zero, small = F.lit(0).cast("long"), F.lit(0)
+    met_in = dealt.withColumns({"size": zero, "sketch": F.lit(None).cast("binary")}).unionByName(
+        sent.withColumns({"key": zero, "comp": zero, "weight": zero, "i": small, "j": small}))
+    found = cut_lineage(met_in.groupBy("bin").applyInPandas(_compare(percent, star), "a long, b long").distinct(), "pairs")
+    discard(dealt)
     discard(open_keys)
     return found
 

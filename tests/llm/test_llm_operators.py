@@ -272,9 +272,9 @@ def test_texts_that_meet_often_are_compared_once(spark, monkeypatch):
     sets = spark.createDataFrame([(1, 9, 7, b"\0" * 9, None), (2, 9, 7, b"\0" * 9, None)], "id long, size long, band int, own binary, next binary")
     comps = spark.createDataFrame([(1, 1, 1), (2, 2, 1)], "id long, comp long, weight long")
     with monkeypatch.context() as patch:
-        patch.setattr(ngram_join, "_compare", lambda *_: lambda pdf: pd.DataFrame({"a": [len(pdf)], "b": [0]}))
-        seen = [r.a for r in ngram_join._candidates(left, comps, sets, 85, star=True).collect()]
-    assert seen == [2]
+        patch.setattr(ngram_join, "_compare", lambda *_: lambda pdf: pd.DataFrame({"a": [pdf["sketch"].isna().sum()], "b": [pdf["sketch"].count()]}))
+        seen = [tuple(r) for r in ngram_join._candidates(left, comps, sets, 85, star=True).collect()]
+    assert seen == [(2, 2)]
     assert [tuple(r) for r in ngram_join._candidates(left, comps, sets, 85, star=False).collect()] == [(1, 2)]
 
 
