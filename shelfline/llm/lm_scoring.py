@@ -13,6 +13,7 @@ arrays, and gets probabilities back.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, release
 from . import textvec
 from .registry import query, table
 
@@ -32,6 +33,10 @@ from .registry import query, table
 STRENGTH, SETTLE, BURN_IN, SAMPLES, TOTAL_PASSES = 1.0, 2, 2, 3, 2
 #: Tokens for each part of the vocabulary.
 PART_TOKENS = 2_500_000
+#: Characters of text that are numbered at once, and that make a chunk; items of a part that are scored at once.
+PIECE_CHARS, CHUNK_CHARS, BLOCK_ITEMS = 2_000_000, 24_000_000, 500_000
+#: Parts are built in so many turns, each with a share of the shuffle's disk.
+BUILD_TURNS = 3
 #: A section seats its first customers one by one, later ones in groups that grow with it.
 ONE_BY_ONE = 32
 #: Hash of the end of a text, no word holds a line feed; it is also the context of first words.
@@ -70,8 +75,74 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([int(n[learn].sum())]), pa.array([int(n.sum())])], ["learned", "tokens"])
 
 
+def _items(piece: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Hashes of a piece's words; its different (word, context) items by numbers of these, with training counts; and its texts:
+    id, whether it is missing, training, number of different items, these items and how often each stands there."""
+    offsets, flat = textvec.words(piece.column("text"))
+    codes, distinct = textvec.coded(flat)
+    words = np.append(textvec.hashes(distinct), END_HASH)
+    n, docs, width = np.diff(offsets), piece.num_rows, len(words)
+    tokens = np.insert(codes, offsets[1:], len(distinct))
+    del codes, flat, distinct
+    context = np.empty(len(tokens), np.int64)
+    context[1:] = tokens[:-1]
+    context[offsets[:-1] + np.arange(docs)] = width - 1
+    items, inverse = np.unique(tokens * width + context, return_inverse=True)
+    del tokens, context
+    doc = np.repeat(np.arange(docs), n + 1)
+    learn = piece.column("learn").to_numpy(zero_copy_only=False)
+    learned = np.bincount(inverse, weights=learn[doc], minlength=len(items)).astype(np.uint32)
+    lines, repeats = np.unique(doc * len(items) + inverse, return_counts=True)
+    ids = piece.column("id")
+    return (words, (items // width).astype(np.uint32), (items % width).astype(np.uint32), learned,
+            ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
+            learn.astype(np.uint8), np.bincount(lines // len(items), minlength=docs).astype(np.uint32),
+            (lines % len(items)).astype(np.uint32), repeats.astype(np.uint32))
+
+
+def _merged(chunk: int, found: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk from its pieces: the items they share stand there once."""
+    words, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    part_of = _dealt(words, parts)
+    order = np.argsort(part_of, kind="stable")
+    width, rank = len(words), np.empty(len(words), np.int64)
+    rank[order] = np.arange(width)
+    ranks = np.split(rank[at], np.cumsum([len(f[0]) for f in found])[:-1])
+    keys = np.concatenate([r[f[1]] * width + r[f[2]] for r, f in zip(ranks, found, strict=True)])
+    by_key = np.argsort(keys)
+    keys = keys[by_key]
+    new = np.append(True, keys[1:] != keys[:-1])
+    inverse = np.empty(len(keys), np.int32)
+    inverse[by_key] = np.cumsum(new, dtype=np.int32) - 1
+    learned = np.add.reduceat(np.concatenate([f[3] for f in found])[by_key], np.flatnonzero(new))
+    items = keys[new]
+    del keys, by_key, new, ranks, at, rank
+    rows, start = [], 0
+    for at_piece, (_, item, _, _, ids, missing, learn, per_doc, held, repeats) in enumerate(found):
+        line = np.repeat(np.arange(len(per_doc)), per_doc) * len(items) + inverse[start:start + len(item)][held]
+        start += len(item)
+        in_order = np.argsort(line)
+        in_doc = line[in_order] % len(items)
+        steps = np.diff(in_doc, prepend=0)
+        first = np.cumsum(per_doc) - per_doc
+        steps[first] = in_doc[first]
+        rows.append((-1 - at_piece, pack(ids, missing, learn, per_doc, steps.astype(np.uint32), repeats[in_order])))
+    del inverse
+    word_rank, item_context = (items // width).astype(np.int32), (items % width).astype(np.int32)
+    words, item_part = words[order], part_of[order].astype(np.int32)[word_rank]
+    del items
+    for part in np.unique(item_part):
+        own = slice(*np.searchsorted(item_part, [part, part + 1]))
+        ranks, held = np.unique(word_rank[own], return_counts=True)
+        used, number = np.unique(item_context[own], return_inverse=True)
+        rows.append((int(part), pack(words[ranks], held.astype(np.uint32), words[used], number.astype(np.uint32), learned[own])))
+    for part, blob in rows:  # a batch each, since Spark holds a batch beside its heap
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())],
+                                         ["chunk", "part", "blob"])
+
+
 def _chunks(parts: int):
-    """Per chunk one row with its texts (part -1) and one for each part with items: word, context, training count.
+    """Per chunk a row for each piece of its texts (part -1 and less) and one for each part with items: word, context, count.
 
     Items of a chunk are numbered by part, word and context; texts are sorted lists of item numbers with counts.
     A part gets the hashes of its words and contexts, and items refer to contexts by number.
@@ -80,45 +151,15 @@ def _chunks(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows are written once and read from there, so the number of a chunk need not come out the same again
         chunk = TaskContext.get().partitionId() << 32
-        for piece in textvec.pieces(batches):
-            offsets, flat = textvec.words(piece.column("text"))
-            codes, distinct = textvec.coded(flat)
-            words = np.append(textvec.hashes(distinct), END_HASH)
-            n, docs = np.diff(offsets), piece.num_rows
-            tokens = np.insert(codes, offsets[1:], len(distinct))
-            doc = np.repeat(np.arange(docs), n + 1)
-            context = np.empty(len(tokens), np.int64)
-            context[1:] = tokens[:-1]
-            context[offsets[:-1] + np.arange(docs)] = len(distinct)
-            part_of = _dealt(words, parts)
-            order = np.lexsort((words, part_of))
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            width = len(words)
-            items, inverse = np.unique(rank[tokens] * width + rank[context], return_inverse=True)
-            learn = piece.column("learn").to_numpy(zero_copy_only=False)
-            learned = np.bincount(inverse, weights=learn[doc], minlength=len(items)).astype(np.uint32)
-            lines, repeats = np.unique(doc * len(items) + inverse, return_counts=True)
-            line_doc = lines // len(items)
-            in_doc = lines % len(items)
-            per_doc = np.bincount(line_doc, minlength=docs).astype(np.uint32)
-            steps = np.diff(in_doc, prepend=0)
-            first = np.cumsum(per_doc) - per_doc
-            steps[first] = in_doc[first]
-            ids = piece.column("id")
-            rows = [(-1, pack(ids.fill_null(0).to_numpy().astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8),
-                              learn.astype(np.uint8), per_doc, steps.astype(np.uint32), repeats.astype(np.uint32)))]
-            word_rank, item_context = items // width, items % width
-            item_part = part_of[order][word_rank]
-            for part in np.unique(item_part):
-                own = slice(*np.searchsorted(item_part, [part, part + 1]))
-                ranks, held = np.unique(word_rank[own], return_counts=True)
-                used, number = np.unique(item_context[own], return_inverse=True)
-                rows.append((int(part), pack(words[order][ranks], held.astype(np.uint32), words[order][used], number.astype(np.uint32), learned[own])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                 pa.array([r[1] for r in rows], pa.binary())], ["chunk", "part", "blob"])
-            chunk += 1
+        found, held = [], 0
+        for piece in textvec.pieces(batches, most=PIECE_CHARS):
+            held += piece.column("text").nbytes
+            found.append(_items(piece))
+            if held >= CHUNK_CHARS:
+                yield from _merged(chunk, found, parts)
+                chunk, found, held = chunk + 1, [], 0
+        if found:
+            yield from _merged(chunk, found, parts)
 
     return run
 
@@ -132,9 +173,10 @@ def _build(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         got = [unpack(b) for b in pdf["blob"]]
-        n_words, n_names, n_items = (np.array([len(g[i]) for g in got], np.int64) for i in (0, 2, 3))
-        words, held, names, numbers, learned = (np.concatenate(x) for x in zip(*got, strict=True))
+        n_names, n_items = (np.array([len(g[i]) for g in got], np.int64) for i in (2, 3))
+        fields = [list(x) for x in zip(*got, strict=True)]
         del got
+        words, held, names, numbers, learned = (np.concatenate(fields.pop(0)) for _ in range(5))
         numbers += np.repeat((np.cumsum(n_names) - n_names).astype(np.uint32), n_items)
         names, at = np.unique(names, return_inverse=True)
         order = np.argsort(_dealt(names, parts), kind="stable")
@@ -142,18 +184,23 @@ def _build(parts: int):
         rank[order] = np.arange(1, len(order) + 1)
         contexts = rank[at][numbers]
         del at, numbers, order, rank
-        asked = pack(pdf["chunk"].to_numpy(np.int64), n_words, n_items, words, held, contexts)
         width = len(names) + 1
         vocabulary, code = np.unique(words, return_inverse=True)
-        key = (np.repeat(code, held) * width + contexts)[learned > 0]
-        learned = learned[learned > 0]
-        del words, held, contexts, code
+        del words
+        seen = np.flatnonzero(learned)
+        key = np.repeat(code.astype(np.int32), held)[seen].astype(np.int64) * width + contexts[seen]
+        learned = learned[seen]
+        del seen
         order = np.argsort(key)
         key, learned = key[order], learned[order]
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         keys, counts = key[starts], np.add.reduceat(learned.astype(np.int64), starts) if len(key) else np.zeros(0, np.int64)
         del order, key, learned, starts
         known, per_word = np.unique(keys // width, return_counts=True)
+        place = np.full(len(vocabulary), -1, np.int32)
+        place[known] = np.arange(len(known))
+        asked = pack(pdf["chunk"].to_numpy(np.int64), n_items, place[code], held, contexts)
+        del code, held, contexts, place
         of_word = np.add.reduceat(counts, np.cumsum(per_word) - per_word) if len(known) else counts
         context = keys % width
         model = pack(vocabulary[known], per_word.astype(np.uint32), context.astype(np.uint32), counts)
@@ -322,18 +369,19 @@ def _answer(state: dict, roots: list[dict]):
                 s = _local(state, totals)
                 width, customers = len(s["tables"]), s["customers"]
                 own = Part(blob, s, 0)
-                chunks, n_words, n_items, words, held, contexts = unpack(asked)
+                chunks, n_items, places, held, contexts = unpack(asked)
                 total = np.bincount(own.word, weights=own.counts, minlength=len(own.words)).astype(np.int64)
-                at = np.searchsorted(own.words, words)
-                at = np.where((at < len(own.words)) & (own.words[np.minimum(at, max(len(own.words) - 1, 0))] == words)
-                              if len(own.words) else np.zeros(len(words), bool), at, -1)
-                word, context = np.repeat(at, held), contexts.astype(np.int64)
+                word = np.repeat(places, held)
+                blocks = [slice(a, a + BLOCK_ITEMS) for a in range(0, len(word), BLOCK_ITEMS)]
                 keys = own.word * width + own.numbers
-                key = word * width + context
-                below = ~s["rare"][context]
-                pair = np.searchsorted(keys, key)
-                hit = (word >= 0) & (pair < len(keys)) & below
-                hit[hit] = keys[pair[hit]] == key[hit]
+                pair = np.empty(len(word), np.int32)
+                for b in blocks:
+                    key = word[b].astype(np.int64) * width + contexts[b]
+                    spot = np.searchsorted(keys, key)
+                    hit = (word[b] >= 0) & (spot < len(keys)) & ~s["rare"][contexts[b]]
+                    hit[hit] = keys[spot[hit]] == key[hit]
+                    pair[b] = np.where(hit, spot, -1)
+                del keys
                 drawn = unpack(seatings)
                 average = np.zeros(len(word))
                 for turn, root in enumerate(roots):
@@ -341,38 +389,43 @@ def _answer(state: dict, roots: list[dict]):
                     own.tables, own.root_tables = drawn[2 * turn].astype(np.float64), drawn[2 * turn + 1].astype(np.float64)
                     own._root()
                     share = own.opening() / (s["strength"] + customers)
-                    p = np.append(own.word_probability(own.root, own.root_tables),
-                                  own.word_probability(np.zeros(1), np.zeros(1)))[word]
-                    seen = np.zeros(len(word))
-                    seen[hit] = ((own.counts - s["d1"] * own.tables)[pair[hit]]) / (s["strength"] + customers[context[hit]])
-                    average += np.where(below, seen + share[context] * p, p)
-                logs = np.log10(average / len(roots)).astype(np.float32)
-                counts = np.where(word >= 0, np.append(total, 0)[word], 0)
-                ends = np.cumsum(n_items)
+                    seated = own.counts - s["d1"] * own.tables
+                    by_word = np.append(own.word_probability(own.root, own.root_tables),
+                                        own.word_probability(np.zeros(1), np.zeros(1)))
+                    for b in blocks:
+                        p, hit, context = by_word[word[b]], pair[b] >= 0, contexts[b]
+                        seen = np.zeros(len(p))
+                        seen[hit] = seated[pair[b][hit]] / (s["strength"] + customers[context[hit]])
+                        average[b] += np.where(s["rare"][context], p, seen + share[context] * p)
+                of_word, ends = np.append(total, 0), np.cumsum(n_items)
                 yield pd.DataFrame({
                     "chunk": chunks, "part": np.full(len(chunks), part, np.int32),
-                    "blob": [pack(logs[a:b], counts[a:b]) for a, b in zip(ends - n_items, ends, strict=True)]})
+                    "blob": [pack(np.log10(average[a:b] / len(roots)).astype(np.float32), of_word[word[a:b]])
+                             for a, b in zip(ends - n_items, ends, strict=True)]})
 
     return run
 
 
 def _score(state: dict):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        ids, missing, learn, per_doc, steps, repeats = unpack(pdf["blob"].iloc[0])
-        logs, counts = (np.concatenate(x) for x in zip(*[unpack(b) for b in pdf["blob"].iloc[1:]], strict=True))
+        texts, answers = pdf["blob"][pdf["part"] < 0], pdf[pdf["part"] >= 0].sort_values("part")["blob"]
+        logs, counts = (np.concatenate(x) for x in zip(*[unpack(b) for b in answers], strict=True))
+        return pd.concat([of_piece(b, logs, counts) for b in texts])
+
+    def of_piece(blob: bytes, logs: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        ids, missing, learn, per_doc, steps, repeats = unpack(blob)
         first = np.cumsum(per_doc, dtype=np.int64) - per_doc
         run_up = np.cumsum(steps, dtype=np.int64)
         doc = np.repeat(np.arange(len(per_doc)), per_doc)
         item = run_up - np.where(first > 0, run_up[np.maximum(first - 1, 0)], 0)[doc]
-        base = np.log10((counts + 0.5) / (state["tokens"] + 0.5 * (state["words"] + 1)))
+        base = np.log10((counts[item] + 0.5) / (state["tokens"] + 0.5 * (state["words"] + 1)))
         total = lambda v: np.add.reduceat(v * repeats, first)
         n = total(np.ones(len(item), np.int64))
-        score = total(logs.astype(np.float64)[item])
+        score = total(logs[item].astype(np.float64))
         return pd.DataFrame({
             "id": pd.arrays.IntegerArray(ids.copy(), missing > 0),
             "held_out": learn == 0, "n_tokens": n, "n_known": total((counts[item] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(n), state["tokens"]), "base_score": total(base[item]), "score": score,
+            "train_tokens": np.full(len(n), state["tokens"]), "base_score": total(base), "score": score,
             "perplexity": np.power(10.0, np.minimum(-score / n, 300.0))})
 
     return run
@@ -396,7 +449,14 @@ def score_texts(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_
     learned, tokens = totals["learned"] or 0, totals["tokens"] or 0
     parts = max(1, -(-tokens // PART_TOKENS))
     chunks = cut_lineage(rows.mapInArrow(_chunks(parts), "chunk long, part int, blob binary"), "chunks")
-    built = cut_lineage(chunks.where("part >= 0").groupBy("part").applyInPandas(_build(parts), BUILT), "built")
+    built, turns = [], min(parts, BUILD_TURNS)
+    for turn in range(turns):  # what one turn shuffles goes before the next
+        own = chunks.where((F.col("part") >= 0) & (F.col("part") % turns == turn))
+        built.append(cut_lineage(own.groupBy("part").applyInPandas(_build(parts), BUILT), "built"))
+        release(docs.sparkSession)
+    built = functools.reduce(DataFrame.union, built)
+    texts = cut_lineage(chunks.where("part < 0"), "texts")
+    discard(chunks)
     sums = built.agg(*[F.sum(c).alias(c) for c in ("tokens", "words", "pairs", "word_1", "word_2", "pair_1", "pair_2")]).first()
 
     def discount(once: int | None, twice: int | None) -> float:
@@ -411,13 +471,15 @@ def score_texts(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_
         last = turn == TOTAL_PASSES
         burn_in, samples = (BURN_IN, SAMPLES) if last else (SETTLE - 1, 1)
         known = built.select("part", "model", "names", "share").join(context_totals(drawn, parts), "part")
-        drawn = cut_lineage(known.mapInPandas(_draw({**state, "pass": turn}, burn_in, samples), DRAWN), "totals")
+        before, drawn = drawn, cut_lineage(known.mapInPandas(_draw({**state, "pass": turn}, burn_in, samples), DRAWN), "totals")
+        discard(before)
+        release(docs.sparkSession)
         found = drawn.agg(*[F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c in ("root", "root_tables") for i in range(samples)]).first()
         roots = [{c: found[f"{c}_{i}"] or 0.0 for c in ("root", "root_tables")} for i in range(samples)]
         state |= roots[-1]
     answers = built.select("part", "asked", "model").join(drawn.select("part", "seatings"), "part").join(
         context_totals(drawn, parts), "part").mapInPandas(_answer(state, roots), "chunk long, part int, blob binary")
-    scored = chunks.where("part < 0").union(answers).groupBy("chunk").applyInPandas(
+    scored = texts.union(answers).groupBy("chunk").applyInPandas(
         _score(state), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scored.withColumnRenamed("id", id_column)
 

@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # Split a hot join key even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows on their way to Python wait outside the heap, a batch at a time; 10,000 long texts are too large a batch.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "6000000",
 }
 
 #: Fallback folders of local sessions, by application.

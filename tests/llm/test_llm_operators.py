@@ -603,3 +603,35 @@ def test_span_sql_splits_at_every_white_space(spark, tmp_path):
     wanted = con.execute(substring_dedup.SQL).df()[columns].sort_values("doc_id").values.tolist()
     got = substring_dedup.op9_cover_substring_dedup(spark, str(tmp_path)).select(*columns).orderBy("doc_id").toPandas().values.tolist()
     assert got == wanted and [r[1] for r in wanted[-3:]] == [50, 0, 0] and [r[2] for r in wanted[:4]] == [0, 70, 70, 70]
+
+
+def test_pieces_of_a_chunk_share_items(monkeypatch):
+    """Batches of one task make one chunk, in which an item stands once; texts find their items again; rows go one a batch."""
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 3})()))
+    texts = ["b a b a", "", "a b c", "c c a b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i, None], pa.int64()), pa.array([True, False]), pa.array(texts[2 * i:2 * i + 2])],
+                                          ["id", "learn", "text"]) for i in range(2)]
+    out = list(lm_scoring._chunks(2)(iter(batches)))
+    assert [b.num_rows for b in out] == [1] * len(out)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert {r["chunk"] for r in rows} == {3 << 32}
+    assert [r["part"] for r in rows if r["part"] < 0] == [-1, -2]
+    name = {h: w for w, h in zip("abc", lm_scoring.textvec.hashes(pa.array(list("abc"))).tolist())} | {int(lm_scoring.END_HASH): "$"}
+    items, learned = [], []
+    for row in sorted((r for r in rows if r["part"] >= 0), key=lambda r: r["part"]):
+        words, held, contexts, number, counts = lm_scoring.unpack(row["blob"])
+        items += [(name[int(w)], name[int(contexts[c])]) for w, c in zip(np.repeat(words, held), number)]
+        learned += counts.tolist()
+    assert len(items) == len(set(items))
+    trained = Counter(pair for t in texts[::2] for w in [[*t.split(), "$"]] for pair in zip(w, ["$", *w[:-1]]))
+    assert {i: n for i, n in zip(items, learned) if n} == trained
+    got = []
+    for row in (r for r in rows if r["part"] < 0):
+        ids, missing, learn, per_doc, steps, repeats = lm_scoring.unpack(row["blob"])
+        start = 0
+        for n in per_doc:
+            held = np.cumsum(steps[start:start + n])
+            got.append(sorted(items[i] for i, r in zip(held, repeats[start:start + n]) for _ in range(r)))
+            start += n
+    wanted = [[*t.split(), "$"] for t in texts]
+    assert got == [sorted(zip(w, ["$", *w[:-1]])) for w in wanted]
