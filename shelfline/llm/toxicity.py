@@ -148,7 +148,7 @@ def _describe(lexicon: dict[str, float], carried: list[str]):
             values = [hits, hits / safe, strongest, total(weights), total(column(1)), total(hit & (second[high] > second[low])),
                       total(column(2)) / safe, total(column(3)) / chars, total(column(4)) / safe, total(column(5)) / safe,
                       total(column(6)) / safe, total(column(8) > 0), np.log1p(n)]
-            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in carried], *[pa.array(v, pa.float64()) for v in map(np.float64, values)]],
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in carried], *[pa.array(np.asarray(v, np.float64)) for v in values]],
                                              [*carried, *FEATURES])
 
     return run

@@ -424,6 +424,15 @@ def test_toxicity(spark, nothing):
     assert toxicity.unmasked("id!ot") == "idiot" and toxicity.unmasked("plain.") == ""
 
 
+def test_toxicity_describes_a_text_alone():
+    rows = [("a fine day for you", 1), ("you id!ot !!", 2), ("", 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([k for _, k in rows])], ["text", "key"])
+    run = toxicity._describe({"=idiot": 2.0, "^fine": 0.5}, ["key"])
+    together = pa.Table.from_batches(run(iter([batch]))).to_pydict()
+    alone = pa.Table.from_batches(run(iter([batch.slice(i, 1) for i in range(3)]))).to_pydict()
+    assert alone == together and together["key"] == [1, 2, 3] and together["hits"] == [1.0, 1.0, 0.0]
+
+
 def test_language_model(docs, nothing, texts):
     learn = F.col("doc_id") % 3 != 0
     got = lm_scoring.score_texts(docs, learn, context_share=1 / 64).collect()
