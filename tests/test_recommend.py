@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,3 +462,30 @@ def test_items_take_their_profiles_lists_without_a_sort(spark):
         ("3", 1, "1", 2.0), ("3", 2, "2", 2.0), ("3", 3, "2", 2.0),
         ("4", 1, "1", 3.0), ("4", 2, "1", 1.0), ("4", 3, "2", 1.0)]
     assert "posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tiles_travel_packed_and_blocks_are_passed_over(spark, monkeypatch):
+    """Lists over many tiles, with ties and a null id; no row is made per profile and tile, and blocks out of reach are not multiplied."""
+    rng = random.Random(5)
+    vectors = [(f"p{i:03d}" if i else None, sorted({f"a{i // 40}", f"b{i // 8}", rng.choice("xyz")})) for i in range(400)]
+    frame = spark.createDataFrame([(p, t, [float(1 + 4 * (x[0] == "a") + 2 * (x[0] == "b")) for x in t]) for p, t in vectors],
+                                  "profile_id string, tokens array<string>, weights array<double>")
+    asks = frame.where("profile_id is not null")
+    best = overlap.top_profiles(asks, frame, 6, keep_zero=True, tile=32)
+    assert "explode" not in best._jdf.queryExecution().optimizedPlan().toString()
+    got = defaultdict(list)
+    for r in best.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.profile_id, r.score))
+    weigh = {"a": 5.0, "b": 3.0}
+    for q, own in vectors[1:]:
+        scores = sorted((-sum(weigh.get(t[0], 1.0) ** 2 for t in set(own) & set(other)), p is not None, p or "") for p, other in vectors)
+        assert got[q] == [(p if known else None, -s) for s, known, p in scores[:6]], q
+    rows = frame.toPandas()
+    offers = overlap._Tile.of(rows)
+    search = overlap._Search(overlap._Tile.of(rows[200:210]), 6, True)
+    monkeypatch.setattr(overlap, "BLOCK", 8)
+    search.guess(offers, np.arange(200, 210))
+    rounds, real = [], np.round
+    monkeypatch.setattr(overlap.np, "round", lambda *a: rounds.append(1) or real(*a))
+    search.meet(offers)
+    assert 0 < len(rounds) < 15  # of 50 blocks
