@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import cumulative_counts
-from ..session import cut_lineage
+from ..session import release, settled
 from .baskets import pair_counts
 
 MIN_CORRELATION = 0.85
@@ -206,6 +206,12 @@ def recommendation_checks(
     last = F.to_date(F.lit(str(as_of))) if as_of else F.current_date()
     stock = F.col("stock_quantity")
 
+    def fact(df: DataFrame):
+        """The row of a fact; the shuffle files that it took go before the next one."""
+        row = df.first()
+        release(spark)
+        return row
+
     c = catalog.agg(
         foreign, F.count_distinct("product_id").alias("products"),
         F.count_distinct(F.when(~F.col("is_active"), F.col("product_id"))).alias("inactive"),
@@ -221,38 +227,37 @@ def recommendation_checks(
         foreign, _count(~(stock >= 0)).alias("negative"), _count(F.col("is_available") != (stock > 0)).alias("inconsistent"),
         _count(stock == 0).alias("out"), _count(stock > 0).alias("positive"),
     ).first()
-    dup = lambda df, *keys: duplicate_keys(df, list(keys)).first()[0]
+    dup = lambda df, *keys: fact(duplicate_keys(df, list(keys)))[0]
     # lines per product and customer: the base of every reference and distribution check
-    sold = cut_lineage(baskets.groupBy("product_id", "customer_id").agg(F.count(F.lit(1)).alias("n")), "sold")
+    sold = settled(lambda: baskets.groupBy("product_id", "customer_id").agg(F.count(F.lit(1)).alias("n")), "sold")
     per_product = sold.groupBy("product_id").agg(F.sum("n").alias("n"))
     per_customer = sold.where("customer_id is not null").groupBy("customer_id").agg(F.sum("n").alias("n"))
     per_branch = baskets.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_distinct("transaction_id").alias("n")
     )
-    missing = lambda df, column, other, key, weight: df.join(
+    missing = lambda df, column, other, key, weight: fact(df.join(
         other.select(F.col(key).alias(column)).distinct(), column, "left_anti"
-    ).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("lines"), F.count(F.lit(1)).alias("keys")).first()
+    ).agg(F.coalesce(F.sum(weight), F.lit(0)).alias("lines"), F.count(F.lit(1)).alias("keys")))
     no_branch = missing(per_branch, "store_id", inventory, "branch_id", "lines")
     stocked = inventory.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
     sold_inactive = per_product.join(catalog.where("not is_active").select("product_id"), "product_id", "left_semi").agg(
         F.coalesce(F.sum("n"), F.lit(0))
     ).first()[0]
-    sizes = (
+    sizes = fact(
         baskets.groupBy("transaction_id").agg(F.sum("quantity").alias("units"))
         .groupBy("units").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.try_divide(F.sum(F.col("units") * F.col("n")), F.sum("n")).alias("mean"),
              F.percentile("units", F.lit(0.5), F.col("n")).alias("median"), F.min("units").alias("low"), F.max("units").alias("high"))
-        .first()
     )
     bought = per_product.agg(F.count(F.lit(1))).first()[0]
     buyers = per_customer.agg(F.count(F.lit(1))).first()[0]
-    pairs = pair_counts(baskets).agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("best")).first()
-    matched = (
+    # the pairs' items and counts go when their two numbers are known
+    pairs = settled(lambda: pair_counts(baskets).agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("best")), "pairs").first()
+    matched = fact(
         sold.join(catalog.select("product_id", "category_level_1"), "product_id")
         .join(customers.select("customer_id", "preferred_categories").where(F.size("preferred_categories") > 0), "customer_id")
         .agg(F.coalesce(F.sum(F.when(F.array_contains("preferred_categories", F.col("category_level_1")), F.col("n")).otherwise(0)), F.lit(0)).alias("hit"),
              F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
-        .first()
     )
     volume = per_branch.agg(
         F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"), F.stddev_samp("n").alias("std")

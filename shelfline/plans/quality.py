@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as ops
 from ..operators import requests
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 from ..sources import files
 from ..sources import star_schema as star
 from . import recommend  # noqa: F401 - registers the table expressions read here
@@ -123,13 +123,15 @@ def rec_tables(spark, folder):
     """Catalogue, customers (with preferences and totals), baskets, inventory."""
     from ..operators.baskets import customer_totals
 
-    baskets = cut_lineage(star.baskets(spark, folder), "baskets")
+    # one after the other, so that the shuffle files of one are gone when the next is made
+    baskets = settled(lambda: star.baskets(spark, folder), "baskets")
+    preferences = settled(lambda: star.customer_preferences(spark, folder), "preferences")
     customers = star.table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("customer_id"), F.lit(star.ORGANIZATION).alias("organization_id")
     )
-    customers = customer_totals(baskets, customers).join(star.customer_preferences(spark, folder), "customer_id", "left")
-    stock = cut_lineage(star.inventory(spark, folder), "inventory")
-    return star.catalog(spark, folder), cut_lineage(customers, "customers"), baskets, stock
+    known = settled(lambda: customer_totals(baskets, customers).join(preferences, "customer_id", "left"), "customers")
+    stock = settled(lambda: star.inventory(spark, folder), "inventory")
+    return star.catalog(spark, folder), known, baskets, stock
 
 
 cte("inv", """
