@@ -2,16 +2,22 @@
 
 import itertools
 import math
+import os
 import random
 from collections import Counter, defaultdict
+from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfline import session
 from shelfline.operators import (
     baskets, compatibility, content, evaluation, hybrid, neighbours, overlap, personal, popularity, rules,
 )
+from shelfline.session import cut_lineage, settled
+
+D = date(2026, 1, 1)
 
 
 def basket_frame(spark, sets):
@@ -489,3 +495,49 @@ def test_tiles_travel_packed_and_blocks_are_passed_over(spark, monkeypatch):
     monkeypatch.setattr(overlap.np, "round", lambda *a: rounds.append(1) or real(*a))
     search.meet(offers)
     assert 0 < len(rounds) < 15  # of 50 blocks
+
+
+def test_steps_leave_only_their_result(spark, tmp_path):
+    """Tables written on the way go with the step, at any depth; older ones and the result stay."""
+    older = cut_lineage(spark.range(3), "older")
+    seen = []
+
+    def inner():
+        seen.append(cut_lineage(older.withColumnRenamed("id", "a"), "on-the-way"))
+        return seen[-1].distinct()
+
+    def outer():
+        seen.append(settled(inner, "inner"))
+        return seen[-1].unionByName(older.withColumnRenamed("id", "a"))
+
+    result = settled(outer, "outer")
+    assert sorted(r.a for r in result.collect()) == [0, 0, 1, 1, 2, 2] and older.count() == 3
+    assert [os.path.exists(t._written_path) for t in [*seen, older, result]] == [False, False, True, True]
+
+
+def test_an_index_keeps_only_its_own_tables(spark, monkeypatch):
+    made = []
+    real = session.cut_lineage
+    for module in (session, hybrid, baskets, neighbours, personal, popularity, rules, overlap, content):
+        if hasattr(module, "cut_lineage"):
+            monkeypatch.setattr(module, "cut_lineage", lambda df, name="table": made.append(real(df, name)) or made[-1])
+    lines = [(f"t{t}", "s1", f"c{t % 5}", D, f"p{(t * k) % 9}", 1) for t in range(12) for k in (1, 2, 3)]
+    sold = spark.createDataFrame(lines, "transaction_id string, store_id string, customer_id string, transaction_date date, product_id string, quantity int")
+    goods = catalog_frame(spark, *[(f"p{i}", f"n{i}", "cat", f"b{i % 2}", 1.0, None, [f"t{i % 3}"], True) for i in range(9)])
+    likes = spark.createDataFrame([(f"c{i}", ["cat"], ["b0"]) for i in range(5)], "customer_id string, preferred_categories array<string>, affinity_brands array<string>")
+    index = hybrid.build_index(sold, likes, goods, 0.1, 0.1, 0.0)
+    kept = {t._written_path for t in vars(index).values() if t is not None}
+    assert {t._written_path for t in made if os.path.exists(t._written_path)} == kept and len(made) > 2 * len(kept)
+
+
+def test_long_preference_lists_travel_in_blocks(spark):
+    """Lists beyond one block of places, with products that the customer owns in the first one."""
+    n = 3 * personal.HEAD
+    goods = spark.createDataFrame([(f"p{i:04d}", "cat", "b", True) for i in range(n)], "product_id string, category_level_1 string, brand string, is_active boolean")
+    own = [f"p{i:04d}" for i in range(0, personal.HEAD, 2)]
+    sold = spark.createDataFrame([("c", p, 1) for p in own], "customer_id string, product_id string, quantity int")
+    likes = spark.createDataFrame([("c", ["cat"], ["b"])], "customer_id string, preferred_categories array<string>, affinity_brands array<string>")
+    none = spark.createDataFrame([], "product_id string, neighbour_id string, score double")
+    top = personal.personal_top(sold, likes, goods, none, 70)
+    got = [r.product_id for r in top.orderBy("rank").collect()]
+    assert got == [p for p in (f"p{i:04d}" for i in range(n)) if p not in own][:70]
